@@ -1,0 +1,6 @@
+"""Streaming: nothing to build.
+
+Every result of the reference is a batch query over a finished day of jobs;
+it reads no stream and keeps no state between runs. A scheduled batch run of
+``SlaAnalysis`` per day covers it.
+"""
