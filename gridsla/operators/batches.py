@@ -61,16 +61,21 @@ def batch_anchor(batched: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("total_jobs")))
 
 
+def anchor_side(anchors: DataFrame) -> DataFrame:
+    """The anchors as the build side of a join: materialised, broadcast behind a row check."""
+    return checked_broadcast(anchors.select(*BATCH_KEYS, "job_date"))
+
+
 def timed_jobs(batched: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY,
                anchors: DataFrame | None = None) -> DataFrame:
     """Jobs with their batch anchor (``job_date``) and exclusive tier (``sla_order``).
 
-    The anchors (one row per batch) are materialised and broadcast behind a row
-    check, so the job log is not shuffled before the aggregates that follow.
+    ``anchors`` is the prepared build side (``anchor_side``). The anchors are one
+    row per batch, materialised and broadcast behind a row check, so the job log
+    is not shuffled before the aggregates that follow.
     """
-    anchors = batch_anchor(batched) if anchors is None else anchors
-    small = checked_broadcast(anchors.select(*BATCH_KEYS, "job_date"))
-    return (batched.join(small, list(BATCH_KEYS))
+    small = anchor_side(batch_anchor(batched)) if anchors is None else anchors
+    return (batched.join(small.select(*BATCH_KEYS, "job_date"), list(BATCH_KEYS))
             .withColumn("sla_order", tier_of(F.col("task"), F.col("completiondatetime"),
                                              F.col("job_date"), policy)))
 

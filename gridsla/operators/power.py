@@ -28,6 +28,7 @@ from ..functions.timecols import day_of
 from .batches import BATCH_KEYS
 
 NEED_KEYS = ("meterid", "win_start", "win_end")
+EPOCH = "1970-01-01 00:00:00"
 
 
 def needs_of(windowed: DataFrame) -> DataFrame:
@@ -83,18 +84,22 @@ def _window_facts(needs: DataFrame, alarms: DataFrame, imports: DataFrame) -> Da
     before = alarm & ~inside & (t < F.col("win_start"))
     flip = inside & alarm
     imp = inside & ~alarm
-    # newest flip; on a tie of times the power-off (state 0) wins
-    newest = F.max(F.when(flip, F.struct(t.alias("t"), (1 - flip_state(F.col("is_on"))).alias("neg"))))
+    # newest flip as one long, 2 * micros + (1 - state): its max is the newest
+    # time and, on a tie of times, the power-off (state 0). Plain max keeps the
+    # aggregate a hash aggregate.
+    micros = F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), t)
+    newest = F.max(F.when(flip, micros * 2 + (1 - flip_state(F.col("is_on")))))
     return (ws.groupBy(*NEED_KEYS).agg(
         F.max(F.when(before & F.col("is_on"), t)).alias("day_on_before"),
         F.max(F.when(before & F.col("is_off"), t)).alias("day_off_before"),
         F.count_if(before).alias("day_alarms_before"),
         F.count_if(flip).alias("flip_count"),
         newest.alias("_newest"),
+        F.max(F.when(flip, t)).alias("latest_event_time"),
         F.count_if(imp).alias("import_count"),
         F.min(F.when(imp, t)).alias("first_import_time"),
     ).select(*NEED_KEYS, "day_on_before", "day_off_before", "day_alarms_before", "flip_count",
-             (1 - F.col("_newest.neg")).alias("latest_state"), F.col("_newest.t").alias("latest_event_time"),
+             (1 - F.pmod(F.col("_newest"), F.lit(2))).cast("int").alias("latest_state"), "latest_event_time",
              "import_count", "first_import_time"))
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.metrics import gap, percentage, target_count
 from ..functions.tiers import known_task, tier_label, window_minutes
 from ..functions.timecols import day_start, plus_minutes
-from ..plans.materialize import checked_broadcast
 from ..sources.policy import DEFAULT_POLICY, NO_GUID, UNKNOWN_METRIC, TaskPolicy, policy_frame
 from .batches import BATCH_KEYS, select_jobs
 
@@ -119,9 +118,9 @@ def tier_window(anchors: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POL
 
 
 def with_window(meters: DataFrame, anchors: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY) -> DataFrame:
-    """Meters of a tier with that tier's window (anchors: small, broadcast behind a check)."""
-    small = checked_broadcast(anchors.select(*BATCH_KEYS, "job_date"))
-    return (meters.join(small, list(BATCH_KEYS))
+    """Meters of a tier with that tier's window; ``anchors`` is the prepared build
+    side (``batches.anchor_side``: materialised, broadcast behind a row check)."""
+    return (meters.join(anchors.select(*BATCH_KEYS, "job_date"), list(BATCH_KEYS))
             .select(*BATCH_KEYS, "sla_tier", "sla_order", "meterid",
                     F.col("job_date").alias("win_start"),
                     plus_minutes(F.col("job_date"),

@@ -18,7 +18,7 @@ from ..operators import power as P
 from ..operators import sla as S
 from ..operators import split as X
 from ..sources.policy import DEFAULT_POLICY, TaskPolicy, validate
-from .materialize import materialize
+from .materialize import broadcast_if_small, materialize
 
 
 class SlaAnalysis:
@@ -40,9 +40,13 @@ class SlaAnalysis:
     def anchors(self) -> DataFrame:
         return materialize(B.batch_anchor(self.batched))
 
+    @cached_property
+    def anchor_side(self) -> DataFrame:
+        return broadcast_if_small(self.anchors)
+
     @cached_property
     def timed(self) -> DataFrame:
-        return B.timed_jobs(self.batched, self.policy, self.anchors)
+        return B.timed_jobs(self.batched, self.policy, self.anchor_side)
 
     @cached_property
     def late(self) -> DataFrame:
@@ -54,7 +58,7 @@ class SlaAnalysis:
 
     @cached_property
     def windowed(self) -> DataFrame:
-        return S.with_window(self.meters, self.anchors, self.policy)
+        return S.with_window(self.meters, self.anchor_side, self.policy)
 
     @cached_property
     def needs(self) -> DataFrame:

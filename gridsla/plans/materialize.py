@@ -53,9 +53,14 @@ def broadcast_row_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
 
 
-def checked_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Materialise ``df``; return it with a broadcast hint if it has at most ``max_rows`` rows."""
-    limit = broadcast_row_limit(df.sparkSession) if max_rows is None else max_rows
-    done = materialize(df)
+def broadcast_if_small(done: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """``done`` (already materialised, so counting is a cheap read) with a broadcast
+    hint if it has at most ``max_rows`` rows; otherwise unhinted (shuffle join)."""
+    limit = broadcast_row_limit(done.sparkSession) if max_rows is None else max_rows
     rows = done.limit(limit + 1).count()
     return F.broadcast(done) if rows <= limit else done
+
+
+def checked_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Materialise ``df``; broadcast it only below the row bound."""
+    return broadcast_if_small(materialize(df), max_rows)
