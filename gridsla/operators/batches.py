@@ -44,8 +44,8 @@ def assign_batches(jobs: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POL
     A job of a guid task without guid belongs to no batch (no guid can select it).
     A ``guid`` filter applies to guid tasks only, as the reference ignores it otherwise.
     """
-    jobs = select_jobs(jobs, task, day).filter(known_task(F.col("task"), policy))
-    by_guid = uses_guid(F.col("task"), policy)
+    jobs = select_jobs(jobs, task, day).filter(known_task("task", policy))
+    by_guid = uses_guid("task", policy)
     out = (jobs.withColumn("job_day", day_start(F.col("createddate")))
            .withColumn("batch_guid", F.when(by_guid, F.col("guid")).otherwise(F.lit(NO_GUID)))
            .filter(F.col("batch_guid").isNotNull()))
@@ -76,8 +76,7 @@ def timed_jobs(batched: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLI
     """
     small = anchor_side(batch_anchor(batched)) if anchors is None else anchors
     return (batched.join(small.select(*BATCH_KEYS, "job_date"), list(BATCH_KEYS))
-            .withColumn("sla_order", tier_of(F.col("task"), F.col("completiondatetime"),
-                                             F.col("job_date"), policy)))
+            .withColumn("sla_order", tier_of("task", "completiondatetime", "job_date", policy)))
 
 
 def job_durations(jobs: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY, **narrow) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import gap, target_count
-from ..functions.tiers import tier_label
+from ..functions.tiers import tier_label, tier_limit
 from ..functions.timecols import minutes_between, plus_minutes
 from ..sources.policy import DEFAULT_POLICY, TaskPolicy
 from .batches import BATCH_KEYS
@@ -18,15 +18,6 @@ from .sla import _with_policy, tier_counts
 DEFAULT_SAMPLE = 20
 
 
-def _limit_of(task, order, policy):
-    expr = None
-    for p in policy:
-        for t in p.timed_tiers:
-            cond = (task == p.task) & (order == t.order)
-            expr = F.when(cond, F.lit(t.limit_min)) if expr is None else expr.when(cond, F.lit(t.limit_min))
-    return expr
-
-
 def late_jobs(timed: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY) -> DataFrame:
     """Per timed tier, the finished jobs with completion > anchor + limit.
 
@@ -37,14 +28,14 @@ def late_jobs(timed: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY)
     late = (timed.filter(F.col("completiondatetime").isNotNull() & (F.col("sla_order") > 1))
             .select(*BATCH_KEYS, "job_id", "meterid", "createddate", "completiondatetime", "job_date",
                     F.col("sla_order").alias("completed_order"), missed.alias("sla_order")))
-    deadline = plus_minutes(F.col("job_date"), _limit_of(F.col("task"), F.col("sla_order"), policy))
+    deadline = plus_minutes(F.col("job_date"), tier_limit("task", "sla_order", policy))
     return late.select(
         *BATCH_KEYS,
-        tier_label(F.col("task"), F.col("sla_order"), policy).alias("sla_tier"), "sla_order",
+        tier_label("task", "sla_order", policy).alias("sla_tier"), "sla_order",
         "job_id", "meterid", "createddate", "completiondatetime",
         deadline.alias("deadline"),
         minutes_between(deadline, F.col("completiondatetime")).alias("overdue_minutes"),
-        tier_label(F.col("task"), F.col("completed_order"), policy).alias("completed_tier"),
+        tier_label("task", "completed_order", policy).alias("completed_tier"),
         "completed_order",
     )
 

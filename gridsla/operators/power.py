@@ -1,20 +1,23 @@
 """Meter power state per tier window: A12-A19.
 
 Input: the meters of each batch tier with the tier's window [win_start, win_end]
-(``sla.with_window``). A "need" is one distinct (meterid, win_start, win_end).
+(``sla.with_window``), one "windowed" row per (batch, tier, meter). A "need" is
+one distinct (meterid, win_start, win_end).
 
 Plan shape, chosen so that no meter's history lands in one task whole:
 
-* In-window facts (flips, latest flip, imports) and alarms earlier on the
-  window's first day come from one equi-join of signals (alarms and imports,
-  one union) with the needs on (meterid, day); a window spans at most a few
-  days, so each need is copied once per day it touches. Skewed (meter, day)
-  keys are split by AQE's skew-join handling; the join is inner. Conditional
-  aggregates per need follow (partial aggregation before the shuffle).
-* Alarms on earlier days: one partial aggregate per (meter, day), then a
-  running maximum over days per meter. A meter has at most one row per
-  calendar day plus one per window start, so the sort is bounded by the
-  calendar, not by its alarm count.
+* In-window facts (flips, newest flip, imports) and alarms earlier on the
+  window's first day come from one equi-join of signals (alarms and imports as
+  one union) with the windowed rows on (meterid, day); a window spans at most a
+  few days, so each row is copied once per day it touches. A skewed
+  (meter, day) key is split by AQE's skew-join handling (the join is inner).
+* Alarms on earlier days: a partial aggregate per (meter, day), then a running
+  maximum per meter with the window rows interleaved. A meter has one row per
+  calendar day plus one per window, so that sort is bounded by the calendar,
+  not by the meter's alarm count.
+* Both parts are unioned and aggregated once per windowed row (partial
+  aggregation before the shuffle); the state is computed on that row, so
+  there is neither a left join nor a join back.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from ..functions.timecols import day_of
 from .batches import BATCH_KEYS
 
 NEED_KEYS = ("meterid", "win_start", "win_end")
+WINDOW_KEYS = (*BATCH_KEYS, "sla_tier", "sla_order", *NEED_KEYS)
 EPOCH = "1970-01-01 00:00:00"
 
 
@@ -78,72 +82,84 @@ def flip_listing(needs: DataFrame, alarms: DataFrame, imports: DataFrame) -> Dat
                         flip_text(F.col("state"), F.col("alarm_date")).alias("flip_text"))
 
 
-def _window_facts(needs: DataFrame, alarms: DataFrame, imports: DataFrame) -> DataFrame:
-    ws = window_signals(needs, alarms, imports)
-    t, inside, alarm = F.col("t"), F.col("inside"), F.col("is_alarm")
-    before = alarm & ~inside & (t < F.col("win_start"))
-    flip = inside & alarm
+def _joined_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame) -> DataFrame:
+    """Per windowed row and signal that matters: alarms before the start on the
+    start's day, power alarms and imports inside the window."""
+    t, s, e = F.col("t"), F.col("win_start"), F.col("win_end")
+    inside = (t >= s) & (t <= e)
+    alarm = F.col("is_alarm")
+    before = alarm & (t < s)
+    flip = inside & alarm & (F.col("is_on") | F.col("is_off"))
     imp = inside & ~alarm
+    days = windowed.select(*WINDOW_KEYS, F.explode(F.sequence(day_of(s), day_of(e))).alias("day"))
+    ts0 = F.lit(None).cast("timestamp_ntz")
     # newest flip as one long, 2 * micros + (1 - state): its max is the newest
-    # time and, on a tie of times, the power-off (state 0). Plain max keeps the
-    # aggregate a hash aggregate.
+    # time and, on a tie of times, the power-off (state 0); a plain max keeps
+    # the final aggregate a hash aggregate.
     micros = F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), t)
-    newest = F.max(F.when(flip, micros * 2 + (1 - flip_state(F.col("is_on")))))
-    return (ws.groupBy(*NEED_KEYS).agg(
-        F.max(F.when(before & F.col("is_on"), t)).alias("day_on_before"),
-        F.max(F.when(before & F.col("is_off"), t)).alias("day_off_before"),
-        F.count_if(before).alias("day_alarms_before"),
-        F.count_if(flip).alias("flip_count"),
-        newest.alias("_newest"),
-        F.max(F.when(flip, t)).alias("latest_event_time"),
-        F.count_if(imp).alias("import_count"),
-        F.min(F.when(imp, t)).alias("first_import_time"),
-    ).select(*NEED_KEYS, "day_on_before", "day_off_before", "day_alarms_before", "flip_count",
-             (1 - F.pmod(F.col("_newest"), F.lit(2))).cast("int").alias("latest_state"), "latest_event_time",
-             "import_count", "first_import_time"))
-
-
-def _earlier_days(needs: DataFrame, alarms: DataFrame) -> DataFrame:
-    """Per (meterid, win_start): newest on/off alarm and alarm count on days before the start's day."""
-    daily = (alarms.select("meterid", day_of(F.col("alarm_date")).alias("day"), "alarm_date",
-                           names_power_on(F.col("alarm_names")).alias("is_on"),
-                           names_power_off(F.col("alarm_names")).alias("is_off"))
-             .filter(F.col("alarm_date").isNotNull())
-             .groupBy("meterid", "day")
-             .agg(F.max(F.when(F.col("is_on"), F.col("alarm_date"))).alias("on_t"),
-                  F.max(F.when(F.col("is_off"), F.col("alarm_date"))).alias("off_t"),
+    return (_signals(alarms, imports).join(days, ["meterid", "day"])
+            .filter(before | flip | imp)
+            .select(*WINDOW_KEYS,
+                    F.when(before & F.col("is_on"), t).otherwise(ts0).alias("on_before"),
+                    F.when(before & F.col("is_off"), t).otherwise(ts0).alias("off_before"),
+                    before.cast("long").alias("alarms_before"),
+                    flip.cast("long").alias("flips"),
+                    F.when(flip, micros * 2 + (1 - flip_state(F.col("is_on")))).alias("newest_key"),
+                    F.when(flip, t).otherwise(ts0).alias("flip_t"),
+                    imp.cast("long").alias("imports"),
+                    F.when(imp, t).otherwise(ts0).alias("import_t")))
+
+
+def _earlier_days(windowed: DataFrame, alarms: DataFrame) -> DataFrame:
+    """Per windowed row: newest on/off alarm and alarm count on days before the start's day.
+
+    A partial aggregate per (meter, day), then a running maximum per meter over
+    those days with the window rows interleaved (a window row sorts before the
+    alarm rows of its own day, so it sees earlier days only). A meter has one
+    row per calendar day plus one per window: bounded by the calendar, not by
+    its alarm count.
+    """
+    ts0 = F.lit(None).cast("timestamp_ntz")
+    daily = (alarms.filter(F.col("alarm_date").isNotNull())
+             .groupBy("meterid", day_of(F.col("alarm_date")).alias("day"))
+             .agg(F.max(F.when(names_power_on(F.col("alarm_names")), F.col("alarm_date"))).alias("on_t"),
+                  F.max(F.when(names_power_off(F.col("alarm_names")), F.col("alarm_date"))).alias("off_t"),
                   F.count(F.lit(1)).alias("n"))
-             .select("meterid", "day", F.lit(1).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("win_start"),
-                     "on_t", "off_t", "n"))
-    starts = (needs.select("meterid", "win_start").distinct()
-              .select("meterid", day_of(F.col("win_start")).alias("day"), F.lit(0).alias("kind"), "win_start",
-                      F.lit(None).cast("timestamp_ntz").alias("on_t"), F.lit(None).cast("timestamp_ntz").alias("off_t"),
-                      F.lit(0).cast("long").alias("n")))
-    # start rows sort before the same day's alarm rows, so they see earlier days only
+             .select(*[F.lit(None).cast(windowed.schema[k].dataType).alias(k) for k in WINDOW_KEYS if k != "meterid"],
+                     "meterid", "day", F.lit(1).alias("kind"), "on_t", "off_t", "n"))
+    starts = windowed.select(*WINDOW_KEYS, day_of(F.col("win_start")).alias("day"), F.lit(0).alias("kind"),
+                             ts0.alias("on_t"), ts0.alias("off_t"), F.lit(0).cast("long").alias("n"))
     w = Window.partitionBy("meterid").orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (daily.unionByName(starts)
-            .select("meterid", "kind", "win_start",
-                    F.max("on_t").over(w).alias("prev_on"), F.max("off_t").over(w).alias("prev_off"),
-                    F.sum("n").over(w).alias("prev_n"))
-            .filter(F.col("kind") == 0).drop("kind"))
-
-
-def power_facts(needs: DataFrame, alarms: DataFrame, imports: DataFrame) -> DataFrame:
-    """Everything the state rule reads, one row per need."""
-    facts = _window_facts(needs, alarms, imports)
-    early = _earlier_days(needs, alarms)
-    n = needs.join(facts, list(NEED_KEYS), "left").join(early, ["meterid", "win_start"], "left")
-    return n.select(
-        *NEED_KEYS,
-        F.greatest("prev_on", "day_on_before").alias("last_on_before"),
-        F.greatest("prev_off", "day_off_before").alias("last_off_before"),
-        ((F.coalesce(F.col("prev_n"), F.lit(0)) + F.coalesce(F.col("day_alarms_before"), F.lit(0))) > 0)
-        .alias("has_alarm_before"),
-        F.coalesce(F.col("flip_count"), F.lit(0)).cast("long").alias("flip_count"),
-        "latest_state", "latest_event_time",
-        F.coalesce(F.col("import_count"), F.lit(0)).cast("long").alias("import_count"),
-        "first_import_time",
-    )
+    return (starts.unionByName(daily)
+            .select(*WINDOW_KEYS, "kind",
+                    F.max("on_t").over(w).alias("on_before"), F.max("off_t").over(w).alias("off_before"),
+                    F.sum("n").over(w).alias("alarms_before"))
+            .filter(F.col("kind") == 0)
+            .select(*WINDOW_KEYS, "on_before", "off_before", "alarms_before",
+                    F.lit(0).cast("long").alias("flips"), F.lit(None).cast("long").alias("newest_key"),
+                    ts0.alias("flip_t"), F.lit(0).cast("long").alias("imports"), ts0.alias("import_t")))
+
+
+def power_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame) -> DataFrame:
+    """Everything the state rule reads, one row per windowed (batch, tier, meter) row.
+
+    The earlier-days rows (exactly one per windowed row) and the joined signal
+    rows are unioned and aggregated once, so every windowed row is present
+    without a left join and the state needs no join back.
+    """
+    rows = _earlier_days(windowed, alarms).unionByName(_joined_facts(windowed, alarms, imports))
+    return (rows.groupBy(*WINDOW_KEYS).agg(
+        F.max("on_before").alias("last_on_before"),
+        F.max("off_before").alias("last_off_before"),
+        (F.sum("alarms_before") > 0).alias("has_alarm_before"),
+        F.sum("flips").alias("flip_count"),
+        F.max("newest_key").alias("_newest"),
+        F.max("flip_t").alias("latest_event_time"),
+        F.sum("imports").alias("import_count"),
+        F.min("import_t").alias("first_import_time"),
+    ).select(*WINDOW_KEYS, "last_on_before", "last_off_before", "has_alarm_before", "flip_count",
+             (1 - F.pmod(F.col("_newest"), F.lit(2))).cast("int").alias("latest_state"), "latest_event_time",
+             "import_count", "first_import_time"))
 
 
 def power_status_before(facts: DataFrame) -> DataFrame:
@@ -167,34 +183,34 @@ def prior_power_code(facts: DataFrame) -> DataFrame:
 
 def flip_counts(facts: DataFrame) -> DataFrame:
     """Number of power alarms in the window, for windows with any."""
-    return facts.filter(F.col("flip_count") > 0).select(*NEED_KEYS, "flip_count")
+    return facts.filter(F.col("flip_count") > 0).select(*NEED_KEYS, "flip_count").distinct()
 
 
 def latest_flip(facts: DataFrame) -> DataFrame:
     """Newest power alarm in the window (state, time); a tie goes to power-off."""
-    return facts.filter(F.col("flip_count") > 0).select(*NEED_KEYS, "latest_state", "latest_event_time")
+    return (facts.filter(F.col("flip_count") > 0)
+            .select(*NEED_KEYS, "latest_state", "latest_event_time").distinct())
 
 
 def import_presence(facts: DataFrame) -> DataFrame:
     """A18: 'Yes'/'No' for import records in the window, and the first one's time."""
     return facts.select(*NEED_KEYS,
                         F.when(F.col("import_count") > 0, F.lit("Yes")).otherwise(F.lit("No")).alias("import_in_window"),
-                        "first_import_time")
+                        "first_import_time").distinct()
 
 
 def state_of(facts: DataFrame) -> DataFrame:
-    """The state text per need."""
+    """The state text per windowed row."""
     code = F.when(F.col("has_alarm_before"), prior_code(F.col("last_on_before"), F.col("last_off_before")))
     imp = F.when(F.col("import_count") > 0, F.lit("Yes")).otherwise(F.lit("No"))
-    return facts.select(*NEED_KEYS,
+    return facts.select(*WINDOW_KEYS,
                         power_state(F.col("flip_count"), imp, F.coalesce(F.col("latest_state"), code))
                         .alias("meter_power_state"))
 
 
-def meter_power_state(windowed: DataFrame, facts: DataFrame) -> DataFrame:
+def meter_power_state(facts: DataFrame) -> DataFrame:
     """The state of every meter of every batch tier, in that tier's window."""
-    return (windowed.join(state_of(facts), list(NEED_KEYS))
-            .select(*BATCH_KEYS, "sla_tier", "sla_order", "meterid", "meter_power_state"))
+    return state_of(facts).select(*BATCH_KEYS, "sla_tier", "sla_order", "meterid", "meter_power_state")
 
 
 def powered_off(state: Column) -> Column:

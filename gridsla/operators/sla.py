@@ -92,7 +92,7 @@ def sla_gap(timed: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY) -
 def tier_of_job(timed: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY) -> DataFrame:
     """The exclusive tier of every job (an unfinished job is a breach)."""
     return timed.select(*BATCH_KEYS, "job_id", "meterid",
-                        tier_label(F.col("task"), F.col("sla_order"), policy).alias("sla_tier"),
+                        tier_label("task", "sla_order", policy).alias("sla_tier"),
                         "sla_order")
 
 
@@ -103,7 +103,7 @@ def meters_by_tier(timed: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_PO
     same set without gathering a whole tier into one value.
     """
     return (timed.select(*BATCH_KEYS, "sla_order", "meterid").distinct()
-            .withColumn("sla_tier", tier_label(F.col("task"), F.col("sla_order"), policy))
+            .withColumn("sla_tier", tier_label("task", "sla_order", policy))
             .select(*BATCH_KEYS, "sla_tier", "sla_order", "meterid"))
 
 
@@ -124,7 +124,7 @@ def with_window(meters: DataFrame, anchors: DataFrame, policy: tuple[TaskPolicy,
             .select(*BATCH_KEYS, "sla_tier", "sla_order", "meterid",
                     F.col("job_date").alias("win_start"),
                     plus_minutes(F.col("job_date"),
-                                 window_minutes(F.col("task"), F.col("sla_order"), policy)).alias("win_end")))
+                                 window_minutes("task", "sla_order", policy)).alias("win_end")))
 
 
 def unknown_task_report(jobs: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY,
@@ -134,7 +134,7 @@ def unknown_task_report(jobs: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAUL
     ``job_date`` is the current time, as in the reference; ``with_time=False``
     leaves it out for comparisons.
     """
-    unknown = (select_jobs(jobs, task, day).filter(~known_task(F.col("task"), policy))
+    unknown = (select_jobs(jobs, task, day).filter(~known_task("task", policy))
                .select("task", day_start(F.col("createddate")).alias("job_day")).distinct())
     cols = [F.col("task"), F.col("job_day"), F.lit(NO_GUID).alias("batch_guid")]
     if with_time:

@@ -67,11 +67,11 @@ class SlaAnalysis:
     @cached_property
     def facts(self) -> DataFrame:
         self._need_power_inputs()
-        return P.power_facts(self.needs, self.alarms, self.imports)
+        return P.power_facts(self.windowed, self.alarms, self.imports)
 
     @cached_property
     def states(self) -> DataFrame:
-        return P.meter_power_state(self.windowed, self.facts)
+        return P.meter_power_state(self.facts)
 
     @cached_property
     def split(self) -> DataFrame:
