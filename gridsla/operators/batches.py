@@ -90,14 +90,20 @@ def job_durations(jobs: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLI
 def oldest_open_guid(jobs: DataFrame, task: str | None = None, day=None) -> DataFrame:
     """A1: per task and day, the guid of the earliest created job with status '1'.
 
-    Ties on the creation time go to the smaller guid (NULL first). One partial
-    aggregate: no sort, no per-group collection.
+    Two hash-friendly steps instead of a min over (time, guid) structs, which
+    would sort the whole open-job log: the first open instant per task and day
+    (partial hash aggregate), then the smallest guid among the jobs at exactly
+    that instant (the one-row-per-task-and-day table is broadcast behind a row
+    check). Ties on the instant go to the smaller guid, NULL first.
     """
-    first = F.min(F.struct(F.col("createddate"), F.col("guid")))
-    return (select_jobs(jobs, task, day)
-            .filter(F.col("status") == "1")
-            .groupBy("task", day_start(F.col("createddate")).alias("job_day"))
-            .agg(first.alias("_first"))
+    open_jobs = (select_jobs(jobs, task, day).filter(F.col("status") == "1")
+                 .select("task", day_start(F.col("createddate")).alias("job_day"), "createddate", "guid"))
+    first = (open_jobs.groupBy("task", "job_day")
+             .agg(F.min("createddate").alias("first_open_createddate")))
+    at_first = open_jobs.join(checked_broadcast(first), ["task", "job_day"]).filter(
+        F.col("createddate") == F.col("first_open_createddate"))
+    return (at_first.groupBy("task", "job_day", "first_open_createddate")
+            .agg(F.bool_or(F.col("guid").isNull()).alias("_has_null"), F.min("guid").alias("_min_guid"))
             .select("task", "job_day",
-                    F.col("_first.guid").alias("guid"),
-                    F.col("_first.createddate").alias("first_open_createddate")))
+                    F.when(F.col("_has_null"), F.lit(None).cast("string")).otherwise(F.col("_min_guid")).alias("guid"),
+                    "first_open_createddate"))
