@@ -77,7 +77,7 @@ def sla_report(timed: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY
     )
     if jobs_for_unknown is not None:
         out = out.unionByName(unknown_task_report(jobs_for_unknown, policy))
-    return out
+    return out.orderBy(*BATCH_KEYS, "sla_order")  # small: batches x tiers
 
 
 def sla_gap(timed: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY) -> DataFrame:
@@ -86,7 +86,8 @@ def sla_gap(timed: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY) -
     needed = target_count(F.col("total_jobs"), F.col("target"))
     return rows.select(*BATCH_KEYS, F.col("metric").alias("sla_tier"), F.col("tier_order").alias("sla_order"),
                        "total_jobs", F.col("completed_count").alias("within_limit"),
-                       needed.alias("target_count"), gap(needed, F.col("completed_count")).alias("gap"))
+                       needed.alias("target_count"), gap(needed, F.col("completed_count")).alias("gap")
+                       ).orderBy(*BATCH_KEYS, "sla_order")
 
 
 def tier_of_job(timed: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY) -> DataFrame:
