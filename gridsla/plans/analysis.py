@@ -30,6 +30,7 @@ class SlaAnalysis:
         self.imports = imports
         self.policy = validate(policy)
         self.narrow = {"task": task, "day": day, "guid": guid}
+        self.keep_power_facts = False
 
     # shared intermediates
     @cached_property
@@ -67,7 +68,8 @@ class SlaAnalysis:
     @cached_property
     def facts(self) -> DataFrame:
         self._need_power_inputs()
-        return P.power_facts(self.windowed, self.alarms, self.imports)
+        facts = P.power_facts(self.windowed, self.alarms, self.imports)
+        return materialize(facts) if self.keep_power_facts else facts
 
     @cached_property
     def states(self) -> DataFrame:
@@ -159,3 +161,40 @@ class SlaAnalysis:
     def unknown_task_report(self, with_time: bool = True):
         return S.unknown_task_report(self.jobs, self.policy, task=self.narrow["task"],
                                      day=self.narrow["day"], with_time=with_time)
+
+    # every output in one run
+    OUTPUTS = ("oldest_open_guid", "batch_anchor", "job_durations", "sla_report", "sla_gap", "late_jobs",
+               "late_job_sample", "late_summary", "tier_of_job", "meters_by_tier", "tier_window",
+               "power_status_before", "prior_power_code", "power_flips", "flip_counts", "flip_listing",
+               "latest_flip", "import_presence", "meter_power_state", "power_split", "power_summary",
+               "powered_off_list", "eligible_list", "late_job_export", "unknown_task_report")
+    CSV_OUTPUTS = ("powered_off_list", "late_job_export")
+
+    def write_outputs(self, root: str, names: tuple[str, ...] | None = None, fmt: str = "parquet") -> dict[str, str]:
+        """Write the chosen outputs under ``root`` (CSV with header for the two exports).
+
+        The per-window power facts feed eight outputs; they are checkpointed
+        once (lineage cut, in ``spark.checkpoint.dir``) instead of recomputed
+        per output. Returns name -> path.
+        """
+        from ..sources.sinks import write_csv
+        names = self.OUTPUTS if names is None else names
+        unknown = set(names) - set(self.OUTPUTS)
+        if unknown:
+            raise ValueError(f"unknown outputs {sorted(unknown)}")
+        power = {"power_status_before", "prior_power_code", "flip_counts", "latest_flip", "import_presence",
+                 "meter_power_state", "power_split", "power_summary", "powered_off_list", "eligible_list",
+                 "late_job_export"}
+        if len(power & set(names)) > 1 and "facts" not in self.__dict__:
+            self.keep_power_facts = True
+        paths = {}
+        for name in names:
+            path = f"{root.rstrip('/')}/{name}"
+            df = getattr(self, name)()
+            if name in self.CSV_OUTPUTS:
+                write_csv(df, path)
+            else:
+                df.write.mode("overwrite").format(fmt).save(path)
+            paths[name] = path
+        return paths
+

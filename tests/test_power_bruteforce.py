@@ -86,3 +86,19 @@ def test_csv_sinks(spark, make_jobs, make_alarms, make_imports, tmp_path):
     write_csv(a.late_job_export(), str(tmp_path / "late"))
     late = spark.read.option("header", True).csv(str(tmp_path / "late")).collect()
     assert sorted(r.missed_tier for r in late) == sorted(["30 Min SLA", "60 Min SLA", "6 Hour SLA"])
+
+
+def test_write_outputs_matches_lazy_results(spark, tmp_path):
+    from gridsla.sources.events import load_inputs
+    jobs, alarms, imports = load_inputs(spark, "/root/testdata/sf0.001")
+    lazy = SlaAnalysis(jobs, alarms, imports)
+    written = SlaAnalysis(jobs, alarms, imports)
+    paths = written.write_outputs(str(tmp_path), names=("sla_report", "meter_power_state", "power_summary",
+                                                         "powered_off_list"))
+    assert written.keep_power_facts
+    for name in ("sla_report", "meter_power_state", "power_summary"):
+        back = spark.read.parquet(paths[name])
+        want = getattr(lazy, name)()
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, want.collect()))
+    off = spark.read.option("header", True).csv(paths["powered_off_list"])
+    assert off.count() == lazy.powered_off_list().count()
