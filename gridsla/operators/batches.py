@@ -38,14 +38,19 @@ def select_jobs(jobs: DataFrame, task: str | None = None, day=None) -> DataFrame
 
 
 def assign_batches(jobs: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY, *,
-                   task: str | None = None, day=None, guid: str | None = None) -> DataFrame:
-    """Jobs of known tasks with their batch keys (task, job_day, batch_guid).
+                   task: str | None = None, day=None, guid: str | None = None,
+                   include_unknown: bool = False) -> DataFrame:
+    """Jobs with their batch keys (task, job_day, batch_guid).
 
     A job of a guid task without guid belongs to no batch (no guid can select it).
-    A ``guid`` filter applies to guid tasks only, as the reference ignores it otherwise.
+    A ``guid`` filter applies to guid tasks only, as the reference ignores it
+    otherwise. Tasks without policy are dropped, or with ``include_unknown``
+    kept as one batch per task and day (guid ``ALL``) for the N/A rows.
     """
-    jobs = select_jobs(jobs, task, day).filter(known_task("task", policy))
-    by_guid = uses_guid("task", policy)
+    jobs = select_jobs(jobs, task, day)
+    if not include_unknown:
+        jobs = jobs.filter(known_task("task", policy))
+    by_guid = F.coalesce(uses_guid("task", policy), F.lit(False))
     out = (jobs.withColumn("job_day", day_start(F.col("createddate")))
            .withColumn("batch_guid", F.when(by_guid, F.col("guid")).otherwise(F.lit(NO_GUID)))
            .filter(F.col("batch_guid").isNotNull()))

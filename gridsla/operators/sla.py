@@ -54,14 +54,14 @@ def _with_policy(counts: DataFrame, policy) -> DataFrame:
 
 
 def sla_report(timed: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY,
-               jobs_for_unknown: DataFrame | None = None) -> DataFrame:
+               unknown: DataFrame | None = None) -> DataFrame:
     """A4: per batch and tier the completed count, percentage and jobs pending to target.
 
     Tier rows count finished jobs within anchor + limit (cumulative); the breach
     row counts finished jobs beyond the last limit and its pending figure is the
     last tier's pending minus the breach count, floored at 0. Unfinished jobs
-    count in the total only (``unfinished_count`` reports them). With
-    ``jobs_for_unknown`` the N/A rows of tasks without policy are appended.
+    count in the total only (``unfinished_count`` reports them). ``unknown``
+    (``unknown_task_report`` rows) is appended.
     """
     rows = _with_policy(tier_counts(timed, policy), policy)
     is_breach = F.col("limit_min").isNull()
@@ -75,8 +75,8 @@ def sla_report(timed: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY
         F.col("tier_order").alias("sla_order"),
         "unfinished_count",
     )
-    if jobs_for_unknown is not None:
-        out = out.unionByName(unknown_task_report(jobs_for_unknown, policy))
+    if unknown is not None:
+        out = out.unionByName(unknown)
     return out.orderBy(*BATCH_KEYS, "sla_order")  # small: batches x tiers
 
 
@@ -128,6 +128,18 @@ def with_window(meters: DataFrame, anchors: DataFrame, policy: tuple[TaskPolicy,
                                  window_minutes("task", "sla_order", policy)).alias("win_end")))
 
 
+def na_rows(task_days: DataFrame, with_time: bool = True) -> DataFrame:
+    """The N/A report row for each (task, job_day) given."""
+    cols = [F.col("task"), F.col("job_day"), F.lit(NO_GUID).alias("batch_guid")]
+    if with_time:
+        cols.append(F.localtimestamp().alias("job_date"))
+    cols += [F.lit(0).cast("long").alias("total_jobs"), F.lit(UNKNOWN_METRIC).alias("metric"),
+             F.lit(0).cast("long").alias("completed_count"), F.lit(0.0).alias("percentage"),
+             F.lit(0).cast("long").alias("pending_for_target"), F.lit(1).alias("sla_order"),
+             F.lit(0).cast("long").alias("unfinished_count")]
+    return task_days.select(*cols)
+
+
 def unknown_task_report(jobs: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY,
                         *, task: str | None = None, day=None, with_time: bool = True) -> DataFrame:
     """One N/A row per task without policy and day (the reference's fallback row).
@@ -137,11 +149,4 @@ def unknown_task_report(jobs: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAUL
     """
     unknown = (select_jobs(jobs, task, day).filter(~known_task("task", policy))
                .select("task", day_start(F.col("createddate")).alias("job_day")).distinct())
-    cols = [F.col("task"), F.col("job_day"), F.lit(NO_GUID).alias("batch_guid")]
-    if with_time:
-        cols.append(F.localtimestamp().alias("job_date"))
-    cols += [F.lit(0).cast("long").alias("total_jobs"), F.lit(UNKNOWN_METRIC).alias("metric"),
-             F.lit(0).cast("long").alias("completed_count"), F.lit(0.0).alias("percentage"),
-             F.lit(0).cast("long").alias("pending_for_target"), F.lit(1).alias("sla_order"),
-             F.lit(0).cast("long").alias("unfinished_count")]
-    return unknown.select(*cols)
+    return na_rows(unknown, with_time)

@@ -17,6 +17,7 @@ from ..operators import late as L
 from ..operators import power as P
 from ..operators import sla as S
 from ..operators import split as X
+from ..functions.tiers import known_task
 from ..sources.policy import DEFAULT_POLICY, TaskPolicy, validate
 from .materialize import broadcast_if_small, materialize
 
@@ -37,9 +38,16 @@ class SlaAnalysis:
     def batched(self) -> DataFrame:
         return B.assign_batches(self.jobs, self.policy, **self.narrow)
 
+    @cached_property
+    def all_anchors(self) -> DataFrame:
+        """Anchors of every batch, tasks without policy included (one per task and
+        day): checkpointed once, so the N/A rows cost no second job-log scan."""
+        every = B.assign_batches(self.jobs, self.policy, include_unknown=True, **self.narrow)
+        return materialize(B.batch_anchor(every))
+
     @cached_property
     def anchors(self) -> DataFrame:
-        return materialize(B.batch_anchor(self.batched))
+        return self.all_anchors.filter(known_task("task", self.policy))
 
     @cached_property
     def anchor_side(self) -> DataFrame:
@@ -94,7 +102,7 @@ class SlaAnalysis:
         return B.job_durations(self.jobs, self.policy, **self.narrow)
 
     def sla_report(self, with_unknown: bool = True):
-        return S.sla_report(self.timed, self.policy, self.jobs if with_unknown else None)
+        return S.sla_report(self.timed, self.policy, self.unknown_task_report() if with_unknown else None)
 
     def sla_gap(self):
         return S.sla_gap(self.timed, self.policy)
@@ -159,8 +167,8 @@ class SlaAnalysis:
         return L.late_job_export(self.late, self.states)
 
     def unknown_task_report(self, with_time: bool = True):
-        return S.unknown_task_report(self.jobs, self.policy, task=self.narrow["task"],
-                                     day=self.narrow["day"], with_time=with_time)
+        unknown = self.all_anchors.filter(~known_task("task", self.policy)).select("task", "job_day")
+        return S.na_rows(unknown, with_time)
 
     # every output in one run
     OUTPUTS = ("oldest_open_guid", "batch_anchor", "job_durations", "sla_report", "sla_gap", "late_jobs",
