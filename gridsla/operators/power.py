@@ -40,19 +40,26 @@ def needs_of(windowed: DataFrame) -> DataFrame:
     return windowed.select(*NEED_KEYS).distinct()
 
 
-def _signals(alarms: DataFrame, imports: DataFrame) -> DataFrame:
-    """Alarms and imports as one relation: (meterid, day, t, is_alarm, is_on, is_off)."""
+START_KEYS = ("meterid", "win_start")
+
+
+def _signals(alarms: DataFrame, imports: DataFrame | None) -> DataFrame:
+    """Alarms (and imports) as one relation: (meterid, day, t, is_alarm, is_on, is_off)."""
     a = alarms.select(F.col("meterid"), F.col("alarm_date").alias("t"), F.lit(True).alias("is_alarm"),
                       names_power_on(F.col("alarm_names")).alias("is_on"),
                       names_power_off(F.col("alarm_names")).alias("is_off"))
-    i = imports.select(F.col("meter_id").alias("meterid"), F.col("das_rtc").alias("t"),
-                       F.lit(False).alias("is_alarm"), F.lit(False).alias("is_on"), F.lit(False).alias("is_off"))
-    return a.unionByName(i).filter(F.col("t").isNotNull()).withColumn("day", day_of(F.col("t")))
+    if imports is not None:
+        i = imports.select(F.col("meter_id").alias("meterid"), F.col("das_rtc").alias("t"),
+                           F.lit(False).alias("is_alarm"), F.lit(False).alias("is_on"), F.lit(False).alias("is_off"))
+        a = a.unionByName(i)
+    return a.filter(F.col("t").isNotNull()).withColumn("day", day_of(F.col("t")))
 
 
-def _need_days(needs: DataFrame) -> DataFrame:
+def _window_days(rows: DataFrame, keys) -> DataFrame:
+    """Each row once per calendar day its window touches (a window spans few days)."""
     days = F.sequence(day_of(F.col("win_start")), day_of(F.col("win_end")))
-    return needs.select(*NEED_KEYS, F.explode(days).alias("day"))
+    cols = list(dict.fromkeys([*keys, "win_start", "win_end"]))
+    return rows.select(*cols, F.explode(days).alias("day"))
 
 
 def window_signals(needs: DataFrame, alarms: DataFrame, imports: DataFrame) -> DataFrame:
@@ -62,14 +69,14 @@ def window_signals(needs: DataFrame, alarms: DataFrame, imports: DataFrame) -> D
     inside = (t >= s) & (t <= e)
     before = F.col("is_alarm") & (t < s)
     power = F.col("is_on") | F.col("is_off")
-    return (_signals(alarms, imports).join(_need_days(needs), ["meterid", "day"])
+    return (_signals(alarms, imports).join(_window_days(needs, NEED_KEYS), ["meterid", "day"])
             .filter(before | (inside & (power | ~F.col("is_alarm"))))
             .withColumn("inside", inside))
 
 
 def power_flips(needs: DataFrame, alarms: DataFrame, imports: DataFrame) -> DataFrame:
     """Power alarms inside each window, state 1 = power on (also when both are named)."""
-    ws = window_signals(needs, alarms, imports)
+    ws = window_signals(needs, alarms, None)
     return (ws.filter(F.col("inside") & F.col("is_alarm"))
             .select(*NEED_KEYS, F.col("t").alias("alarm_date"), flip_state(F.col("is_on")).alias("state")))
 
@@ -82,24 +89,34 @@ def flip_listing(needs: DataFrame, alarms: DataFrame, imports: DataFrame) -> Dat
                         flip_text(F.col("state"), F.col("alarm_date")).alias("flip_text"))
 
 
-def _joined_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame) -> DataFrame:
-    """Per windowed row and signal that matters: alarms before the start on the
-    start's day, power alarms and imports inside the window."""
+# Every fact is an aggregate of per-row contributions; these are their columns.
+_TS = "timestamp_ntz"
+_CONTRIBUTIONS = (("on_before", _TS), ("off_before", _TS), ("alarms_before", "long"), ("flips", "long"),
+                  ("newest_key", "long"), ("flip_t", _TS), ("imports", "long"), ("import_t", _TS))
+
+
+def _markers(rows: DataFrame, keys, **given) -> DataFrame:
+    """One contribution row per key with nothing in it (or the ``given`` columns)."""
+    return rows.select(*keys, *[given.get(c, F.lit(None).cast(t)).alias(c) for c, t in _CONTRIBUTIONS])
+
+
+def _joined(rows: DataFrame, keys, alarms: DataFrame, imports: DataFrame | None) -> DataFrame:
+    """Contributions of the signals on the days of each row's window: alarms
+    before the start (on the start's day), power alarms and imports inside."""
     t, s, e = F.col("t"), F.col("win_start"), F.col("win_end")
     inside = (t >= s) & (t <= e)
     alarm = F.col("is_alarm")
     before = alarm & (t < s)
     flip = inside & alarm & (F.col("is_on") | F.col("is_off"))
     imp = inside & ~alarm
-    days = windowed.select(*WINDOW_KEYS, F.explode(F.sequence(day_of(s), day_of(e))).alias("day"))
-    ts0 = F.lit(None).cast("timestamp_ntz")
+    ts0 = F.lit(None).cast(_TS)
     # newest flip as one long, 2 * micros + (1 - state): its max is the newest
     # time and, on a tie of times, the power-off (state 0); a plain max keeps
-    # the final aggregate a hash aggregate.
-    micros = F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), t)
-    return (_signals(alarms, imports).join(days, ["meterid", "day"])
+    # the aggregate a hash aggregate.
+    micros = F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast(_TS), t)
+    return (_signals(alarms, imports).join(_window_days(rows, keys), ["meterid", "day"])
             .filter(before | flip | imp)
-            .select(*WINDOW_KEYS,
+            .select(*keys,
                     F.when(before & F.col("is_on"), t).otherwise(ts0).alias("on_before"),
                     F.when(before & F.col("is_off"), t).otherwise(ts0).alias("off_before"),
                     before.cast("long").alias("alarms_before"),
@@ -110,93 +127,108 @@ def _joined_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame) ->
                     F.when(imp, t).otherwise(ts0).alias("import_t")))
 
 
-def _earlier_days(windowed: DataFrame, alarms: DataFrame) -> DataFrame:
-    """Per windowed row: newest on/off alarm and alarm count on days before the start's day.
+def _earlier_days(rows: DataFrame, keys, alarms: DataFrame) -> DataFrame:
+    """Per row: newest on/off alarm and alarm count on days before the start's day.
 
     A partial aggregate per (meter, day), then a running maximum per meter over
-    those days with the window rows interleaved (a window row sorts before the
-    alarm rows of its own day, so it sees earlier days only). A meter has one
-    row per calendar day plus one per window: bounded by the calendar, not by
-    its alarm count.
+    those days with the rows interleaved (a row sorts before the alarm rows of
+    its own day, so it sees earlier days only). A meter has one row per
+    calendar day plus one per window: bounded by the calendar, not by its
+    alarm count. Yields exactly one row per input row.
     """
-    ts0 = F.lit(None).cast("timestamp_ntz")
+    ts0 = F.lit(None).cast(_TS)
+    others = [k for k in keys if k != "meterid"]
     daily = (alarms.filter(F.col("alarm_date").isNotNull())
              .groupBy("meterid", day_of(F.col("alarm_date")).alias("day"))
              .agg(F.max(F.when(names_power_on(F.col("alarm_names")), F.col("alarm_date"))).alias("on_t"),
                   F.max(F.when(names_power_off(F.col("alarm_names")), F.col("alarm_date"))).alias("off_t"),
                   F.count(F.lit(1)).alias("n"))
-             .select(*[F.lit(None).cast(windowed.schema[k].dataType).alias(k) for k in WINDOW_KEYS if k != "meterid"],
+             .select(*[F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in others],
                      "meterid", "day", F.lit(1).alias("kind"), "on_t", "off_t", "n"))
-    starts = windowed.select(*WINDOW_KEYS, day_of(F.col("win_start")).alias("day"), F.lit(0).alias("kind"),
-                             ts0.alias("on_t"), ts0.alias("off_t"), F.lit(0).cast("long").alias("n"))
+    starts = rows.select(*keys, day_of(F.col("win_start")).alias("day"), F.lit(0).alias("kind"),
+                         ts0.alias("on_t"), ts0.alias("off_t"), F.lit(0).cast("long").alias("n"))
     w = Window.partitionBy("meterid").orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (starts.unionByName(daily)
-            .select(*WINDOW_KEYS, "kind",
-                    F.max("on_t").over(w).alias("on_before"), F.max("off_t").over(w).alias("off_before"),
-                    F.sum("n").over(w).alias("alarms_before"))
-            .filter(F.col("kind") == 0)
-            .select(*WINDOW_KEYS, "on_before", "off_before", "alarms_before",
-                    F.lit(0).cast("long").alias("flips"), F.lit(None).cast("long").alias("newest_key"),
-                    ts0.alias("flip_t"), F.lit(0).cast("long").alias("imports"), ts0.alias("import_t")))
+    ranked = (starts.unionByName(daily)
+              .select(*keys, "kind", F.max("on_t").over(w).alias("on_t"), F.max("off_t").over(w).alias("off_t"),
+                      F.sum("n").over(w).alias("n"))
+              .filter(F.col("kind") == 0))
+    return _markers(ranked, keys, on_before=F.col("on_t"), off_before=F.col("off_t"), alarms_before=F.col("n"))
 
 
-def power_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame) -> DataFrame:
-    """Everything the state rule reads, one row per windowed (batch, tier, meter) row.
-
-    The earlier-days rows (exactly one per windowed row) and the joined signal
-    rows are unioned and aggregated once, so every windowed row is present
-    without a left join and the state needs no join back.
-    """
-    rows = _earlier_days(windowed, alarms).unionByName(_joined_facts(windowed, alarms, imports))
-    return (rows.groupBy(*WINDOW_KEYS).agg(
+def _aggregate(contributions: DataFrame, keys) -> DataFrame:
+    return (contributions.groupBy(*keys).agg(
         F.max("on_before").alias("last_on_before"),
         F.max("off_before").alias("last_off_before"),
-        (F.sum("alarms_before") > 0).alias("has_alarm_before"),
-        F.sum("flips").alias("flip_count"),
+        (F.coalesce(F.sum("alarms_before"), F.lit(0)) > 0).alias("has_alarm_before"),
+        F.coalesce(F.sum("flips"), F.lit(0)).cast("long").alias("flip_count"),
         F.max("newest_key").alias("_newest"),
         F.max("flip_t").alias("latest_event_time"),
-        F.sum("imports").alias("import_count"),
+        F.coalesce(F.sum("imports"), F.lit(0)).cast("long").alias("import_count"),
         F.min("import_t").alias("first_import_time"),
-    ).select(*WINDOW_KEYS, "last_on_before", "last_off_before", "has_alarm_before", "flip_count",
+    ).select(*keys, "last_on_before", "last_off_before", "has_alarm_before", "flip_count",
              (1 - F.pmod(F.col("_newest"), F.lit(2))).cast("int").alias("latest_state"), "latest_event_time",
              "import_count", "first_import_time"))
 
 
-def power_status_before(facts: DataFrame) -> DataFrame:
+def power_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame) -> DataFrame:
+    """Everything the state rule reads, one row per windowed (batch, tier, meter) row.
+
+    The earlier-days rows (exactly one per windowed row) and the joined signal
+    rows are unioned and aggregated once, so every windowed row is present
+    without a left join and the state needs no join back.
+    """
+    rows = _earlier_days(windowed, WINDOW_KEYS, alarms).unionByName(
+        _joined(windowed, WINDOW_KEYS, alarms, imports))
+    return _aggregate(rows, WINDOW_KEYS)
+
+
+def prior_facts(windowed: DataFrame, alarms: DataFrame) -> DataFrame:
+    """Alarm facts before each distinct (meterid, win_start): alarms only."""
+    starts = windowed.select(*START_KEYS).distinct().withColumn("win_end", F.col("win_start"))
+    rows = _earlier_days(starts, START_KEYS, alarms).unionByName(_joined(starts, START_KEYS, alarms, None))
+    return _aggregate(rows, START_KEYS)
+
+
+def window_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame) -> DataFrame:
+    """In-window facts per distinct (meterid, win_start, win_end): flips, newest flip, imports."""
+    needs = needs_of(windowed)
+    rows = _markers(needs, NEED_KEYS).unionByName(_joined(needs, NEED_KEYS, alarms, imports))
+    return _aggregate(rows, NEED_KEYS)
+
+
+def power_status_before(prior: DataFrame) -> DataFrame:
     """Newest power-on and power-off alarm strictly before the window start,
-    for meters with any alarm before it."""
-    return (facts.filter(F.col("has_alarm_before"))
-            .select("meterid", "win_start", "last_on_before", "last_off_before").distinct())
+    for meters with any alarm before it (``prior`` = ``prior_facts``)."""
+    return prior.filter(F.col("has_alarm_before")).select(*START_KEYS, "last_on_before", "last_off_before")
 
 
-def prior_power_code(facts: DataFrame) -> DataFrame:
+def prior_power_code(prior: DataFrame) -> DataFrame:
     """0/1 code before the window, its time and the opposite status' time.
     ``prior_is_certain`` is false where the code is 0 only by default (no power-off seen)."""
     on, off = F.col("last_on_before"), F.col("last_off_before")
-    return (power_status_before(facts)
-            .select("meterid", "win_start",
+    return (power_status_before(prior)
+            .select(*START_KEYS,
                     prior_code(on, off).alias("pre_status_code"),
                     prior_time(on, off).alias("pre_status_time"),
                     prior_opposite_time(on, off).alias("pre_opposite_status_time"),
                     off.isNotNull().alias("prior_is_certain")))
 
 
-def flip_counts(facts: DataFrame) -> DataFrame:
-    """Number of power alarms in the window, for windows with any."""
-    return facts.filter(F.col("flip_count") > 0).select(*NEED_KEYS, "flip_count").distinct()
+def flip_counts(inside: DataFrame) -> DataFrame:
+    """Number of power alarms in the window, for windows with any (``inside`` = ``window_facts``)."""
+    return inside.filter(F.col("flip_count") > 0).select(*NEED_KEYS, "flip_count")
 
 
-def latest_flip(facts: DataFrame) -> DataFrame:
+def latest_flip(inside: DataFrame) -> DataFrame:
     """Newest power alarm in the window (state, time); a tie goes to power-off."""
-    return (facts.filter(F.col("flip_count") > 0)
-            .select(*NEED_KEYS, "latest_state", "latest_event_time").distinct())
+    return inside.filter(F.col("flip_count") > 0).select(*NEED_KEYS, "latest_state", "latest_event_time")
 
 
-def import_presence(facts: DataFrame) -> DataFrame:
+def import_presence(inside: DataFrame) -> DataFrame:
     """A18: 'Yes'/'No' for import records in the window, and the first one's time."""
-    return facts.select(*NEED_KEYS,
-                        F.when(F.col("import_count") > 0, F.lit("Yes")).otherwise(F.lit("No")).alias("import_in_window"),
-                        "first_import_time").distinct()
+    return inside.select(*NEED_KEYS,
+                         F.when(F.col("import_count") > 0, F.lit("Yes")).otherwise(F.lit("No")).alias("import_in_window"),
+                         "first_import_time")
 
 
 def state_of(facts: DataFrame) -> DataFrame:

@@ -79,6 +79,16 @@ class SlaAnalysis:
         facts = P.power_facts(self.windowed, self.alarms, self.imports)
         return materialize(facts) if self.keep_power_facts else facts
 
+    @cached_property
+    def prior(self) -> DataFrame:
+        self._need_power_inputs()
+        return P.prior_facts(self.windowed, self.alarms)
+
+    @cached_property
+    def inside(self) -> DataFrame:
+        self._need_power_inputs()
+        return P.window_facts(self.windowed, self.alarms, self.imports)
+
     @cached_property
     def states(self) -> DataFrame:
         return P.meter_power_state(self.facts)
@@ -126,27 +136,27 @@ class SlaAnalysis:
         return S.tier_window(self.anchors, self.policy)
 
     def power_status_before(self):
-        return P.power_status_before(self.facts)
+        return P.power_status_before(self.prior)
 
     def prior_power_code(self):
-        return P.prior_power_code(self.facts)
+        return P.prior_power_code(self.prior)
 
     def power_flips(self):
         self._need_power_inputs()
         return P.power_flips(self.needs, self.alarms, self.imports)
 
     def flip_counts(self):
-        return P.flip_counts(self.facts)
+        return P.flip_counts(self.inside)
 
     def flip_listing(self):
         self._need_power_inputs()
         return P.flip_listing(self.needs, self.alarms, self.imports)
 
     def latest_flip(self):
-        return P.latest_flip(self.facts)
+        return P.latest_flip(self.inside)
 
     def import_presence(self):
-        return P.import_presence(self.facts)
+        return P.import_presence(self.inside)
 
     def meter_power_state(self):
         return self.states
@@ -181,7 +191,7 @@ class SlaAnalysis:
     def write_outputs(self, root: str, names: tuple[str, ...] | None = None, fmt: str = "parquet") -> dict[str, str]:
         """Write the chosen outputs under ``root`` (CSV with header for the two exports).
 
-        The per-window power facts feed eight outputs; they are checkpointed
+        The per-window power facts feed six outputs; they are checkpointed
         once (lineage cut, in ``spark.checkpoint.dir``) instead of recomputed
         per output. Returns name -> path.
         """
@@ -190,8 +200,7 @@ class SlaAnalysis:
         unknown = set(names) - set(self.OUTPUTS)
         if unknown:
             raise ValueError(f"unknown outputs {sorted(unknown)}")
-        power = {"power_status_before", "prior_power_code", "flip_counts", "latest_flip", "import_presence",
-                 "meter_power_state", "power_split", "power_summary", "powered_off_list", "eligible_list",
+        power = {"meter_power_state", "power_split", "power_summary", "powered_off_list", "eligible_list",
                  "late_job_export"}
         if len(power & set(names)) > 1 and "facts" not in self.__dict__:
             self.keep_power_facts = True
