@@ -32,3 +32,33 @@ def prepare(spark: SparkSession) -> SparkSession:
     checkpoint folder where the session names none. A cluster names a shared one."""
     ensure_local_checkpoint_dir(spark)
     return spark
+
+
+def cluster_settings(input_bytes: int, executor_cores: int = 4, executors: int = 1000,
+                     target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Suggested SQL settings for a run over ``input_bytes`` of job, alarm and import logs.
+
+    Scan splits of ``target_partition_bytes``; shuffle partitions sized so a
+    partition stays near the AQE advisory size even before coalescing (AQE
+    then merges small ones and splits skewed join partitions by map output);
+    at least two waves of tasks over the cluster's cores.
+    """
+    cores = executor_cores * executors
+    shuffle = max(2 * cores, input_bytes // target_partition_bytes)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(int(shuffle)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "gridsla.broadcast.maxRows": "2000000",
+    }
+
+
+def apply_settings(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    return spark

@@ -41,3 +41,12 @@ def test_validate_rejects_unsorted_limits():
                                         Tier(3, "SLA Breach", None, None))),)
     with pytest.raises(ValueError):
         validate(bad)
+
+
+def test_cluster_settings_scale_with_input():
+    from gridsla.plans.session import cluster_settings
+    small = cluster_settings(10 << 30, executor_cores=4, executors=10)
+    big = cluster_settings(100 << 40, executor_cores=4, executors=1000)
+    assert int(small["spark.sql.shuffle.partitions"]) == 80          # two waves over 40 cores
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
