@@ -21,9 +21,20 @@ def plus_minutes(ts: Column, minutes: Column | int) -> Column:
     return F.timestamp_add("MINUTE", minutes, ts)
 
 
+def micros_between(start: Column, end: Column) -> Column:
+    """(end - start) in whole microseconds as bigint; NULL if either is NULL.
+
+    The NTZ difference is a day-time interval (wall clock, no zone);
+    ``timestampdiff`` would pass both values through the session time zone and
+    go wrong across a DST change.
+    """
+    seconds = (end - start).cast("interval second").cast("decimal(24,6)")
+    return (seconds * F.lit(1_000_000)).cast("long")
+
+
 def minutes_between(start: Column, end: Column) -> Column:
     """(end - start) in minutes as double; NULL if either is NULL."""
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(60_000_000.0)
+    return micros_between(start, end) / F.lit(60_000_000.0)
 
 
 def day_of(ts: Column) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.power import (flip_state, flip_text, is_powered_off, names_power_off, names_power_on,
                                power_state, prior_code, prior_opposite_time, prior_time)
-from ..functions.timecols import day_of
+from ..functions.timecols import day_of, micros_between
 from .batches import BATCH_KEYS
 
 NEED_KEYS = ("meterid", "win_start", "win_end")
@@ -113,7 +113,7 @@ def _joined(rows: DataFrame, keys, alarms: DataFrame, imports: DataFrame | None)
     # newest flip as one long, 2 * micros + (1 - state): its max is the newest
     # time and, on a tie of times, the power-off (state 0); a plain max keeps
     # the aggregate a hash aggregate.
-    micros = F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast(_TS), t)
+    micros = micros_between(F.lit(EPOCH).cast(_TS), t)
     return (_signals(alarms, imports).join(_window_days(rows, keys), ["meterid", "day"])
             .filter(before | flip | imp)
             .select(*keys,
@@ -127,24 +127,33 @@ def _joined(rows: DataFrame, keys, alarms: DataFrame, imports: DataFrame | None)
                     F.when(imp, t).otherwise(ts0).alias("import_t")))
 
 
-def _earlier_days(rows: DataFrame, keys, alarms: DataFrame) -> DataFrame:
+def alarm_daily_summary(alarms: DataFrame) -> DataFrame:
+    """Per (meterid, day): newest power-on and power-off alarm time and the alarm count.
+
+    A partial aggregate. Alarms only grow, so a cluster can keep this table and
+    append each new day instead of re-reading the whole history every run
+    (pass it as ``alarm_days``).
+    """
+    return (alarms.filter(F.col("alarm_date").isNotNull())
+            .groupBy("meterid", day_of(F.col("alarm_date")).alias("day"))
+            .agg(F.max(F.when(names_power_on(F.col("alarm_names")), F.col("alarm_date"))).alias("on_t"),
+                 F.max(F.when(names_power_off(F.col("alarm_names")), F.col("alarm_date"))).alias("off_t"),
+                 F.count(F.lit(1)).alias("n")))
+
+
+def _earlier_days(rows: DataFrame, keys, alarm_days: DataFrame) -> DataFrame:
     """Per row: newest on/off alarm and alarm count on days before the start's day.
 
-    A partial aggregate per (meter, day), then a running maximum per meter over
-    those days with the rows interleaved (a row sorts before the alarm rows of
-    its own day, so it sees earlier days only). A meter has one row per
-    calendar day plus one per window: bounded by the calendar, not by its
-    alarm count. Yields exactly one row per input row.
+    A running maximum per meter over the daily summary with the rows
+    interleaved (a row sorts before the alarm rows of its own day, so it sees
+    earlier days only). A meter has one row per calendar day plus one per
+    window: bounded by the calendar, not by its alarm count. Yields exactly
+    one row per input row.
     """
     ts0 = F.lit(None).cast(_TS)
     others = [k for k in keys if k != "meterid"]
-    daily = (alarms.filter(F.col("alarm_date").isNotNull())
-             .groupBy("meterid", day_of(F.col("alarm_date")).alias("day"))
-             .agg(F.max(F.when(names_power_on(F.col("alarm_names")), F.col("alarm_date"))).alias("on_t"),
-                  F.max(F.when(names_power_off(F.col("alarm_names")), F.col("alarm_date"))).alias("off_t"),
-                  F.count(F.lit(1)).alias("n"))
-             .select(*[F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in others],
-                     "meterid", "day", F.lit(1).alias("kind"), "on_t", "off_t", "n"))
+    daily = alarm_days.select(*[F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in others],
+                              "meterid", "day", F.lit(1).alias("kind"), "on_t", "off_t", "n")
     starts = rows.select(*keys, day_of(F.col("win_start")).alias("day"), F.lit(0).alias("kind"),
                          ts0.alias("on_t"), ts0.alias("off_t"), F.lit(0).cast("long").alias("n"))
     w = Window.partitionBy("meterid").orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -170,22 +179,26 @@ def _aggregate(contributions: DataFrame, keys) -> DataFrame:
              "import_count", "first_import_time"))
 
 
-def power_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame) -> DataFrame:
+def power_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame,
+                alarm_days: DataFrame | None = None) -> DataFrame:
     """Everything the state rule reads, one row per windowed (batch, tier, meter) row.
 
     The earlier-days rows (exactly one per windowed row) and the joined signal
     rows are unioned and aggregated once, so every windowed row is present
-    without a left join and the state needs no join back.
+    without a left join and the state needs no join back. ``alarm_days``
+    (``alarm_daily_summary``) defaults to summarising ``alarms``.
     """
-    rows = _earlier_days(windowed, WINDOW_KEYS, alarms).unionByName(
+    days = alarm_daily_summary(alarms) if alarm_days is None else alarm_days
+    rows = _earlier_days(windowed, WINDOW_KEYS, days).unionByName(
         _joined(windowed, WINDOW_KEYS, alarms, imports))
     return _aggregate(rows, WINDOW_KEYS)
 
 
-def prior_facts(windowed: DataFrame, alarms: DataFrame) -> DataFrame:
+def prior_facts(windowed: DataFrame, alarms: DataFrame, alarm_days: DataFrame | None = None) -> DataFrame:
     """Alarm facts before each distinct (meterid, win_start): alarms only."""
+    days = alarm_daily_summary(alarms) if alarm_days is None else alarm_days
     starts = windowed.select(*START_KEYS).distinct().withColumn("win_end", F.col("win_start"))
-    rows = _earlier_days(starts, START_KEYS, alarms).unionByName(_joined(starts, START_KEYS, alarms, None))
+    rows = _earlier_days(starts, START_KEYS, days).unionByName(_joined(starts, START_KEYS, alarms, None))
     return _aggregate(rows, START_KEYS)
 
 
@@ -247,3 +260,37 @@ def meter_power_state(facts: DataFrame) -> DataFrame:
 
 def powered_off(state: Column) -> Column:
     return is_powered_off(state)
+
+
+def window_bounds(anchors: DataFrame, longest_window_min: int):
+    """(first window day, last start day, last window end) over all batches, or None.
+
+    Three scalars from the small materialised anchor table; used as literal
+    range filters so the alarm and import scans skip the days no window touches.
+    """
+    row = anchors.agg(F.min("job_date").alias("lo"), F.max("job_date").alias("hi")).first()
+    if row is None or row.lo is None:
+        return None
+    import datetime as dt
+    first_day = dt.datetime.combine(row.lo.date(), dt.time())
+    last_start_day = dt.datetime.combine(row.hi.date(), dt.time())
+    return first_day, last_start_day, row.hi + dt.timedelta(minutes=longest_window_min)
+
+
+def _ntz(value) -> Column:
+    return F.lit(value.isoformat(sep=" ")).cast(_TS)
+
+
+def restrict_alarms(alarms: DataFrame, lo, hi) -> DataFrame:
+    """Alarms with lo <= alarm_date <= hi (pushed to the scan as a range)."""
+    return alarms.filter((F.col("alarm_date") >= _ntz(lo)) & (F.col("alarm_date") <= _ntz(hi)))
+
+
+def restrict_imports(imports: DataFrame, lo, hi) -> DataFrame:
+    return imports.filter((F.col("das_rtc") >= _ntz(lo)) & (F.col("das_rtc") <= _ntz(hi)))
+
+
+def alarm_history(alarms: DataFrame, before) -> DataFrame:
+    """Alarms strictly before ``before`` (the earlier-days pass needs no later day)."""
+    return alarms.filter(F.col("alarm_date") < _ntz(before))
+

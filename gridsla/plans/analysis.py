@@ -25,10 +25,12 @@ from .materialize import broadcast_if_small, materialize
 class SlaAnalysis:
     def __init__(self, jobs: DataFrame, alarms: DataFrame | None = None, imports: DataFrame | None = None,
                  policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY, *,
-                 task: str | None = None, day=None, guid: str | None = None):
+                 task: str | None = None, day=None, guid: str | None = None,
+                 alarm_days: DataFrame | None = None):
         self.jobs = jobs
         self.alarms = alarms
         self.imports = imports
+        self.alarm_days_given = alarm_days
         self.policy = validate(policy)
         self.narrow = {"task": task, "day": day, "guid": guid}
         self.keep_power_facts = False
@@ -73,21 +75,46 @@ class SlaAnalysis:
     def needs(self) -> DataFrame:
         return P.needs_of(self.windowed)
 
+    # The alarm and import scans are cut to the days the windows touch: three
+    # scalars from the materialised anchors become range filters on the scans.
     @cached_property
-    def facts(self) -> DataFrame:
+    def bounds(self):
+        longest = max(p.max_limit for p in self.policy)
+        return P.window_bounds(self.anchors, longest)
+
+    @cached_property
+    def window_alarms(self) -> DataFrame:
+        self._need_power_inputs()
+        b = self.bounds
+        return self.alarms if b is None else P.restrict_alarms(self.alarms, b[0], b[2])
+
+    @cached_property
+    def window_imports(self) -> DataFrame:
+        self._need_power_inputs()
+        b = self.bounds
+        return self.imports if b is None else P.restrict_imports(self.imports, b[0], b[2])
+
+    @cached_property
+    def alarm_days(self) -> DataFrame:
         self._need_power_inputs()
-        facts = P.power_facts(self.windowed, self.alarms, self.imports)
+        if self.alarm_days_given is not None:
+            return self.alarm_days_given
+        b = self.bounds
+        history = self.alarms if b is None else P.alarm_history(self.alarms, b[1])
+        return P.alarm_daily_summary(history)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        facts = P.power_facts(self.windowed, self.window_alarms, self.window_imports, self.alarm_days)
         return materialize(facts) if self.keep_power_facts else facts
 
     @cached_property
     def prior(self) -> DataFrame:
-        self._need_power_inputs()
-        return P.prior_facts(self.windowed, self.alarms)
+        return P.prior_facts(self.windowed, self.window_alarms, self.alarm_days)
 
     @cached_property
     def inside(self) -> DataFrame:
-        self._need_power_inputs()
-        return P.window_facts(self.windowed, self.alarms, self.imports)
+        return P.window_facts(self.windowed, self.window_alarms, self.window_imports)
 
     @cached_property
     def states(self) -> DataFrame:
@@ -142,15 +169,13 @@ class SlaAnalysis:
         return P.prior_power_code(self.prior)
 
     def power_flips(self):
-        self._need_power_inputs()
-        return P.power_flips(self.needs, self.alarms, self.imports)
+        return P.power_flips(self.needs, self.window_alarms, self.window_imports)
 
     def flip_counts(self):
         return P.flip_counts(self.inside)
 
     def flip_listing(self):
-        self._need_power_inputs()
-        return P.flip_listing(self.needs, self.alarms, self.imports)
+        return P.flip_listing(self.needs, self.window_alarms, self.window_imports)
 
     def latest_flip(self):
         return P.latest_flip(self.inside)

@@ -102,3 +102,21 @@ def test_write_outputs_matches_lazy_results(spark, tmp_path):
         assert sorted(map(tuple, back.collect())) == sorted(map(tuple, want.collect()))
     off = spark.read.option("header", True).csv(paths["powered_off_list"])
     assert off.count() == lazy.powered_off_list().count()
+
+
+def test_narrowed_day_equals_full_run_and_alarm_days_input(spark):
+    from pyspark.sql import functions as F
+
+    from gridsla.operators.power import alarm_daily_summary
+    from gridsla.sources.events import load_inputs
+    jobs, alarms, imports = load_inputs(spark, "/root/testdata/sf0.01")
+    full = SlaAnalysis(jobs, alarms, imports)
+    day = "2024-01-17"
+    one = SlaAnalysis(jobs, alarms, imports, day=day)
+    want = sorted(map(tuple, full.meter_power_state()
+                      .filter(F.col("job_day") == F.lit(f"{day} 00:00:00").cast("timestamp_ntz")).collect()))
+    got = sorted(map(tuple, one.meter_power_state().collect()))
+    assert got and got == want
+    kept = SlaAnalysis(jobs, alarms, imports, alarm_days=alarm_daily_summary(alarms))
+    assert sorted(map(tuple, kept.prior_power_code().collect())) == \
+        sorted(map(tuple, full.prior_power_code().collect()))

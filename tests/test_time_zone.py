@@ -1,0 +1,42 @@
+"""Results must not depend on the session time zone (all times are timestamp_ntz)."""
+
+from __future__ import annotations
+
+from gridsla.plans.analysis import SlaAnalysis
+
+from .conftest import ts
+
+AT = "Alert / Tamper"
+
+
+def test_same_results_in_a_dst_zone(spark, make_jobs, make_alarms, make_imports):
+    # 2024-03-10 is the US spring-forward day: 02:00-03:00 does not exist in New York
+    jobs = make_jobs([
+        (1, AT, "g", "1", "M1", ts("2024-03-10 01:45:00.5"), ts("2024-03-10 02:30:00")),
+        (2, AT, "g", "1", "M2", ts("2024-03-10 01:50:00"), ts("2024-03-10 03:10:00")),
+        (3, AT, "g", "1", "M3", ts("2024-03-10 01:55:00"), ts("2024-03-10 08:00:00")),
+    ])
+    alarms = make_alarms([("M1", ts("2024-03-10 02:20:00"), "METER_LAST_GASP"),
+                          ("M2", ts("2024-03-09 23:00:00"), "METER_FIRST_BREATH")])
+    imports = make_imports([("M2", ts("2024-03-10 02:40:00"))])
+
+    def run():
+        a = SlaAnalysis(jobs, alarms, imports)
+        return (sorted(map(tuple, a.sla_report().collect())),
+                sorted(map(tuple, a.late_jobs().collect())),
+                sorted(map(tuple, a.meter_power_state().collect())),
+                sorted(map(tuple, a.job_durations().collect())),
+                sorted(map(tuple, a.flip_listing().collect())),
+                sorted(map(tuple, a.latest_flip().collect())))
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    utc = run()
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        ny = run()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert utc == ny
+    assert ("M1", "METER_LAST_GASP @ 10-03-2024 02:20:00") in {(r[0], r[-1]) for r in utc[4]}
+    anchors = {r.job_date for r in SlaAnalysis(jobs).batch_anchor().collect()}
+    assert anchors == {ts("2024-03-10 01:45:00")}
