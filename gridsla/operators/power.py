@@ -100,31 +100,77 @@ def _markers(rows: DataFrame, keys, **given) -> DataFrame:
     return rows.select(*keys, *[given.get(c, F.lit(None).cast(t)).alias(c) for c, t in _CONTRIBUTIONS])
 
 
-def _joined(rows: DataFrame, keys, alarms: DataFrame, imports: DataFrame | None) -> DataFrame:
-    """Contributions of the signals on the days of each row's window: alarms
-    before the start (on the start's day), power alarms and imports inside."""
-    t, s, e = F.col("t"), F.col("win_start"), F.col("win_end")
-    inside = (t >= s) & (t <= e)
+def day_boundaries(windows: DataFrame) -> DataFrame:
+    """Per calendar day, the sorted distinct window starts and ends falling on it.
+
+    ``windows`` holds (win_start, win_end) pairs, e.g. ``sla.tier_window``: one
+    per batch and tier, so a day has a few boundaries per batch whatever the
+    number of jobs, meters or alarms.
+    """
+    b = (windows.select(F.col("win_start").alias("b"))
+         .unionByName(windows.select(F.col("win_end").alias("b"))))
+    return b.groupBy(day_of(F.col("b")).alias("day")).agg(F.array_sort(F.collect_set("b")).alias("bounds"))
+
+
+def _position(t: Column) -> Column:
+    """Slot of ``t`` among the day's sorted boundaries b1 < b2 < ...: 2 * #{b < t},
+    plus 1 when t is itself a boundary. Boundary bi sits at 2i - 1, so
+    [s, e] = [bi, bj] covers the positions 2i-1 .. 2j-1, and t < s is p < 2i-1."""
+    below = F.size(F.filter(F.col("bounds"), lambda b: b < t))
+    return (below * 2 + F.array_contains(F.col("bounds"), t).cast("int")).cast("int")
+
+
+def signal_slots(alarms: DataFrame, imports: DataFrame | None, bounds: DataFrame) -> DataFrame:
+    """Signals summarised per (meterid, day, slot between the day's boundaries).
+
+    Each signal meets its day's boundaries in a join with the broadcast
+    per-day table (one row per signal, no fan-out; days without windows drop
+    out), then a partial aggregate per (meter, day, slot) runs before the
+    shuffle: a hot meter-day shrinks to at most 2 * boundaries + 1 rows.
+    """
+    t = F.col("t")
     alarm = F.col("is_alarm")
-    before = alarm & (t < s)
-    flip = inside & alarm & (F.col("is_on") | F.col("is_off"))
-    imp = inside & ~alarm
-    ts0 = F.lit(None).cast(_TS)
+    power = alarm & (F.col("is_on") | F.col("is_off"))
     # newest flip as one long, 2 * micros + (1 - state): its max is the newest
     # time and, on a tie of times, the power-off (state 0); a plain max keeps
     # the aggregate a hash aggregate.
-    micros = micros_between(F.lit(EPOCH).cast(_TS), t)
-    return (_signals(alarms, imports).join(_window_days(rows, keys), ["meterid", "day"])
-            .filter(before | flip | imp)
+    key = micros_between(F.lit(EPOCH).cast(_TS), t) * 2 + (1 - flip_state(F.col("is_on")))
+    return (_signals(alarms, imports).join(bounds, "day")
+            .withColumn("p", _position(t))
+            .groupBy("meterid", "day", "p").agg(
+                F.max(F.when(alarm & F.col("is_on"), t)).alias("on_t"),
+                F.max(F.when(alarm & F.col("is_off"), t)).alias("off_t"),
+                F.count_if(alarm).alias("n_alarms"),
+                F.count_if(power).alias("n_flips"),
+                F.max(F.when(power, key)).alias("newest_key"),
+                F.max(F.when(power, t)).alias("flip_t"),
+                F.count_if(~alarm).alias("n_imports"),
+                F.min(F.when(~alarm, t)).alias("import_t")))
+
+
+def _slot_contributions(rows: DataFrame, keys, slots: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Contributions of the slot summaries to each row's window: slots before the
+    start on the start's day, slots inside [win_start, win_end] on each day the
+    window touches. Pairs are slots x windows of one meter-day, both bounded."""
+    s, e, day = F.col("win_start"), F.col("win_end"), F.col("day")
+    spans = (_window_days(rows, keys).join(bounds, "day")
+             .select(*keys, "day",
+                     F.when(day_of(s) == day, F.array_position(F.col("bounds"), s) * 2 - 1).alias("p_s"),
+                     F.when(day_of(e) == day, F.array_position(F.col("bounds"), e) * 2 - 1).alias("p_e")))
+    p = F.col("p")
+    inside = (p >= F.coalesce(F.col("p_s"), F.lit(0))) & (p <= F.coalesce(F.col("p_e"), F.lit(2 ** 31 - 1)))
+    before = F.coalesce(p < F.col("p_s"), F.lit(False))
+    zero = F.lit(0).cast("long")
+    return (slots.join(spans, ["meterid", "day"]).filter(inside | before)
             .select(*keys,
-                    F.when(before & F.col("is_on"), t).otherwise(ts0).alias("on_before"),
-                    F.when(before & F.col("is_off"), t).otherwise(ts0).alias("off_before"),
-                    before.cast("long").alias("alarms_before"),
-                    flip.cast("long").alias("flips"),
-                    F.when(flip, micros * 2 + (1 - flip_state(F.col("is_on")))).alias("newest_key"),
-                    F.when(flip, t).otherwise(ts0).alias("flip_t"),
-                    imp.cast("long").alias("imports"),
-                    F.when(imp, t).otherwise(ts0).alias("import_t")))
+                    F.when(before, F.col("on_t")).alias("on_before"),
+                    F.when(before, F.col("off_t")).alias("off_before"),
+                    F.when(before, F.col("n_alarms")).otherwise(zero).alias("alarms_before"),
+                    F.when(inside, F.col("n_flips")).otherwise(zero).alias("flips"),
+                    F.when(inside, F.col("newest_key")).alias("newest_key"),
+                    F.when(inside, F.col("flip_t")).alias("flip_t"),
+                    F.when(inside, F.col("n_imports")).otherwise(zero).alias("imports"),
+                    F.when(inside, F.col("import_t")).alias("import_t")))
 
 
 def alarm_daily_summary(alarms: DataFrame) -> DataFrame:
@@ -179,33 +225,50 @@ def _aggregate(contributions: DataFrame, keys) -> DataFrame:
              "import_count", "first_import_time"))
 
 
+def _bounds_for(rows: DataFrame, day_bounds: DataFrame | None) -> DataFrame:
+    if day_bounds is not None:
+        return day_bounds
+    from ..plans.materialize import checked_broadcast
+    return checked_broadcast(day_boundaries(rows.select("win_start", "win_end").distinct()))
+
+
 def power_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame,
-                alarm_days: DataFrame | None = None) -> DataFrame:
+                alarm_days: DataFrame | None = None, day_bounds: DataFrame | None = None) -> DataFrame:
     """Everything the state rule reads, one row per windowed (batch, tier, meter) row.
 
-    The earlier-days rows (exactly one per windowed row) and the joined signal
-    rows are unioned and aggregated once, so every windowed row is present
-    without a left join and the state needs no join back. ``alarm_days``
-    (``alarm_daily_summary``) defaults to summarising ``alarms``.
+    The earlier-days rows (exactly one per windowed row) and the slot
+    contributions are unioned and aggregated once, so every windowed row is
+    present without a left join and the state needs no join back.
+    ``alarm_days`` (``alarm_daily_summary``) defaults to summarising ``alarms``;
+    ``day_bounds`` (``day_boundaries``, broadcast) defaults to the windows' own.
     """
     days = alarm_daily_summary(alarms) if alarm_days is None else alarm_days
+    bounds = _bounds_for(windowed, day_bounds)
+    slots = signal_slots(alarms, imports, bounds)
     rows = _earlier_days(windowed, WINDOW_KEYS, days).unionByName(
-        _joined(windowed, WINDOW_KEYS, alarms, imports))
+        _slot_contributions(windowed, WINDOW_KEYS, slots, bounds))
     return _aggregate(rows, WINDOW_KEYS)
 
 
-def prior_facts(windowed: DataFrame, alarms: DataFrame, alarm_days: DataFrame | None = None) -> DataFrame:
+def prior_facts(windowed: DataFrame, alarms: DataFrame, alarm_days: DataFrame | None = None,
+                day_bounds: DataFrame | None = None) -> DataFrame:
     """Alarm facts before each distinct (meterid, win_start): alarms only."""
     days = alarm_daily_summary(alarms) if alarm_days is None else alarm_days
     starts = windowed.select(*START_KEYS).distinct().withColumn("win_end", F.col("win_start"))
-    rows = _earlier_days(starts, START_KEYS, days).unionByName(_joined(starts, START_KEYS, alarms, None))
+    bounds = _bounds_for(windowed, day_bounds)
+    slots = signal_slots(alarms, None, bounds)
+    rows = _earlier_days(starts, START_KEYS, days).unionByName(
+        _slot_contributions(starts, START_KEYS, slots, bounds))
     return _aggregate(rows, START_KEYS)
 
 
-def window_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame) -> DataFrame:
+def window_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame,
+                 day_bounds: DataFrame | None = None) -> DataFrame:
     """In-window facts per distinct (meterid, win_start, win_end): flips, newest flip, imports."""
     needs = needs_of(windowed)
-    rows = _markers(needs, NEED_KEYS).unionByName(_joined(needs, NEED_KEYS, alarms, imports))
+    bounds = _bounds_for(windowed, day_bounds)
+    slots = signal_slots(alarms, imports, bounds)
+    rows = _markers(needs, NEED_KEYS).unionByName(_slot_contributions(needs, NEED_KEYS, slots, bounds))
     return _aggregate(rows, NEED_KEYS)
 
 

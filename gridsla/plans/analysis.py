@@ -103,18 +103,25 @@ class SlaAnalysis:
         history = self.alarms if b is None else P.alarm_history(self.alarms, b[1])
         return P.alarm_daily_summary(history)
 
+    @cached_property
+    def day_bounds(self) -> DataFrame:
+        """Window boundaries per day, from the anchors and the policy: a few per
+        batch. Broadcast behind a row check (the anchors are already materialised)."""
+        return broadcast_if_small(P.day_boundaries(S.tier_window(self.anchors, self.policy)))
+
     @cached_property
     def facts(self) -> DataFrame:
-        facts = P.power_facts(self.windowed, self.window_alarms, self.window_imports, self.alarm_days)
+        facts = P.power_facts(self.windowed, self.window_alarms, self.window_imports, self.alarm_days,
+                              self.day_bounds)
         return materialize(facts) if self.keep_power_facts else facts
 
     @cached_property
     def prior(self) -> DataFrame:
-        return P.prior_facts(self.windowed, self.window_alarms, self.alarm_days)
+        return P.prior_facts(self.windowed, self.window_alarms, self.alarm_days, self.day_bounds)
 
     @cached_property
     def inside(self) -> DataFrame:
-        return P.window_facts(self.windowed, self.window_alarms, self.window_imports)
+        return P.window_facts(self.windowed, self.window_alarms, self.window_imports, self.day_bounds)
 
     @cached_property
     def states(self) -> DataFrame:
