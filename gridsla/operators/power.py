@@ -112,40 +112,59 @@ def day_boundaries(windows: DataFrame) -> DataFrame:
     return b.groupBy(day_of(F.col("b")).alias("day")).agg(F.array_sort(F.collect_set("b")).alias("bounds"))
 
 
-def _position(t: Column) -> Column:
-    """Slot of ``t`` among the day's sorted boundaries b1 < b2 < ...: 2 * #{b < t},
-    plus 1 when t is itself a boundary. Boundary bi sits at 2i - 1, so
-    [s, e] = [bi, bj] covers the positions 2i-1 .. 2j-1, and t < s is p < 2i-1."""
-    below = F.size(F.filter(F.col("bounds"), lambda b: b < t))
-    return (below * 2 + F.array_contains(F.col("bounds"), t).cast("int")).cast("int")
+def day_cells(bounds: DataFrame) -> DataFrame:
+    """The day cut at its boundaries b1 < b2 < ... into cells, each with its slot:
+    the point bi is slot 2i-1, the open gap after it 2i, the gap before b1 slot 0.
 
-
-def signal_slots(alarms: DataFrame, imports: DataFrame | None, bounds: DataFrame) -> DataFrame:
+    Cells are listed once per hour they overlap, so a signal finds its cell by
+    an equi-join on (day, hour) plus a compiled range test, not by scanning the
+    day's boundaries.
+    """
+    pts = bounds.select("day", "bounds", F.posexplode("bounds").alias("i", "b"))
+    ts0 = F.lit(None).cast(_TS)
+    points = pts.select("day", F.col("b").alias("lo"), F.col("b").alias("hi"),
+                        (F.col("i") * 2 + 1).alias("p"), F.lit(True).alias("is_point"))
+    gaps = pts.select("day", F.col("b").alias("lo"), F.try_element_at(F.col("bounds"), F.col("i") + 2).alias("hi"),
+                      (F.col("i") * 2 + 2).alias("p"), F.lit(False).alias("is_point"))
+    first = bounds.select("day", ts0.alias("lo"), F.element_at("bounds", 1).alias("hi"),
+                          F.lit(0).alias("p"), F.lit(False).alias("is_point"))
+    cells = points.unionByName(gaps).unionByName(first)
+    hours = F.sequence(F.coalesce(F.hour("lo"), F.lit(0)), F.coalesce(F.hour("hi"), F.lit(23)))
+    return cells.select("day", F.explode(hours).alias("hour"), "lo", "hi", F.col("p").cast("int").alias("p"),
+                        "is_point")
+
+
+def signal_slots(alarms: DataFrame, imports: DataFrame | None, cells: DataFrame) -> DataFrame:
     """Signals summarised per (meterid, day, slot between the day's boundaries).
 
-    Each signal meets its day's boundaries in a join with the broadcast
-    per-day table (one row per signal, no fan-out; days without windows drop
-    out), then a partial aggregate per (meter, day, slot) runs before the
-    shuffle: a hot meter-day shrinks to at most 2 * boundaries + 1 rows.
+    Each signal finds its cell in a join with the broadcast cell table on
+    (day, hour) plus a range test (exactly one row per signal, no fan-out;
+    days without windows drop out), then a partial aggregate per
+    (meter, day, slot) runs before the shuffle: a hot meter-day shrinks to at
+    most 2 * boundaries + 1 rows.
     """
-    t = F.col("t")
-    alarm = F.col("is_alarm")
-    power = alarm & (F.col("is_on") | F.col("is_off"))
+    sig = _signals(alarms, imports).withColumn("hour", F.hour(F.col("t"))).alias("s")
+    c = cells.alias("c")
+    t, lo, hi = F.col("s.t"), F.col("c.lo"), F.col("c.hi")
+    in_cell = ((F.col("c.is_point") & (t == lo))
+               | (~F.col("c.is_point") & (lo.isNull() | (t > lo)) & (hi.isNull() | (t < hi))))
+    joined = sig.join(c, (F.col("s.day") == F.col("c.day")) & (F.col("s.hour") == F.col("c.hour")) & in_cell)
+    alarm = F.col("s.is_alarm")
+    power = alarm & (F.col("s.is_on") | F.col("s.is_off"))
     # newest flip as one long, 2 * micros + (1 - state): its max is the newest
     # time and, on a tie of times, the power-off (state 0); a plain max keeps
     # the aggregate a hash aggregate.
-    key = micros_between(F.lit(EPOCH).cast(_TS), t) * 2 + (1 - flip_state(F.col("is_on")))
-    return (_signals(alarms, imports).join(bounds, "day")
-            .withColumn("p", _position(t))
-            .groupBy("meterid", "day", "p").agg(
-                F.max(F.when(alarm & F.col("is_on"), t)).alias("on_t"),
-                F.max(F.when(alarm & F.col("is_off"), t)).alias("off_t"),
-                F.count_if(alarm).alias("n_alarms"),
-                F.count_if(power).alias("n_flips"),
-                F.max(F.when(power, key)).alias("newest_key"),
-                F.max(F.when(power, t)).alias("flip_t"),
-                F.count_if(~alarm).alias("n_imports"),
-                F.min(F.when(~alarm, t)).alias("import_t")))
+    key = micros_between(F.lit(EPOCH).cast(_TS), t) * 2 + (1 - flip_state(F.col("s.is_on")))
+    return (joined.groupBy(F.col("s.meterid").alias("meterid"), F.col("s.day").alias("day"),
+                           F.col("c.p").alias("p")).agg(
+        F.max(F.when(alarm & F.col("s.is_on"), t)).alias("on_t"),
+        F.max(F.when(alarm & F.col("s.is_off"), t)).alias("off_t"),
+        F.count_if(alarm).alias("n_alarms"),
+        F.count_if(power).alias("n_flips"),
+        F.max(F.when(power, key)).alias("newest_key"),
+        F.max(F.when(power, t)).alias("flip_t"),
+        F.count_if(~alarm).alias("n_imports"),
+        F.min(F.when(~alarm, t)).alias("import_t")))
 
 
 def _slot_contributions(rows: DataFrame, keys, slots: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -225,49 +244,56 @@ def _aggregate(contributions: DataFrame, keys) -> DataFrame:
              "import_count", "first_import_time"))
 
 
-def _bounds_for(rows: DataFrame, day_bounds: DataFrame | None) -> DataFrame:
-    if day_bounds is not None:
-        return day_bounds
-    from ..plans.materialize import checked_broadcast
-    return checked_broadcast(day_boundaries(rows.select("win_start", "win_end").distinct()))
+def _geometry(rows: DataFrame, day_bounds: DataFrame | None, cells: DataFrame | None):
+    """(bounds, cells) for the rows' windows, each broadcast behind a row check;
+    callers that already hold them (``SlaAnalysis``) pass them in."""
+    from ..plans.materialize import broadcast_if_small, materialize
+    if day_bounds is None:
+        day_bounds = materialize(day_boundaries(rows.select("win_start", "win_end").distinct()))
+        cells = broadcast_if_small(day_cells(day_bounds)) if cells is None else cells
+        day_bounds = broadcast_if_small(day_bounds)
+    elif cells is None:
+        cells = broadcast_if_small(day_cells(day_bounds))
+    return day_bounds, cells
 
 
 def power_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame,
-                alarm_days: DataFrame | None = None, day_bounds: DataFrame | None = None) -> DataFrame:
+                alarm_days: DataFrame | None = None, day_bounds: DataFrame | None = None,
+                cells: DataFrame | None = None) -> DataFrame:
     """Everything the state rule reads, one row per windowed (batch, tier, meter) row.
 
     The earlier-days rows (exactly one per windowed row) and the slot
     contributions are unioned and aggregated once, so every windowed row is
     present without a left join and the state needs no join back.
     ``alarm_days`` (``alarm_daily_summary``) defaults to summarising ``alarms``;
-    ``day_bounds`` (``day_boundaries``, broadcast) defaults to the windows' own.
+    ``day_bounds`` / ``cells`` (``day_boundaries`` / ``day_cells``) default to the windows' own.
     """
     days = alarm_daily_summary(alarms) if alarm_days is None else alarm_days
-    bounds = _bounds_for(windowed, day_bounds)
-    slots = signal_slots(alarms, imports, bounds)
+    bounds, cells = _geometry(windowed, day_bounds, cells)
+    slots = signal_slots(alarms, imports, cells)
     rows = _earlier_days(windowed, WINDOW_KEYS, days).unionByName(
         _slot_contributions(windowed, WINDOW_KEYS, slots, bounds))
     return _aggregate(rows, WINDOW_KEYS)
 
 
 def prior_facts(windowed: DataFrame, alarms: DataFrame, alarm_days: DataFrame | None = None,
-                day_bounds: DataFrame | None = None) -> DataFrame:
+                day_bounds: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """Alarm facts before each distinct (meterid, win_start): alarms only."""
     days = alarm_daily_summary(alarms) if alarm_days is None else alarm_days
     starts = windowed.select(*START_KEYS).distinct().withColumn("win_end", F.col("win_start"))
-    bounds = _bounds_for(windowed, day_bounds)
-    slots = signal_slots(alarms, None, bounds)
+    bounds, cells = _geometry(windowed, day_bounds, cells)
+    slots = signal_slots(alarms, None, cells)
     rows = _earlier_days(starts, START_KEYS, days).unionByName(
         _slot_contributions(starts, START_KEYS, slots, bounds))
     return _aggregate(rows, START_KEYS)
 
 
 def window_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame,
-                 day_bounds: DataFrame | None = None) -> DataFrame:
+                 day_bounds: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """In-window facts per distinct (meterid, win_start, win_end): flips, newest flip, imports."""
     needs = needs_of(windowed)
-    bounds = _bounds_for(windowed, day_bounds)
-    slots = signal_slots(alarms, imports, bounds)
+    bounds, cells = _geometry(windowed, day_bounds, cells)
+    slots = signal_slots(alarms, imports, cells)
     rows = _markers(needs, NEED_KEYS).unionByName(_slot_contributions(needs, NEED_KEYS, slots, bounds))
     return _aggregate(rows, NEED_KEYS)
 

@@ -8,9 +8,11 @@ can be checked before it is broadcast.
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import batches as B
 from ..operators import late as L
@@ -19,7 +21,7 @@ from ..operators import sla as S
 from ..operators import split as X
 from ..functions.tiers import known_task
 from ..sources.policy import DEFAULT_POLICY, TaskPolicy, validate
-from .materialize import broadcast_if_small, materialize
+from .materialize import broadcast_if_rows, broadcast_if_small, materialize
 
 
 class SlaAnalysis:
@@ -75,12 +77,38 @@ class SlaAnalysis:
     def needs(self) -> DataFrame:
         return P.needs_of(self.windowed)
 
-    # The alarm and import scans are cut to the days the windows touch: three
-    # scalars from the materialised anchors become range filters on the scans.
+    # Window geometry: the boundaries per day (a few per batch) are materialised
+    # once; one small aggregate over them gives the row counts for the
+    # broadcast checks and the time range the windows cover. The alarm and
+    # import scans are cut to that range by literal filters (pushed to the scan).
+    @cached_property
+    def _bounds(self) -> DataFrame:
+        return materialize(P.day_boundaries(S.tier_window(self.anchors, self.policy)))
+
+    @cached_property
+    def _geometry(self):
+        return self._bounds.agg(F.count(F.lit(1)).alias("days"), F.sum(F.size("bounds")).alias("points"),
+                                F.min("day").alias("first_day"),
+                                F.max(F.array_max("bounds")).alias("last_bound")).first()
+
     @cached_property
     def bounds(self):
-        longest = max(p.max_limit for p in self.policy)
-        return P.window_bounds(self.anchors, longest)
+        """(first window day, midnight of the last boundary's day, last boundary) or None."""
+        g = self._geometry
+        if not g.days:
+            return None
+        first = dt.datetime.combine(g.first_day, dt.time())
+        return first, dt.datetime.combine(g.last_bound.date(), dt.time()), g.last_bound
+
+    @cached_property
+    def day_bounds(self) -> DataFrame:
+        return broadcast_if_rows(self._bounds, self._geometry.days or 0)
+
+    @cached_property
+    def day_cells(self) -> DataFrame:
+        # at most two cells per boundary plus one per day, each listed for the hours it spans
+        rows = ((self._geometry.points or 0) * 2 + (self._geometry.days or 0)) * 24
+        return broadcast_if_rows(P.day_cells(self._bounds), rows)
 
     @cached_property
     def window_alarms(self) -> DataFrame:
@@ -100,28 +128,24 @@ class SlaAnalysis:
         if self.alarm_days_given is not None:
             return self.alarm_days_given
         b = self.bounds
+        # the earlier-days pass reads only days before a window's start day
         history = self.alarms if b is None else P.alarm_history(self.alarms, b[1])
         return P.alarm_daily_summary(history)
 
-    @cached_property
-    def day_bounds(self) -> DataFrame:
-        """Window boundaries per day, from the anchors and the policy: a few per
-        batch. Broadcast behind a row check (the anchors are already materialised)."""
-        return broadcast_if_small(P.day_boundaries(S.tier_window(self.anchors, self.policy)))
-
     @cached_property
     def facts(self) -> DataFrame:
         facts = P.power_facts(self.windowed, self.window_alarms, self.window_imports, self.alarm_days,
-                              self.day_bounds)
+                              self.day_bounds, self.day_cells)
         return materialize(facts) if self.keep_power_facts else facts
 
     @cached_property
     def prior(self) -> DataFrame:
-        return P.prior_facts(self.windowed, self.window_alarms, self.alarm_days, self.day_bounds)
+        return P.prior_facts(self.windowed, self.window_alarms, self.alarm_days, self.day_bounds, self.day_cells)
 
     @cached_property
     def inside(self) -> DataFrame:
-        return P.window_facts(self.windowed, self.window_alarms, self.window_imports, self.day_bounds)
+        return P.window_facts(self.windowed, self.window_alarms, self.window_imports, self.day_bounds,
+                              self.day_cells)
 
     @cached_property
     def states(self) -> DataFrame:

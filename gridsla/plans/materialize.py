@@ -61,6 +61,12 @@ def broadcast_if_small(done: DataFrame, max_rows: int | None = None) -> DataFram
     return F.broadcast(done) if rows <= limit else done
 
 
+def broadcast_if_rows(df: DataFrame, rows: int, max_rows: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint when its known row count is within the bound."""
+    limit = broadcast_row_limit(df.sparkSession) if max_rows is None else max_rows
+    return F.broadcast(df) if rows <= limit else df
+
+
 def checked_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Materialise ``df``; broadcast it only below the row bound."""
     return broadcast_if_small(materialize(df), max_rows)
