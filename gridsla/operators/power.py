@@ -4,20 +4,20 @@ Input: the meters of each batch tier with the tier's window [win_start, win_end]
 (``sla.with_window``), one "windowed" row per (batch, tier, meter). A "need" is
 one distinct (meterid, win_start, win_end).
 
-Plan shape, chosen so that no meter's history lands in one task whole:
-
-* In-window facts (flips, newest flip, imports) and alarms earlier on the
-  window's first day come from one equi-join of signals (alarms and imports as
-  one union) with the windowed rows on (meterid, day); a window spans at most a
-  few days, so each row is copied once per day it touches. A skewed
-  (meter, day) key is split by AQE's skew-join handling (the join is inner).
-* Alarms on earlier days: a partial aggregate per (meter, day), then a running
-  maximum per meter with the window rows interleaved. A meter has one row per
-  calendar day plus one per window, so that sort is bounded by the calendar,
-  not by the meter's alarm count.
-* Both parts are unioned and aggregated once per windowed row (partial
-  aggregation before the shuffle); the state is computed on that row, so
-  there is neither a left join nor a join back.
+Plan shape, chosen so that no meter's history lands in one task whole and no
+alarm is paired with every window of its meter:
+
+* Window boundaries per day (a few per batch, ``day_boundaries``) cut each day
+  into cells (``day_cells``). Each alarm or import finds its cell through a
+  broadcast join on (day, hour) and a range test, one row per signal, and a
+  partial aggregate per (meter, day, cell) summarises them before any shuffle
+  (``signal_slots``).
+* Only those summaries meet the windows, on (meter, day) with a cell-range
+  condition (``_slot_contributions``): a key pairs cells x windows.
+* Alarms on earlier days: a per-(meter, day) summary and a running maximum per
+  meter with the window rows interleaved, bounded by the calendar.
+* Both parts are unioned and aggregated once per windowed row; the state is
+  computed on that row, so there is neither a left join nor a join back.
 """
 
 from __future__ import annotations
@@ -351,21 +351,6 @@ def powered_off(state: Column) -> Column:
     return is_powered_off(state)
 
 
-def window_bounds(anchors: DataFrame, longest_window_min: int):
-    """(first window day, last start day, last window end) over all batches, or None.
-
-    Three scalars from the small materialised anchor table; used as literal
-    range filters so the alarm and import scans skip the days no window touches.
-    """
-    row = anchors.agg(F.min("job_date").alias("lo"), F.max("job_date").alias("hi")).first()
-    if row is None or row.lo is None:
-        return None
-    import datetime as dt
-    first_day = dt.datetime.combine(row.lo.date(), dt.time())
-    last_start_day = dt.datetime.combine(row.hi.date(), dt.time())
-    return first_day, last_start_day, row.hi + dt.timedelta(minutes=longest_window_min)
-
-
 def _ntz(value) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast(_TS)
 
