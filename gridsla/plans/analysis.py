@@ -159,6 +159,11 @@ class SlaAnalysis:
         if self.alarms is None or self.imports is None:
             raise ValueError("power analysis needs the alarm and import tables")
 
+    def has_batches(self) -> bool:
+        """False when no batch matches (the "no records" case); reads the small
+        materialised anchor table only."""
+        return not self.anchors.isEmpty()
+
     # A1-A25
     def oldest_open_guid(self):
         return B.oldest_open_guid(self.jobs, self.narrow["task"], self.narrow["day"])

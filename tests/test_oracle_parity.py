@@ -39,3 +39,14 @@ def test_entry_smoke(spark):
     assert [f.name for f in df.schema.fields] == [
         "task", "job_day", "batch_guid", "job_date", "total_jobs", "metric", "completed_count",
         "percentage", "pending_for_target", "sla_order", "unfinished_count"]
+
+
+_SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "StringType()": "VARCHAR",
+                  "DoubleType()": "DOUBLE", "TimestampNTZType()": "TIMESTAMP", "BooleanType()": "BOOLEAN"}
+
+
+def test_column_types_match(spark, duck):
+    for name, fn in E.queries().items():
+        got = {f.name: _SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in fn(spark, SF).schema.fields}
+        rel = duck.sql(E.oracle_sql()[name])
+        assert got == dict(zip(rel.columns, map(str, rel.types))), name

@@ -60,6 +60,8 @@ def test_anchor_truncated_to_second_and_shared(make_jobs):
 def test_absent_batch_gives_no_rows(make_jobs):
     jobs = make_jobs([(1, AT, "g", "1", "M1", ts("2024-01-01 10:00:00"), ts("2024-01-01 10:10:00"))])
     assert SlaAnalysis(jobs, guid="other").sla_report().count() == 0
+    assert not SlaAnalysis(jobs, guid="other").has_batches()
+    assert SlaAnalysis(jobs, guid="g").has_batches()
     assert SlaAnalysis(jobs, day="2024-01-02").sla_report().count() == 0
 
 
