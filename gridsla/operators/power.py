@@ -101,15 +101,19 @@ def _markers(rows: DataFrame, keys, **given) -> DataFrame:
 
 
 def day_boundaries(windows: DataFrame) -> DataFrame:
-    """Per calendar day, the sorted distinct window starts and ends falling on it.
+    """Per calendar day a window touches, the sorted distinct window starts and
+    ends falling on it (empty for a day strictly inside a long window).
 
     ``windows`` holds (win_start, win_end) pairs, e.g. ``sla.tier_window``: one
     per batch and tier, so a day has a few boundaries per batch whatever the
     number of jobs, meters or alarms.
     """
-    b = (windows.select(F.col("win_start").alias("b"))
-         .unionByName(windows.select(F.col("win_end").alias("b"))))
-    return b.groupBy(day_of(F.col("b")).alias("day")).agg(F.array_sort(F.collect_set("b")).alias("bounds"))
+    s, e = F.col("win_start"), F.col("win_end")
+    days = windows.select(s, e, F.explode(F.sequence(day_of(s), day_of(e))).alias("day"))
+    here = days.select("day", F.when(day_of(s) == F.col("day"), s).alias("a"),
+                       F.when(day_of(e) == F.col("day"), e).alias("b"))
+    return here.groupBy("day").agg(
+        F.array_sort(F.array_union(F.collect_set("a"), F.collect_set("b"))).alias("bounds"))
 
 
 def day_cells(bounds: DataFrame) -> DataFrame:
@@ -126,7 +130,7 @@ def day_cells(bounds: DataFrame) -> DataFrame:
                         (F.col("i") * 2 + 1).alias("p"), F.lit(True).alias("is_point"))
     gaps = pts.select("day", F.col("b").alias("lo"), F.try_element_at(F.col("bounds"), F.col("i") + 2).alias("hi"),
                       (F.col("i") * 2 + 2).alias("p"), F.lit(False).alias("is_point"))
-    first = bounds.select("day", ts0.alias("lo"), F.element_at("bounds", 1).alias("hi"),
+    first = bounds.select("day", ts0.alias("lo"), F.try_element_at(F.col("bounds"), F.lit(1)).alias("hi"),
                           F.lit(0).alias("p"), F.lit(False).alias("is_point"))
     cells = points.unionByName(gaps).unionByName(first)
     hours = F.sequence(F.coalesce(F.hour("lo"), F.lit(0)), F.coalesce(F.hour("hi"), F.lit(23)))
@@ -172,7 +176,7 @@ def _slot_contributions(rows: DataFrame, keys, slots: DataFrame, bounds: DataFra
     start on the start's day, slots inside [win_start, win_end] on each day the
     window touches. Pairs are slots x windows of one meter-day, both bounded."""
     s, e, day = F.col("win_start"), F.col("win_end"), F.col("day")
-    spans = (_window_days(rows, keys).join(bounds, "day")
+    spans = (_window_days(rows, keys).join(bounds, "day", "left")
              .select(*keys, "day",
                      F.when(day_of(s) == day, F.array_position(F.col("bounds"), s) * 2 - 1).alias("p_s"),
                      F.when(day_of(e) == day, F.array_position(F.col("bounds"), e) * 2 - 1).alias("p_e")))

@@ -123,3 +123,27 @@ def test_windows(analysis):
     assert w[(AT, "30 Min SLA")] == (START, END)
     assert w[(AT, "SLA Breach")] == (START, ts("2024-01-10 16:00:00"))
     assert w[(FW, "8 Hour SLA")] == (ts("2024-01-10 23:00:00"), ts("2024-01-11 07:00:00"))
+
+
+def test_window_longer_than_a_day(make_jobs, make_alarms, make_imports):
+    """A custom policy whose last limit spans three days: alarms on the days
+    strictly inside the window (no boundary falls on them) still count."""
+    from decimal import Decimal
+
+    from gridsla.sources.policy import Tier, TaskPolicy
+    policy = (TaskPolicy("X", "slowTask", True, (Tier(1, "3 Day SLA", 4320, Decimal("0.9")),
+                                                  Tier(2, "SLA Breach", None, None))),)
+    start = ts("2024-02-01 12:00:00")
+    jobs = make_jobs([(1, "slowTask", "g", "1", "L1", start, ts("2024-02-02 09:00:00")),
+                      (2, "slowTask", "g", "1", "L2", start, ts("2024-02-02 09:00:00")),
+                      (3, "slowTask", "g", "1", "L3", start, ts("2024-02-02 09:00:00"))])
+    alarms = make_alarms([("L1", ts("2024-02-02 15:00:00"), "METER_LAST_GASP"),   # middle day
+                          ("L2", ts("2024-01-30 08:00:00"), "METER_LAST_GASP"),
+                          ("L2", ts("2024-01-31 08:00:00"), "METER_FIRST_BREATH")])
+    imports = make_imports([("L2", ts("2024-02-03 23:59:00")),                   # middle day
+                            ("L3", ts("2024-02-04 12:00:00.000001"))])          # just after the end
+    a = SlaAnalysis(jobs, alarms, imports, policy)
+    st = {r.meterid: r.meter_power_state for r in a.meter_power_state().collect()}
+    assert st == {"L1": PW.STATE_INTERMITTENT, "L2": PW.STATE_ON, "L3": PW.STATE_OTHER}
+    w = {r.sla_tier: (r.win_start, r.win_end) for r in a.tier_window().collect()}
+    assert w["3 Day SLA"] == (start, ts("2024-02-04 12:00:00"))
