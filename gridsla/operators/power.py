@@ -351,10 +351,6 @@ def meter_power_state(facts: DataFrame) -> DataFrame:
     return state_of(facts).select(*BATCH_KEYS, "sla_tier", "sla_order", "meterid", "meter_power_state")
 
 
-def powered_off(state: Column) -> Column:
-    return is_powered_off(state)
-
-
 def _ntz(value) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast(_TS)
 
