@@ -210,6 +210,18 @@ def alarm_daily_summary(alarms: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("n")))
 
 
+def merge_alarm_daily_summary(summary: DataFrame, new_alarms: DataFrame) -> DataFrame:
+    """Fold newly arrived alarms into a kept ``alarm_daily_summary`` table.
+
+    Newest times take the max and counts add, so re-summarising a day that is
+    already present (late alarms) stays exact. One partial aggregate over the
+    kept table plus the new rows.
+    """
+    fresh = alarm_daily_summary(new_alarms)
+    return (summary.unionByName(fresh).groupBy("meterid", "day")
+            .agg(F.max("on_t").alias("on_t"), F.max("off_t").alias("off_t"), F.sum("n").alias("n")))
+
+
 def _earlier_days(rows: DataFrame, keys, alarm_days: DataFrame) -> DataFrame:
     """Per row: newest on/off alarm and alarm count on days before the start's day.
 

@@ -158,3 +158,15 @@ def test_hot_meter_day_is_summarised_before_pairing(make_jobs, make_alarms, make
         s, e = windows[(g, tier)]
         want[(g, m, tier)] = expected_state(mine.get(m, []), imps.get(m, []), s, e)
     assert got == want
+
+
+def test_daily_summary_merge_equals_full_summary(spark):
+    from pyspark.sql import functions as F
+
+    from gridsla.operators.power import alarm_daily_summary, merge_alarm_daily_summary
+    from gridsla.sources.events import load_inputs
+    _, alarms, _ = load_inputs(spark, "/root/testdata/sf0.001")
+    cut = F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")   # the cut day is split across both parts
+    kept = alarm_daily_summary(alarms.filter(F.col("alarm_date") < cut))
+    merged = merge_alarm_daily_summary(kept, alarms.filter(F.col("alarm_date") >= cut))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, alarm_daily_summary(alarms).collect()))
