@@ -20,17 +20,25 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 BROADCAST_ROWS_CONF = "gridsla.broadcast.maxRows"
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # a Spark Connect session has no SparkContext on the client
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder the cluster names in ``spark.checkpoint.dir``."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if conf:
+    sc = _context(spark)
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and sc is not None:
+        conf = sc.getConf().get("spark.checkpoint.dir", None)
+    if conf and sc is not None:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir()
-    return None
+    return conf or None
 
 
 def ensure_local_checkpoint_dir(spark: SparkSession) -> str:
@@ -38,8 +46,13 @@ def ensure_local_checkpoint_dir(spark: SparkSession) -> str:
     found = checkpoint_dir(spark)
     if found:
         return found
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridsla-ckpt-"))
-    return spark.sparkContext.getCheckpointDir()
+    folder = tempfile.mkdtemp(prefix="gridsla-ckpt-")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setCheckpointDir(folder)
+        return sc.getCheckpointDir()
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
