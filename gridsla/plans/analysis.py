@@ -53,9 +53,16 @@ class SlaAnalysis:
     def anchors(self) -> DataFrame:
         return self.all_anchors.filter(known_task("task", self.policy))
 
+    @cached_property
+    def anchor_stats(self):
+        """One small aggregate over the materialised anchors: the batch count (the
+        broadcast checks) and the first and last anchor (the scan range)."""
+        return self.anchors.agg(F.count(F.lit(1)).alias("batches"), F.min("job_date").alias("first"),
+                                F.max("job_date").alias("last")).first()
+
     @cached_property
     def anchor_side(self) -> DataFrame:
-        return broadcast_if_small(self.anchors)
+        return broadcast_if_rows(self.anchors, self.anchor_stats.batches)
 
     @cached_property
     def timed(self) -> DataFrame:
@@ -77,38 +84,45 @@ class SlaAnalysis:
     def needs(self) -> DataFrame:
         return P.needs_of(self.windowed)
 
-    # Window geometry: the boundaries per day (a few per batch) are materialised
-    # once; one small aggregate over them gives the row counts for the
-    # broadcast checks and the time range the windows cover. The alarm and
-    # import scans are cut to that range by literal filters (pushed to the scan).
+    # Window geometry, bounded from the batch count alone: a batch adds at most
+    # (tiers + 1) boundaries over at most `_span_days` days, so the boundary and
+    # cell tables have proven row bounds without being counted. The scan range
+    # is [first anchor's day, last anchor + longest window].
     @cached_property
-    def _bounds(self) -> DataFrame:
-        return materialize(P.day_boundaries(S.tier_window(self.anchors, self.policy)))
+    def _longest(self) -> int:
+        return max(p.max_limit for p in self.policy)
 
     @cached_property
-    def _geometry(self):
-        return self._bounds.agg(F.count(F.lit(1)).alias("days"), F.sum(F.size("bounds")).alias("points"),
-                                F.min("day").alias("first_day"),
-                                F.max(F.array_max("bounds")).alias("last_bound")).first()
+    def _span_days(self) -> int:
+        return 2 + self._longest // 1440
 
     @cached_property
     def bounds(self):
-        """(first window day, midnight of the last boundary's day, last boundary) or None."""
-        g = self._geometry
-        if not g.days:
+        """(first window day, midnight of the last window end's day, last window end) or None."""
+        st = self.anchor_stats
+        if not st.batches:
             return None
-        first = dt.datetime.combine(g.first_day, dt.time())
-        return first, dt.datetime.combine(g.last_bound.date(), dt.time()), g.last_bound
+        last = st.last + dt.timedelta(minutes=self._longest)
+        return (dt.datetime.combine(st.first.date(), dt.time()),
+                dt.datetime.combine(last.date(), dt.time()), last)
+
+    @cached_property
+    def _bounds(self) -> DataFrame:
+        # derived from the materialised anchors (one row per batch): rebuilt as a
+        # small broadcast side inside the query
+        return P.day_boundaries(S.tier_window(self.anchors, self.policy))
 
     @cached_property
     def day_bounds(self) -> DataFrame:
-        return broadcast_if_rows(self._bounds, self._geometry.days or 0)
+        return broadcast_if_rows(self._bounds, self.anchor_stats.batches * self._span_days)
 
     @cached_property
     def day_cells(self) -> DataFrame:
-        # at most two cells per boundary plus one per day, each listed for the hours it spans
-        rows = ((self._geometry.points or 0) * 2 + (self._geometry.days or 0)) * 24
-        return broadcast_if_rows(P.day_cells(self._bounds), rows)
+        tiers = max(len(p.tiers) for p in self.policy)
+        points = self.anchor_stats.batches * (tiers + 1)
+        # two cells per boundary plus one per day, each listed for the hours it spans
+        return broadcast_if_rows(P.day_cells(self._bounds),
+                                 (2 * points + self.anchor_stats.batches * self._span_days) * 24)
 
     @cached_property
     def window_alarms(self) -> DataFrame:
