@@ -21,7 +21,7 @@ from ..operators import sla as S
 from ..operators import split as X
 from ..functions.tiers import known_task
 from ..sources.policy import DEFAULT_POLICY, TaskPolicy, validate
-from .materialize import broadcast_if_rows, broadcast_if_small, materialize
+from .materialize import broadcast_if_rows, materialize
 
 
 class SlaAnalysis:
