@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.power import (flip_state, flip_text, is_powered_off, names_power_off, names_power_on,
+from ..functions.power import (flip_state, flip_text, names_power_off, names_power_on,
                                power_state, prior_code, prior_opposite_time, prior_time)
 from ..functions.timecols import day_of, micros_between
 from .batches import BATCH_KEYS
