@@ -294,7 +294,8 @@ def power_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame,
 
 def prior_facts(windowed: DataFrame, alarms: DataFrame, alarm_days: DataFrame | None = None,
                 day_bounds: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
-    """Alarm facts before each distinct (meterid, win_start): alarms only."""
+    """Alarm facts before each distinct (meterid, win_start): alarms only.
+    ``windowed`` needs the columns meterid and win_start only."""
     days = alarm_daily_summary(alarms) if alarm_days is None else alarm_days
     starts = windowed.select(*START_KEYS).distinct().withColumn("win_end", F.col("win_start"))
     bounds, cells = _geometry(windowed, day_bounds, cells)

@@ -154,7 +154,9 @@ class SlaAnalysis:
 
     @cached_property
     def prior(self) -> DataFrame:
-        return P.prior_facts(self.windowed, self.window_alarms, self.alarm_days, self.day_bounds, self.day_cells)
+        # window starts are (meter, batch anchor) whatever the tier: straight from the timed jobs
+        starts = self.timed.select("meterid", F.col("job_date").alias("win_start"))
+        return P.prior_facts(starts, self.window_alarms, self.alarm_days, self.day_bounds, self.day_cells)
 
     @cached_property
     def inside(self) -> DataFrame:
