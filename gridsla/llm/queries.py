@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from gridsla.llm import mixing, packing, sharding
+from gridsla.llm import html, langid, mixing, neighbours, packing, quality, sharding, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_packing": packing.op2_packing,
+    "op3_quality": quality.op3_quality,
+    "op4_simhash": simhash.op4_simhash,
+    "op5_suffixes": suffixes.op5_suffixes,
+    "op6_neighbours": neighbours.op6_neighbours,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_langid": langid.op8_langid,
+    "op9_html": html.op9_html,
     "op10_sharding": sharding.op10_sharding,
 }
 

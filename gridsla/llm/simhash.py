@@ -50,13 +50,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and ``fp`` (the fingerprint as a signed long) of every row."""
+    """doc_id, ``twin`` (a hash of the text) and ``fp`` (the fingerprint as a signed long) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64)
-            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], dtype=np.uint64)
+            yield pa.record_batch([*b.columns[:2], pa.array(fps.view(np.int64))], names=["doc_id", "twin", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), twin_of(docs).alias("twin"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, twin long, fp long")
+
+
+def twin_of(docs: DataFrame):
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
 
 def bit_groups(distinct: DataFrame, parts: int) -> list[list[int]]:
@@ -230,7 +235,7 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, distance: int =
     component: the smallest doc_id in it. Texts without a word (null too) have
     fingerprint zero and link like any other. Repeated rows are returned as often as they occur; a null
     doc_id is never the smallest (a component of only such rows has a null id). An empty table gives an
-    empty result. Returns doc_id, fp, component_id.
+    empty result. Returns doc_id, twin, fp, component_id.
     """
     if distance % 2:
         raise ValueError("distance must be even")
@@ -241,7 +246,23 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, distance: int =
         "fp", "first", F.coalesce("component", "fp").alias("component")))
     smallest = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")))
     ids = materialize(named.join(smallest, "component").select("fp", "component_id"))
-    return own.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return own.join(ids, "fp").select("doc_id", "twin", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the smallest doc_id (of several rows of it, one).
+
+    All columns are kept. Null doc_ids come after all others.
+    """
+    found = simhash_components(docs, shingle, distance)
+    last = F.lit((1 << 63) - 1)
+    key = F.struct(F.coalesce(found["doc_id"], last).alias("doc"), "twin")
+    first = materialize(found.groupBy("component_id").agg(F.min(key).alias("k"))
+                        .select(F.col("k.doc").alias("_doc"), F.col("k.twin").alias("_twin")).distinct())
+    kept = docs.join(first, (F.coalesce(docs["doc_id"].cast("long"), last) == F.col("_doc"))
+                     & (twin_of(docs) == F.col("_twin")), "left_semi")
+    repeated = found.groupBy("doc_id", "twin").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
 def op4_simhash(spark, sf_dir) -> DataFrame:
