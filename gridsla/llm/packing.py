@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,26 +27,36 @@ class WordIds(dict):
     ``limit`` bounds the memory; a full cache is emptied and filled anew.
     """
 
-    def __init__(self, tokenizer_path: str, limit: int = 400_000):
+    def __init__(self, tokenizer_path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_path), limit
 
-    def encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.encode(" " + word))
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(" " + word)
         if len(word) <= 64:
             if len(self) >= self.limit:
                 self.clear()
             self[word] = ids
         return ids
 
-    def ids(self, text: str) -> np.ndarray:
+    def ids(self, text: str) -> bytes:
+        """All ids of a text and id 0, little-endian unsigned 32-bit."""
         words = _BEFORE_WORD.split(text) if _SPACES.search(text) else text.split(" ")
-        rest = chain.from_iterable(map(self.__getitem__, words[1:]))
-        return np.fromiter(chain(self.encode(words[0]), rest, (0,)), dtype="<u4")
+        return b"".join((self.encode(words[0]), *map(self.__getitem__, words[1:]), bytes(4)))
+
+
+_KEPT: dict[str, WordIds] = {}
+
+
+def words_of(tokenizer_path: str) -> WordIds:
+    """One cache per worker process, kept between tasks."""
+    if tokenizer_path not in _KEPT:
+        _KEPT[tokenizer_path] = WordIds(tokenizer_path)
+    return _KEPT[tokenizer_path]
 
 
 def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> tuple[list[int], list[int], int]:
@@ -97,17 +106,18 @@ def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> tuple[list[
 
 def _pieces(tokenizer_path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = words_of(tokenizer_path)
         names = ["doc_id", "start", "length", "doc_tokens", "ids"]
         for batch in batches:
             out, held = [[] for _ in names], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = words.ids(text.as_py() or "")
-                for s in range(0, len(ids), window):
-                    cut = ids[s:s + window]
-                    for col, v in zip(out, (doc, s, len(cut), len(ids), cut.tobytes())):
+                n = len(ids) // 4
+                for s in range(0, n, window):
+                    cut = ids[4 * s:4 * (s + window)]
+                    for col, v in zip(out, (doc, s, len(cut) // 4, n, cut)):
                         col.append(v)
-                held += len(ids)
+                held += n
                 if held > 4_000_000:
                     yield _batch(out)
                     out, held = [[] for _ in names], 0
