@@ -215,7 +215,10 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text
     single = windows.join(least, ["anchor", "window"]).where(where != F.col("least")).select(
         "doc", "twin", F.col("first").alias("start"), (F.col("first") + length).alias("end"))
 
-    marks = whole.unionByName(single).groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
+    marks = materialize(whole.unionByName(single).groupBy("doc", "twin").agg(
+        F.collect_list(F.struct("start", "end")).alias("marks")))
+    for done in (whole, windows, least):  # before the texts are moved
+        discard(done)
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
     rows = docs.select(ident.alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("twin"), rest, text.alias("text"))
     kind = rows.schema["rest"].dataType.simpleString()
