@@ -26,7 +26,11 @@ def _day(day) -> dt.date:
 
 
 def select_jobs(jobs: DataFrame, task: str | None = None, day=None) -> DataFrame:
-    """Narrow the job log; the day test becomes a range on createddate, pushed to the scan."""
+    """Narrow the job log; the day test becomes a range on createddate, pushed to the scan.
+
+    A row without createddate belongs to no day and is in no output.
+    """
+    jobs = jobs.filter(F.col("createddate").isNotNull())
     if task is not None:
         jobs = jobs.filter(F.col("task") == task)
     if day is not None:

@@ -4,20 +4,18 @@ Input: the meters of each batch tier with the tier's window [win_start, win_end]
 (``sla.with_window``), one "windowed" row per (batch, tier, meter). A "need" is
 one distinct (meterid, win_start, win_end).
 
-Plan shape, chosen so that no meter's history lands in one task whole and no
-alarm is paired with every window of its meter:
-
-* Window boundaries per day (a few per batch, ``day_boundaries``) cut each day
-  into cells (``day_cells``). Each alarm or import finds its cell through a
-  broadcast join on (day, hour) and a range test, one row per signal, and a
-  partial aggregate per (meter, day, cell) summarises them before any shuffle
-  (``signal_slots``).
-* Only those summaries meet the windows, on (meter, day) with a cell-range
-  condition (``_slot_contributions``): a key pairs cells x windows.
-* Alarms on earlier days: a per-(meter, day) summary and a running maximum per
-  meter with the window rows interleaved, bounded by the calendar.
-* Both parts are unioned and aggregated once per windowed row; the state is
-  computed on that row, so there is neither a left join nor a join back.
+Plan shape:
+
+* Windows start at an anchor cut to the second and last whole minutes, so every window bound lies on a
+  whole second. Signals are summarised per (meter, day, slot) by a partial aggregate before any
+  shuffle; a slot is one whole second's instant or the open gap after it, so a hot meter-day shrinks to at
+  most 172,800 rows on a map task, whatever its windows (``signal_slots``).
+* Only these summaries meet the meter's own windows, on (meter, day) with a slot-range condition
+  (``_slot_contributions``). There is no table of all batches' boundaries and no broadcast.
+* Alarms on earlier days: a summary per (meter, day) of the wanted meters, with all days before
+  the first window in one row, and a running maximum per meter over that and its distinct start days
+  (``_earlier_days``): at most the days of the windows' range plus one.
+* Both parts are unioned and aggregated once per windowed row; the state is computed on that row.
 """
 
 from __future__ import annotations
@@ -43,16 +41,25 @@ def needs_of(windowed: DataFrame) -> DataFrame:
 START_KEYS = ("meterid", "win_start")
 
 
-def _signals(alarms: DataFrame, imports: DataFrame | None) -> DataFrame:
-    """Alarms (and imports) as one relation: (meterid, day, t, is_alarm, is_on, is_off)."""
-    a = alarms.select(F.col("meterid"), F.col("alarm_date").alias("t"), F.lit(True).alias("is_alarm"),
-                      names_power_on(F.col("alarm_names")).alias("is_on"),
-                      names_power_off(F.col("alarm_names")).alias("is_off"))
+def _signals(alarms: DataFrame | None, imports: DataFrame | None) -> DataFrame:
+    """The given logs as one relation: (meterid, day, t, is_alarm, is_on, is_off)."""
+    parts = []
+    if alarms is not None:
+        parts.append(alarms.select(
+            F.col("meterid"), F.col("alarm_date").alias("t"), F.lit(True).alias("is_alarm"),
+            F.coalesce(names_power_on(F.col("alarm_names")), F.lit(False)).alias("is_on"),
+            F.coalesce(names_power_off(F.col("alarm_names")), F.lit(False)).alias("is_off")))
     if imports is not None:
-        i = imports.select(F.col("meter_id").alias("meterid"), F.col("das_rtc").alias("t"),
-                           F.lit(False).alias("is_alarm"), F.lit(False).alias("is_on"), F.lit(False).alias("is_off"))
-        a = a.unionByName(i)
-    return a.filter(F.col("t").isNotNull()).withColumn("day", day_of(F.col("t")))
+        parts.append(imports.select(
+            F.col("meter_id").alias("meterid"), F.col("das_rtc").alias("t"), F.lit(False).alias("is_alarm"),
+            F.lit(False).alias("is_on"), F.lit(False).alias("is_off")))
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return both.filter(F.col("t").isNotNull()).withColumn("day", day_of(F.col("t")))
+
+
+def power_alarms(alarms: DataFrame) -> DataFrame:
+    """Alarms that name a power event (a filter on the scan, before any shuffle)."""
+    return alarms.filter(names_power_on(F.col("alarm_names")) | names_power_off(F.col("alarm_names")))
 
 
 def _window_days(rows: DataFrame, keys) -> DataFrame:
@@ -62,29 +69,18 @@ def _window_days(rows: DataFrame, keys) -> DataFrame:
     return rows.select(*cols, F.explode(days).alias("day"))
 
 
-def window_signals(needs: DataFrame, alarms: DataFrame, imports: DataFrame) -> DataFrame:
-    """Signals joined to the needs they can matter to: alarms before the start on the
-    start's day, and power alarms and imports inside [win_start, win_end]."""
-    t, s, e = F.col("t"), F.col("win_start"), F.col("win_end")
-    inside = (t >= s) & (t <= e)
-    before = F.col("is_alarm") & (t < s)
-    power = F.col("is_on") | F.col("is_off")
-    return (_signals(alarms, imports).join(_window_days(needs, NEED_KEYS), ["meterid", "day"])
-            .filter(before | (inside & (power | ~F.col("is_alarm"))))
-            .withColumn("inside", inside))
-
-
-def power_flips(needs: DataFrame, alarms: DataFrame, imports: DataFrame) -> DataFrame:
+def power_flips(needs: DataFrame, alarms: DataFrame) -> DataFrame:
     """Power alarms inside each window, state 1 = power on (also when both are named)."""
-    ws = window_signals(needs, alarms, None)
-    return (ws.filter(F.col("inside") & F.col("is_alarm"))
-            .select(*NEED_KEYS, F.col("t").alias("alarm_date"), flip_state(F.col("is_on")).alias("state")))
+    t = F.col("t")
+    return (_signals(power_alarms(alarms), None).join(_window_days(needs, NEED_KEYS), ["meterid", "day"])
+            .filter((t >= F.col("win_start")) & (t <= F.col("win_end")))
+            .select(*NEED_KEYS, t.alias("alarm_date"), flip_state(F.col("is_on")).alias("state")))
 
 
-def flip_listing(needs: DataFrame, alarms: DataFrame, imports: DataFrame) -> DataFrame:
+def flip_listing(needs: DataFrame, alarms: DataFrame) -> DataFrame:
     """The listing entries 'METER_FIRST_BREATH @ dd-MM-yyyy HH:mm:ss' / 'METER_LAST_GASP @ ...'
     of each window, one row per flip (sort by alarm_date descending to read it newest first)."""
-    flips = power_flips(needs, alarms, imports)
+    flips = power_flips(needs, alarms)
     return flips.select(*NEED_KEYS, "state", "alarm_date",
                         flip_text(F.col("state"), F.col("alarm_date")).alias("flip_text"))
 
@@ -100,69 +96,24 @@ def _markers(rows: DataFrame, keys, **given) -> DataFrame:
     return rows.select(*keys, *[given.get(c, F.lit(None).cast(t)).alias(c) for c, t in _CONTRIBUTIONS])
 
 
-def day_boundaries(windows: DataFrame) -> DataFrame:
-    """Per calendar day a window touches, the sorted distinct window starts and
-    ends falling on it (empty for a day strictly inside a long window).
-
-    ``windows`` holds (win_start, win_end) pairs, e.g. ``sla.tier_window``: one
-    per batch and tier, so a day has a few boundaries per batch whatever the
-    number of jobs, meters or alarms.
-    """
-    s, e = F.col("win_start"), F.col("win_end")
-    days = windows.select(s, e, F.explode(F.sequence(day_of(s), day_of(e))).alias("day"))
-    here = days.select("day", F.when(day_of(s) == F.col("day"), s).alias("a"),
-                       F.when(day_of(e) == F.col("day"), e).alias("b"))
-    return here.groupBy("day").agg(
-        F.array_sort(F.array_union(F.collect_set("a"), F.collect_set("b"))).alias("bounds"))
-
+def slot_of(t: Column) -> Column:
+    """2 x the second of ``t``, plus 1 when it lies after that second's instant: for a whole-second
+    bound b, t < b, t = b and t > b are the same comparisons of slots."""
+    micros = micros_between(F.lit(EPOCH).cast(_TS), t)
+    return F.floor(micros / F.lit(1_000_000)) * 2 + F.when(F.pmod(micros, F.lit(1_000_000)) > 0, 1).otherwise(0)
 
-def day_cells(bounds: DataFrame) -> DataFrame:
-    """The day cut at its boundaries b1 < b2 < ... into cells, each with its slot:
-    the point bi is slot 2i-1, the open gap after it 2i, the gap before b1 slot 0.
 
-    Cells are listed once per hour they overlap, so a signal finds its cell by
-    an equi-join on (day, hour) plus a compiled range test, not by scanning the
-    day's boundaries.
-    """
-    pts = bounds.select("day", "bounds", F.posexplode("bounds").alias("i", "b"))
-    ts0 = F.lit(None).cast(_TS)
-    points = pts.select("day", F.col("b").alias("lo"), F.col("b").alias("hi"),
-                        (F.col("i") * 2 + 1).alias("p"), F.lit(True).alias("is_point"))
-    gaps = pts.select("day", F.col("b").alias("lo"), F.try_element_at(F.col("bounds"), F.col("i") + 2).alias("hi"),
-                      (F.col("i") * 2 + 2).alias("p"), F.lit(False).alias("is_point"))
-    first = bounds.select("day", ts0.alias("lo"), F.try_element_at(F.col("bounds"), F.lit(1)).alias("hi"),
-                          F.lit(0).alias("p"), F.lit(False).alias("is_point"))
-    cells = points.unionByName(gaps).unionByName(first)
-    hours = F.sequence(F.coalesce(F.hour("lo"), F.lit(0)), F.coalesce(F.hour("hi"), F.lit(23)))
-    return cells.select("day", F.explode(hours).alias("hour"), "lo", "hi", F.col("p").cast("int").alias("p"),
-                        "is_point")
-
-
-def signal_slots(alarms: DataFrame, imports: DataFrame | None, cells: DataFrame) -> DataFrame:
-    """Signals summarised per (meterid, day, slot between the day's boundaries).
-
-    Each signal finds its cell in a join with the broadcast cell table on
-    (day, hour) plus a range test (exactly one row per signal, no fan-out;
-    days without windows drop out), then a partial aggregate per
-    (meter, day, slot) runs before the shuffle: a hot meter-day shrinks to at
-    most 2 * boundaries + 1 rows.
-    """
-    sig = _signals(alarms, imports).withColumn("hour", F.hour(F.col("t"))).alias("s")
-    c = cells.alias("c")
-    t, lo, hi = F.col("s.t"), F.col("c.lo"), F.col("c.hi")
-    in_cell = ((F.col("c.is_point") & (t == lo))
-               | (~F.col("c.is_point") & (lo.isNull() | (t > lo)) & (hi.isNull() | (t < hi))))
-    joined = sig.join(c, (F.col("s.day") == F.col("c.day")) & (F.col("s.hour") == F.col("c.hour")) & in_cell)
-    alarm = F.col("s.is_alarm")
-    power = alarm & (F.col("s.is_on") | F.col("s.is_off"))
+def signal_slots(alarms: DataFrame | None, imports: DataFrame | None) -> DataFrame:
+    """Signals summarised per (meterid, day, slot) by a partial aggregate (no join, no fan-out)."""
+    t, alarm = F.col("t"), F.col("is_alarm")
+    power = F.col("is_on") | F.col("is_off")
     # newest flip as one long, 2 * micros + (1 - state): its max is the newest
     # time and, on a tie of times, the power-off (state 0); a plain max keeps
     # the aggregate a hash aggregate.
-    key = micros_between(F.lit(EPOCH).cast(_TS), t) * 2 + (1 - flip_state(F.col("s.is_on")))
-    return (joined.groupBy(F.col("s.meterid").alias("meterid"), F.col("s.day").alias("day"),
-                           F.col("c.p").alias("p")).agg(
-        F.max(F.when(alarm & F.col("s.is_on"), t)).alias("on_t"),
-        F.max(F.when(alarm & F.col("s.is_off"), t)).alias("off_t"),
+    key = micros_between(F.lit(EPOCH).cast(_TS), t) * 2 + (1 - flip_state(F.col("is_on")))
+    return (_signals(alarms, imports).withColumn("p", slot_of(t)).groupBy("meterid", "day", "p").agg(
+        F.max(F.when(F.col("is_on"), t)).alias("on_t"),
+        F.max(F.when(F.col("is_off"), t)).alias("off_t"),
         F.count_if(alarm).alias("n_alarms"),
         F.count_if(power).alias("n_flips"),
         F.max(F.when(power, key)).alias("newest_key"),
@@ -171,18 +122,13 @@ def signal_slots(alarms: DataFrame, imports: DataFrame | None, cells: DataFrame)
         F.min(F.when(~alarm, t)).alias("import_t")))
 
 
-def _slot_contributions(rows: DataFrame, keys, slots: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Contributions of the slot summaries to each row's window: slots before the
-    start on the start's day, slots inside [win_start, win_end] on each day the
-    window touches. Pairs are slots x windows of one meter-day, both bounded."""
-    s, e, day = F.col("win_start"), F.col("win_end"), F.col("day")
-    spans = (_window_days(rows, keys).join(bounds, "day", "left")
-             .select(*keys, "day",
-                     F.when(day_of(s) == day, F.array_position(F.col("bounds"), s) * 2 - 1).alias("p_s"),
-                     F.when(day_of(e) == day, F.array_position(F.col("bounds"), e) * 2 - 1).alias("p_e")))
+def _slot_contributions(rows: DataFrame, keys, slots: DataFrame) -> DataFrame:
+    """Contributions of the slot summaries to each row's window: slots before the start on the
+    start's day, and slots inside [win_start, win_end]. Window bounds are whole seconds."""
+    spans = _window_days(rows, keys).select(*keys, "day", slot_of(F.col("win_start")).alias("p_s"),
+                                            slot_of(F.col("win_end")).alias("p_e"))
     p = F.col("p")
-    inside = (p >= F.coalesce(F.col("p_s"), F.lit(0))) & (p <= F.coalesce(F.col("p_e"), F.lit(2 ** 31 - 1)))
-    before = F.coalesce(p < F.col("p_s"), F.lit(False))
+    inside, before = (p >= F.col("p_s")) & (p <= F.col("p_e")), p < F.col("p_s")
     zero = F.lit(0).cast("long")
     return (slots.join(spans, ["meterid", "day"]).filter(inside | before)
             .select(*keys,
@@ -222,27 +168,34 @@ def merge_alarm_daily_summary(summary: DataFrame, new_alarms: DataFrame) -> Data
             .agg(F.max("on_t").alias("on_t"), F.max("off_t").alias("off_t"), F.sum("n").alias("n")))
 
 
+def fold_days(summary: DataFrame, first_day) -> DataFrame:
+    """A daily summary with all days before ``first_day`` (a datetime) in one row per meter."""
+    floor = _ntz(first_day) - F.expr("INTERVAL 1 DAY")
+    return summary.groupBy("meterid", F.greatest("day", floor).alias("day")).agg(
+        F.max("on_t").alias("on_t"), F.max("off_t").alias("off_t"), F.sum("n").alias("n"))
+
+
 def _earlier_days(rows: DataFrame, keys, alarm_days: DataFrame) -> DataFrame:
     """Per row: newest on/off alarm and alarm count on days before the start's day.
 
-    A running maximum per meter over the daily summary with the rows
-    interleaved (a row sorts before the alarm rows of its own day, so it sees
-    earlier days only). A meter has one row per calendar day plus one per
-    window: bounded by the calendar, not by its alarm count. Yields exactly
-    one row per input row.
+    All windows of a meter that start on one day share the answer, so the running maximum goes
+    over the meter's distinct start days and its daily summary (of wanted meters only), and is
+    joined back on (meterid, day). Yields exactly one row per input row.
     """
-    ts0 = F.lit(None).cast(_TS)
-    others = [k for k in keys if k != "meterid"]
-    daily = alarm_days.select(*[F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in others],
-                              "meterid", "day", F.lit(1).alias("kind"), "on_t", "off_t", "n")
-    starts = rows.select(*keys, day_of(F.col("win_start")).alias("day"), F.lit(0).alias("kind"),
-                         ts0.alias("on_t"), ts0.alias("off_t"), F.lit(0).cast("long").alias("n"))
+    dated = rows.withColumn("day", day_of(F.col("win_start")))
+    wanted = dated.select("meterid", "day").distinct()
+    none = F.lit(None).cast(_TS)
+    daily = alarm_days.join(wanted.select("meterid").distinct(), "meterid", "left_semi").select(
+        "meterid", "day", F.lit(1).alias("kind"), "on_t", "off_t", "n")
+    starts = wanted.select("meterid", "day", F.lit(0).alias("kind"), none.alias("on_t"), none.alias("off_t"),
+                           F.lit(0).cast("long").alias("n"))
     w = Window.partitionBy("meterid").orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (starts.unionByName(daily)
-              .select(*keys, "kind", F.max("on_t").over(w).alias("on_t"), F.max("off_t").over(w).alias("off_t"),
-                      F.sum("n").over(w).alias("n"))
-              .filter(F.col("kind") == 0))
-    return _markers(ranked, keys, on_before=F.col("on_t"), off_before=F.col("off_t"), alarms_before=F.col("n"))
+    running = (starts.unionByName(daily)
+               .select("meterid", "day", "kind", F.max("on_t").over(w).alias("on_t"),
+                       F.max("off_t").over(w).alias("off_t"), F.sum("n").over(w).alias("n"))
+               .filter(F.col("kind") == 0).drop("kind"))
+    return _markers(dated.join(running, ["meterid", "day"], "left"), keys, on_before=F.col("on_t"),
+                    off_before=F.col("off_t"), alarms_before=F.col("n"))
 
 
 def _aggregate(contributions: DataFrame, keys) -> DataFrame:
@@ -260,58 +213,36 @@ def _aggregate(contributions: DataFrame, keys) -> DataFrame:
              "import_count", "first_import_time"))
 
 
-def _geometry(rows: DataFrame, day_bounds: DataFrame | None, cells: DataFrame | None):
-    """(bounds, cells) for the rows' windows, each broadcast behind a row check;
-    callers that already hold them (``SlaAnalysis``) pass them in."""
-    from ..plans.materialize import broadcast_if_small, materialize
-    if day_bounds is None:
-        day_bounds = materialize(day_boundaries(rows.select("win_start", "win_end").distinct()))
-        cells = broadcast_if_small(day_cells(day_bounds)) if cells is None else cells
-        day_bounds = broadcast_if_small(day_bounds)
-    elif cells is None:
-        cells = broadcast_if_small(day_cells(day_bounds))
-    return day_bounds, cells
-
-
 def power_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame,
-                alarm_days: DataFrame | None = None, day_bounds: DataFrame | None = None,
-                cells: DataFrame | None = None) -> DataFrame:
+                alarm_days: DataFrame | None = None) -> DataFrame:
     """Everything the state rule reads, one row per windowed (batch, tier, meter) row.
 
-    The earlier-days rows (exactly one per windowed row) and the slot
-    contributions are unioned and aggregated once, so every windowed row is
-    present without a left join and the state needs no join back.
-    ``alarm_days`` (``alarm_daily_summary``) defaults to summarising ``alarms``;
-    ``day_bounds`` / ``cells`` (``day_boundaries`` / ``day_cells``) default to the windows' own.
+    The earlier-days rows (exactly one per windowed row) and the slot contributions are unioned and
+    aggregated once, so every windowed row is present. ``alarm_days``
+    (``alarm_daily_summary``) defaults to summarising ``alarms``.
     """
     days = alarm_daily_summary(alarms) if alarm_days is None else alarm_days
-    bounds, cells = _geometry(windowed, day_bounds, cells)
-    slots = signal_slots(alarms, imports, cells)
     rows = _earlier_days(windowed, WINDOW_KEYS, days).unionByName(
-        _slot_contributions(windowed, WINDOW_KEYS, slots, bounds))
+        _slot_contributions(windowed, WINDOW_KEYS, signal_slots(alarms, imports)))
     return _aggregate(rows, WINDOW_KEYS)
 
 
-def prior_facts(windowed: DataFrame, alarms: DataFrame, alarm_days: DataFrame | None = None,
-                day_bounds: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+def prior_facts(windowed: DataFrame, alarms: DataFrame, alarm_days: DataFrame | None = None) -> DataFrame:
     """Alarm facts before each distinct (meterid, win_start): alarms only.
     ``windowed`` needs the columns meterid and win_start only."""
     days = alarm_daily_summary(alarms) if alarm_days is None else alarm_days
     starts = windowed.select(*START_KEYS).distinct().withColumn("win_end", F.col("win_start"))
-    bounds, cells = _geometry(windowed, day_bounds, cells)
-    slots = signal_slots(alarms, None, cells)
     rows = _earlier_days(starts, START_KEYS, days).unionByName(
-        _slot_contributions(starts, START_KEYS, slots, bounds))
+        _slot_contributions(starts, START_KEYS, signal_slots(alarms, None)))
     return _aggregate(rows, START_KEYS)
 
 
-def window_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame,
-                 day_bounds: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
-    """In-window facts per distinct (meterid, win_start, win_end): flips, newest flip, imports."""
+def window_facts(windowed: DataFrame, alarms: DataFrame | None, imports: DataFrame | None) -> DataFrame:
+    """In-window facts per distinct (meterid, win_start, win_end): flips and newest flip from the
+    power alarms, imports from the import log; a log that is not given adds nothing."""
     needs = needs_of(windowed)
-    bounds, cells = _geometry(windowed, day_bounds, cells)
-    slots = signal_slots(alarms, imports, cells)
-    rows = _markers(needs, NEED_KEYS).unionByName(_slot_contributions(needs, NEED_KEYS, slots, bounds))
+    slots = signal_slots(None if alarms is None else power_alarms(alarms), imports)
+    rows = _markers(needs, NEED_KEYS).unionByName(_slot_contributions(needs, NEED_KEYS, slots))
     return _aggregate(rows, NEED_KEYS)
 
 
@@ -353,9 +284,7 @@ def import_presence(inside: DataFrame) -> DataFrame:
 def state_of(facts: DataFrame) -> DataFrame:
     """The state text per windowed row."""
     code = F.when(F.col("has_alarm_before"), prior_code(F.col("last_on_before"), F.col("last_off_before")))
-    imp = F.when(F.col("import_count") > 0, F.lit("Yes")).otherwise(F.lit("No"))
-    return facts.select(*WINDOW_KEYS,
-                        power_state(F.col("flip_count"), imp, F.coalesce(F.col("latest_state"), code))
+    return facts.select(*WINDOW_KEYS, power_state(F.col("flip_count") > 0, F.col("import_count") > 0, code)
                         .alias("meter_power_state"))
 
 

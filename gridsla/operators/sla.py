@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import gap, percentage, target_count
 from ..functions.tiers import known_task, tier_label, window_minutes
-from ..functions.timecols import day_start, plus_minutes
+from ..functions.timecols import plus_minutes
 from ..sources.policy import DEFAULT_POLICY, NO_GUID, UNKNOWN_METRIC, TaskPolicy, policy_frame
-from .batches import BATCH_KEYS, select_jobs
+from .batches import BATCH_KEYS
 
 
 def _max_tiers(policy) -> int:
@@ -138,15 +138,3 @@ def na_rows(task_days: DataFrame, with_time: bool = True) -> DataFrame:
              F.lit(0).cast("long").alias("pending_for_target"), F.lit(1).alias("sla_order"),
              F.lit(0).cast("long").alias("unfinished_count")]
     return task_days.select(*cols)
-
-
-def unknown_task_report(jobs: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY,
-                        *, task: str | None = None, day=None, with_time: bool = True) -> DataFrame:
-    """One N/A row per task without policy and day (the reference's fallback row).
-
-    ``job_date`` is the current time, as in the reference; ``with_time=False``
-    leaves it out for comparisons.
-    """
-    unknown = (select_jobs(jobs, task, day).filter(~known_task("task", policy))
-               .select("task", day_start(F.col("createddate")).alias("job_day")).distinct())
-    return na_rows(unknown, with_time)

@@ -21,7 +21,7 @@ from ..operators import sla as S
 from ..operators import split as X
 from ..functions.tiers import known_task
 from ..sources.policy import DEFAULT_POLICY, TaskPolicy, validate
-from .materialize import broadcast_if_rows, materialize
+from .materialize import broadcast_if_rows, discard, materialize
 
 
 class SlaAnalysis:
@@ -36,6 +36,7 @@ class SlaAnalysis:
         self.policy = validate(policy)
         self.narrow = {"task": task, "day": day, "guid": guid}
         self.keep_power_facts = False
+        self._kept: list[DataFrame] = []
 
     # shared intermediates
     @cached_property
@@ -47,7 +48,7 @@ class SlaAnalysis:
         """Anchors of every batch, tasks without policy included (one per task and
         day): checkpointed once, so the N/A rows cost no second job-log scan."""
         every = B.assign_batches(self.jobs, self.policy, include_unknown=True, **self.narrow)
-        return materialize(B.batch_anchor(every))
+        return self._keep(B.batch_anchor(every))
 
     @cached_property
     def anchors(self) -> DataFrame:
@@ -84,18 +85,10 @@ class SlaAnalysis:
     def needs(self) -> DataFrame:
         return P.needs_of(self.windowed)
 
-    # Window geometry, bounded from the batch count alone: a batch adds at most
-    # (tiers + 1) boundaries over at most `_span_days` days, so the boundary and
-    # cell tables have proven row bounds without being counted. The scan range
-    # is [first anchor's day, last anchor + longest window].
     @cached_property
     def _longest(self) -> int:
         return max(p.max_limit for p in self.policy)
 
-    @cached_property
-    def _span_days(self) -> int:
-        return 2 + self._longest // 1440
-
     @cached_property
     def bounds(self):
         """(first window day, midnight of the last window end's day, last window end) or None."""
@@ -106,62 +99,47 @@ class SlaAnalysis:
         return (dt.datetime.combine(st.first.date(), dt.time()),
                 dt.datetime.combine(last.date(), dt.time()), last)
 
-    @cached_property
-    def _bounds(self) -> DataFrame:
-        # derived from the materialised anchors (one row per batch): rebuilt as a
-        # small broadcast side inside the query
-        return P.day_boundaries(S.tier_window(self.anchors, self.policy))
-
-    @cached_property
-    def day_bounds(self) -> DataFrame:
-        return broadcast_if_rows(self._bounds, self.anchor_stats.batches * self._span_days)
-
-    @cached_property
-    def day_cells(self) -> DataFrame:
-        tiers = max(len(p.tiers) for p in self.policy)
-        points = self.anchor_stats.batches * (tiers + 1)
-        # two cells per boundary plus one per day, each listed for the hours it spans
-        return broadcast_if_rows(P.day_cells(self._bounds),
-                                 (2 * points + self.anchor_stats.batches * self._span_days) * 24)
-
     @cached_property
     def window_alarms(self) -> DataFrame:
-        self._need_power_inputs()
         b = self.bounds
-        return self.alarms if b is None else P.restrict_alarms(self.alarms, b[0], b[2])
+        alarms = self._given(self.alarms, "alarm")
+        return alarms if b is None else P.restrict_alarms(alarms, b[0], b[2])
 
     @cached_property
     def window_imports(self) -> DataFrame:
-        self._need_power_inputs()
         b = self.bounds
-        return self.imports if b is None else P.restrict_imports(self.imports, b[0], b[2])
+        imports = self._given(self.imports, "import")
+        return imports if b is None else P.restrict_imports(imports, b[0], b[2])
 
     @cached_property
     def alarm_days(self) -> DataFrame:
-        self._need_power_inputs()
-        if self.alarm_days_given is not None:
-            return self.alarm_days_given
         b = self.bounds
-        # the earlier-days pass reads only days before a window's start day
-        history = self.alarms if b is None else P.alarm_history(self.alarms, b[1])
-        return P.alarm_daily_summary(history)
+        if self.alarm_days_given is not None:
+            daily = self.alarm_days_given
+        else:
+            # the earlier-days pass reads only days before a window's start day
+            alarms = self._given(self.alarms, "alarm")
+            daily = P.alarm_daily_summary(alarms if b is None else P.alarm_history(alarms, b[1]))
+        return daily if b is None else P.fold_days(daily, b[0])
 
     @cached_property
     def facts(self) -> DataFrame:
-        facts = P.power_facts(self.windowed, self.window_alarms, self.window_imports, self.alarm_days,
-                              self.day_bounds, self.day_cells)
-        return materialize(facts) if self.keep_power_facts else facts
+        facts = P.power_facts(self.windowed, self.window_alarms, self.window_imports, self.alarm_days)
+        return self._keep(facts) if self.keep_power_facts else facts
 
     @cached_property
     def prior(self) -> DataFrame:
         # window starts are (meter, batch anchor) whatever the tier: straight from the timed jobs
         starts = self.timed.select("meterid", F.col("job_date").alias("win_start"))
-        return P.prior_facts(starts, self.window_alarms, self.alarm_days, self.day_bounds, self.day_cells)
+        return P.prior_facts(starts, self.window_alarms, self.alarm_days)
 
     @cached_property
-    def inside(self) -> DataFrame:
-        return P.window_facts(self.windowed, self.window_alarms, self.window_imports, self.day_bounds,
-                              self.day_cells)
+    def flips_inside(self) -> DataFrame:
+        return P.window_facts(self.windowed, self.window_alarms, None)
+
+    @cached_property
+    def imports_inside(self) -> DataFrame:
+        return P.window_facts(self.windowed, None, self.window_imports)
 
     @cached_property
     def states(self) -> DataFrame:
@@ -171,9 +149,22 @@ class SlaAnalysis:
     def split(self) -> DataFrame:
         return X.power_split(self.states)
 
-    def _need_power_inputs(self):
-        if self.alarms is None or self.imports is None:
-            raise ValueError("power analysis needs the alarm and import tables")
+    @staticmethod
+    def _given(log: DataFrame | None, name: str) -> DataFrame:
+        if log is None:
+            raise ValueError(f"this output needs the {name} log")
+        return log
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        kept = materialize(df)
+        self._kept.append(kept)
+        return kept
+
+    def close(self) -> None:
+        """Delete the tables this object has written; its outputs cannot be read afterwards."""
+        for df in self._kept:
+            discard(df)
+        self._kept = []
 
     def has_batches(self) -> bool:
         """False when no batch matches (the "no records" case); reads the small
@@ -221,19 +212,19 @@ class SlaAnalysis:
         return P.prior_power_code(self.prior)
 
     def power_flips(self):
-        return P.power_flips(self.needs, self.window_alarms, self.window_imports)
+        return P.power_flips(self.needs, self.window_alarms)
 
     def flip_counts(self):
-        return P.flip_counts(self.inside)
+        return P.flip_counts(self.flips_inside)
 
     def flip_listing(self):
-        return P.flip_listing(self.needs, self.window_alarms, self.window_imports)
+        return P.flip_listing(self.needs, self.window_alarms)
 
     def latest_flip(self):
-        return P.latest_flip(self.inside)
+        return P.latest_flip(self.flips_inside)
 
     def import_presence(self):
-        return P.import_presence(self.inside)
+        return P.import_presence(self.imports_inside)
 
     def meter_power_state(self):
         return self.states
@@ -254,7 +245,13 @@ class SlaAnalysis:
         return L.late_job_export(self.late, self.states)
 
     def unknown_task_report(self, with_time: bool = True):
+        """The N/A row of each task without policy and day; a task asked for gets one whatever the log holds."""
         unknown = self.all_anchors.filter(~known_task("task", self.policy)).select("task", "job_day")
+        task, day = self.narrow["task"], self.narrow["day"]
+        if task is not None and task not in {p.task for p in self.policy}:
+            asked = self.jobs.sparkSession.createDataFrame([(task, None if day is None else str(day))], "task string, d string")
+            asked = asked.select("task", F.to_date("d").cast("timestamp_ntz").alias("job_day"))
+            unknown = unknown.unionByName(asked.join(unknown, "task", "left_anti"))
         return S.na_rows(unknown, with_time)
 
     # every output in one run
@@ -268,9 +265,8 @@ class SlaAnalysis:
     def write_outputs(self, root: str, names: tuple[str, ...] | None = None, fmt: str = "parquet") -> dict[str, str]:
         """Write the chosen outputs under ``root`` (CSV with header for the two exports).
 
-        The per-window power facts feed six outputs; they are checkpointed
-        once (lineage cut, in ``spark.checkpoint.dir``) instead of recomputed
-        per output. Returns name -> path.
+        The per-window power facts feed six outputs; they are written
+        once to the shared folder instead of recomputed per output. Returns name -> path.
         """
         from ..sources.sinks import write_csv
         names = self.OUTPUTS if names is None else names

@@ -1,16 +1,16 @@
 """Materialising small intermediates and broadcasting them only behind a size check.
 
 A per-batch table (one row per task, day and guid) is tiny next to the job log,
-but its size is not known when the plan is built. ``checked_broadcast`` writes it
-once to the cluster's checkpoint folder (reliable ``checkpoint()``, so a lost
-executor does not lose it and the lineage is cut), counts the rows, and hints a
-broadcast only below a row bound. Above the bound the join stays a shuffle join,
-where AQE can still convert it or split skewed keys at run time.
+but its size is not known when the plan is built. It is written once as Parquet to the
+folder that ``spark.checkpoint.dir`` names (where it is unset, to the session's warehouse folder);
+both are shared by driver and executors, so a lost executor loses no row and the lineage is cut.
+A broadcast is hinted only below a row bound; above it the join stays a shuffle join, where AQE can
+still convert it or split skewed keys at run time.
 """
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,46 +20,25 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 BROADCAST_ROWS_CONF = "gridsla.broadcast.maxRows"
 
 
-def _context(spark: SparkSession):
-    try:
-        return spark.sparkContext
-    except Exception:  # a Spark Connect session has no SparkContext on the client
-        return None
-
-
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``."""
-    sc = _context(spark)
-    if sc is not None and sc.getCheckpointDir():
-        return sc.getCheckpointDir()
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf and sc is not None:
-        conf = sc.getConf().get("spark.checkpoint.dir", None)
-    if conf and sc is not None:
-        sc.setCheckpointDir(conf)
-        return sc.getCheckpointDir()
-    return conf or None
-
-
-def ensure_local_checkpoint_dir(spark: SparkSession) -> str:
-    """For tests and local runs only: set a scratch checkpoint folder where none is set."""
-    found = checkpoint_dir(spark)
-    if found:
-        return found
-    folder = tempfile.mkdtemp(prefix="gridsla-ckpt-")
-    sc = _context(spark)
-    if sc is not None:
-        sc.setCheckpointDir(folder)
-        return sc.getCheckpointDir()
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+def shared_dir(spark: SparkSession) -> str:
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint into ``spark.checkpoint.dir``."""
-    if checkpoint_dir(df.sparkSession) is None:
-        raise RuntimeError("spark.checkpoint.dir is not set; set it to a folder all executors share")
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/gridsla-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._gridsla_path = path
+    return kept
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that ``materialize`` wrote."""
+    spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._gridsla_path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def broadcast_row_limit(spark: SparkSession) -> int:

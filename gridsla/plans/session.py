@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from .materialize import ensure_local_checkpoint_dir
-
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -23,14 +21,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    prepare(spark)
-    return spark
-
-
-def prepare(spark: SparkSession) -> SparkSession:
-    """For a session the operators did not create (local runs, tests): a scratch
-    checkpoint folder where the session names none. A cluster names a shared one."""
-    ensure_local_checkpoint_dir(spark)
     return spark
 
 

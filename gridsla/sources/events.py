@@ -19,6 +19,8 @@ DURATION_MULTIPLIER = (1, 2, 6, 12)
 ALARM_BY_EVENT = {"error": "METER_LAST_GASP", "signup": "METER_FIRST_BREATH", "click": "COVER_OPEN"}
 IMPORT_EVENTS = ("view", "purchase")
 UNFINISHED_EVERY = 97  # event_id % 97 == 0 -> job never completed
+UNLISTED_EVERY, UNLISTED_TASK = 101, "meterDiagnostics"  # event_id % 101 == 0 -> a task without policy
+NO_GUID_EVERY = 89     # event_id % 89 == 0 -> no guid
 
 
 def _pick(index: Column, values) -> Column:
@@ -39,8 +41,9 @@ def jobs_from_events(events: DataFrame) -> DataFrame:
     step_ms = F.round(F.col("value") * 100).cast("long") * 600 * _pick(mod4, DURATION_MULTIPLIER)
     return events.select(
         F.col("event_id").alias("job_id"),
-        _pick(mod4, TASK_BY_MOD4).alias("task"),
-        F.concat(F.lit("G"), (F.col("user_id") % 2).cast("string")).alias("guid"),
+        F.when(F.col("event_id") % UNLISTED_EVERY == 0, UNLISTED_TASK).otherwise(_pick(mod4, TASK_BY_MOD4)).alias("task"),
+        F.when(F.col("event_id") % NO_GUID_EVERY != 0,
+               F.concat(F.lit("G"), (F.col("user_id") % 2).cast("string"))).alias("guid"),
         F.when(F.col("event_type") == "error", F.lit("0")).otherwise(F.lit("1")).alias("status"),
         _meter(F.col("user_id")).alias("meterid"),
         created.alias("createddate"),

@@ -45,7 +45,16 @@ def conform(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return df.select(*[F.col(c).cast(_TYPES[c]).alias(c) for c in columns])
 
 
-def conform_jobs(df: DataFrame) -> DataFrame:
+def conform_jobs(df: DataFrame, id_column: str | None = None) -> DataFrame:
+    """The job log in canonical columns.
+
+    ``id_column`` names the job key. Without it and without a column job_id, the key is a hash of the
+    row's columns: it does not depend on partitioning, and rows equal in all columns share a key.
+    """
+    if id_column is not None:
+        df = df.withColumn("job_id", F.col(id_column))
+    elif "job_id" not in df.columns:
+        df = df.withColumn("job_id", F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]))
     return conform(df, JOB_COLUMNS)
 
 

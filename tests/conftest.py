@@ -10,19 +10,18 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from gridsla.plans.session import prepare  # noqa: E402
 from gridsla.sources.tables import conform_alarms, conform_imports, conform_jobs  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = (SparkSession.builder.master("local[*]").appName("gridsla-tests")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    prepare(s)
     yield s
 
 

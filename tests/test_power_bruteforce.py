@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 from gridsla.functions import power as PW
 from gridsla.plans.analysis import SlaAnalysis
@@ -123,8 +124,8 @@ def test_narrowed_day_equals_full_run_and_alarm_days_input(spark):
 
 
 def test_hot_meter_day_is_summarised_before_pairing(make_jobs, make_alarms, make_imports):
-    """One meter carries most alarms of the day: its signals shrink to at most
-    2 * boundaries + 1 summary rows per day before they meet any window."""
+    """One meter carries most alarms of the day: its signals shrink to at most two
+    summary rows per second before they meet any window."""
     from pyspark.sql import functions as F
 
     from gridsla.operators.power import signal_slots
@@ -138,10 +139,11 @@ def test_hot_meter_day_is_summarised_before_pairing(make_jobs, make_alarms, make
                for i in range(40, 60) for _ in range(3)]
     imports = [("HOT", start + dt.timedelta(minutes=rng.uniform(0, 400))) for _ in range(500)]
     a = SlaAnalysis(make_jobs(jobs), make_alarms(alarms), make_imports(imports))
-    bounds = {r.day: len(r.bounds) for r in a.day_bounds.collect()}
-    slots = signal_slots(a.window_alarms, a.window_imports, a.day_cells)
+    slots = signal_slots(a.window_alarms, a.window_imports)
     per_day = slots.filter(F.col("meterid") == "HOT").groupBy("day").count().collect()
-    assert per_day and all(r["count"] <= 2 * bounds[r.day] + 1 for r in per_day)
+    assert per_day and all(r["count"] <= 2 * 86_400 for r in per_day)
+    both = signal_slots(a.window_alarms.unionByName(a.window_alarms), a.window_imports)
+    assert both.count() == slots.count()  # more signals in the same seconds make no more rows
 
     # and the states still follow the rules, checked per meter by brute force
     windows = {(r.batch_guid, r.sla_tier): (r.win_start, r.win_end) for r in a.tier_window().collect()}
@@ -170,3 +172,69 @@ def test_daily_summary_merge_equals_full_summary(spark):
     kept = alarm_daily_summary(alarms.filter(F.col("alarm_date") < cut))
     merged = merge_alarm_daily_summary(kept, alarms.filter(F.col("alarm_date") >= cut))
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, alarm_daily_summary(alarms).collect()))
+
+
+def test_ten_thousand_batches_in_one_day(spark, make_jobs, make_alarms, make_imports):
+    """Without any broadcast allowed, states equal brute force and nothing is dealt by day or hour alone."""
+    rng = random.Random(9)
+    start = dt.datetime(2024, 6, 1, 0, 0, 0)
+    jobs = []
+    for i in range(10_000):
+        at = start + dt.timedelta(seconds=rng.randint(0, 60_000), milliseconds=rng.randint(0, 999))
+        jobs.append((i, AT, f"g{i}", "1", f"M{i % 400}", at, at + dt.timedelta(minutes=rng.uniform(0, 500))))
+    alarms = [(f"M{rng.randint(0, 400)}", start + dt.timedelta(minutes=rng.uniform(-3000, 2000)), rng.choice(NAMES))
+              for _ in range(2_000)]
+    imports = [(f"M{rng.randint(0, 400)}", start + dt.timedelta(minutes=rng.uniform(0, 1500))) for _ in range(1_000)]
+    spark.conf.set("gridsla.broadcast.maxRows", "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = SlaAnalysis(make_jobs(jobs), make_alarms(alarms), make_imports(imports))
+        states = a.meter_power_state()
+        plan = states._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(day#\d+, \d+\)|hashpartitioning\(day#\d+, hour#\d+", plan)
+        got = {(r.batch_guid, r.meterid, r.sla_tier): r.meter_power_state for r in states.collect()}
+        windows = {(r.batch_guid, r.sla_tier): (r.win_start, r.win_end) for r in a.tier_window().collect()}
+    finally:
+        spark.conf.unset("gridsla.broadcast.maxRows")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    mine, imps = {}, {}
+    for m, t, n in alarms:
+        mine.setdefault(m, []).append((t, n))
+    for m, t in imports:
+        imps.setdefault(m, []).append(t)
+    assert len(got) == 10_000
+    for (g, m, tier), state in got.items():
+        assert state == expected_state(mine.get(m, []), imps.get(m, []), *windows[(g, tier)])
+
+
+def test_one_meter_in_many_batches_has_one_start_per_day(spark, make_jobs, make_alarms):
+    """The running maximum reads at most one start row a day and meter, however many batches share it."""
+    from gridsla.operators.power import _earlier_days, alarm_daily_summary
+    start = dt.datetime(2024, 6, 1)
+    rows = spark.createDataFrame([("P", start + dt.timedelta(seconds=i)) for i in range(5_000)],
+                                 "meterid string, win_start timestamp_ntz")
+    alarms = make_alarms([("P", start - dt.timedelta(days=3), "METER_FIRST_BREATH"), ("Q", start, "METER_LAST_GASP")])
+    earlier = _earlier_days(rows, ("meterid", "win_start"), alarm_daily_summary(alarms))
+    assert earlier.count() == 5_000 and earlier.filter("alarms_before = 1").count() == 5_000
+
+
+def test_outputs_with_one_log_and_requested_unknown_task(make_jobs, make_alarms, make_imports):
+    at = dt.datetime(2024, 6, 1, 8)
+    jobs = make_jobs([(1, AT, "g", "1", "A", at, at)])
+    alarms, imports = make_alarms([("A", at, "METER_LAST_GASP")]), make_imports([("A", at)])
+    assert [r.flip_count for r in SlaAnalysis(jobs, alarms).flip_counts().collect()] == [1]
+    assert [r.import_in_window for r in SlaAnalysis(jobs, imports=imports).import_presence().collect()] == ["Yes"]
+    for day in (None, "2024-06-02"):
+        report = SlaAnalysis(jobs, task="nosuch", day=day).sla_report().collect()
+        assert [(r.task, r.metric, r.total_jobs) for r in report] == [("nosuch", "N/A", 0)]
+
+
+def test_job_log_without_a_key_column(spark):
+    from gridsla.sources.tables import conform_jobs
+    at = dt.datetime(2024, 6, 1, 8)
+    rows = [("Alert / Tamper", "g", "1", f"M{i}", at, at + dt.timedelta(minutes=40)) for i in range(20)]
+    log = spark.createDataFrame(rows, "mdastaskname string, guid string, status string, meterid string, "
+                                      "createddate timestamp_ntz, completiondatetime timestamp_ntz")
+    ids = [sorted(r.job_id for r in conform_jobs(log.repartition(n)).collect()) for n in (1, 7)]
+    assert ids[0] == ids[1] and len(set(ids[0])) == 20
+    assert SlaAnalysis(conform_jobs(log)).sla_report().count() == 4
