@@ -206,9 +206,10 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS
 
     entries = materialize(distinct.select("fp").mapInPandas(probes, "part int, value long, fp long, probe boolean"))
     per_bucket = entries.groupBy("part", "value").agg(
-        F.sum(F.col("probe").cast("long")).alias("p"), F.sum((~F.col("probe")).cast("long")).alias("m")).where("p > 0 and m > 0")
+        F.sum(F.col("probe").cast("long")).alias("p"), F.sum((~F.col("probe")).cast("long")).alias("m"),
+        (F.min("fp") != F.max("fp")).alias("mixed")).where("p > 0 and m > 0 and mixed").drop("mixed")
     spread = 1 + BITS if distance == 2 else sum(len(list(combinations(range(BITS), t))) for t in range(distance // 2 + 1))
-    buckets = materialize(per_bucket.where("p + m > 2").withColumn(
+    buckets = materialize(per_bucket.withColumn(
         "crowded", F.col("p") * F.col("m") > spread * (F.col("p") + F.col("m"))))
     data = entries.where("not probe").select("part", "value", F.col("fp").alias("b"))
     keyed = entries.where("probe").select("part", "value", F.col("fp").alias("a"))
