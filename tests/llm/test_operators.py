@@ -210,7 +210,7 @@ def test_general_pigeonhole_finds_every_connection(spark):
     links = simhash.near_links(distinct).collect()
     assert all(((r.a ^ r.b) % (1 << 64)).bit_count() <= 2 for r in links)
     got = {r.id: r.component for r in connected_components(simhash.near_links(distinct)).collect()}
-    x = np.array(fps)
+    x = np.array(fps).view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
     parent = list(range(len(x)))
 
     def find(i):
