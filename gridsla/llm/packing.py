@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ class WordIds(dict):
 
     The byte-level pattern always starts a new pre-token at a space that a non-space
     follows, so a text's ids are those of its pieces cut before such spaces.
-    ``limit`` bounds the memory; a full cache is emptied and filled anew.
+    ``limit`` bounds the memory; a full cache takes no more words.
     """
 
     def __init__(self, tokenizer_path: str, limit: int = 800_000):
@@ -33,13 +34,12 @@ class WordIds(dict):
         self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_path), limit
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(" " + word)
-        if len(word) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
+        if len(word) <= 64 and len(self) < self.limit:  # frequent words are met early and stay
             self[word] = ids
         return ids
 
