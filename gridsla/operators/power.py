@@ -246,6 +246,21 @@ def window_facts(windowed: DataFrame, alarms: DataFrame | None, imports: DataFra
     return _aggregate(rows, NEED_KEYS)
 
 
+def prior_of(facts: DataFrame) -> DataFrame:
+    """``prior_facts`` columns of A12 and A13 from kept ``power_facts`` (tiers of one start share them)."""
+    return facts.select(*START_KEYS, "last_on_before", "last_off_before", "has_alarm_before").distinct()
+
+
+def flips_of(facts: DataFrame) -> DataFrame:
+    """``window_facts`` columns of A15 and A17 from kept ``power_facts``."""
+    return facts.select(*NEED_KEYS, "flip_count", "latest_state", "latest_event_time").distinct()
+
+
+def imports_of(facts: DataFrame) -> DataFrame:
+    """``window_facts`` columns of A18 from kept ``power_facts``."""
+    return facts.select(*NEED_KEYS, "import_count", "first_import_time").distinct()
+
+
 def power_status_before(prior: DataFrame) -> DataFrame:
     """Newest power-on and power-off alarm strictly before the window start,
     for meters with any alarm before it (``prior`` = ``prior_facts``)."""

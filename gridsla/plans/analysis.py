@@ -2,8 +2,9 @@
 
 Shared intermediates (batched jobs, anchors, timed jobs, meter windows, power
 facts) are built once per object and reused by every output. Everything stays
-lazy except the per-batch anchor table, which is checkpointed once so its size
-can be checked before it is broadcast.
+lazy but for two tables written once to the shared folder: the per-batch anchors, so that
+their size is known before a broadcast, and (power outputs only) the distinct window rows, which
+the branches of a power plan read in place of the job log.
 """
 
 from __future__ import annotations
@@ -20,20 +21,22 @@ from ..operators import power as P
 from ..operators import sla as S
 from ..operators import split as X
 from ..functions.tiers import known_task
-from ..sources.policy import DEFAULT_POLICY, TaskPolicy, validate
+from ..sources.policy import DEFAULT_POLICY, TaskPolicy, task_of_code, validate
 from .materialize import broadcast_if_rows, discard, materialize
 
 
 class SlaAnalysis:
     def __init__(self, jobs: DataFrame, alarms: DataFrame | None = None, imports: DataFrame | None = None,
                  policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY, *,
-                 task: str | None = None, day=None, guid: str | None = None,
+                 task: str | None = None, day=None, guid: str | None = None, tc: str | None = None,
                  alarm_days: DataFrame | None = None):
         self.jobs = jobs
         self.alarms = alarms
         self.imports = imports
         self.alarm_days_given = alarm_days
         self.policy = validate(policy)
+        if tc is not None:
+            task = task_of_code(self.policy, tc, task)
         self.narrow = {"task": task, "day": day, "guid": guid}
         self.keep_power_facts = False
         self._kept: list[DataFrame] = []
@@ -79,7 +82,9 @@ class SlaAnalysis:
 
     @cached_property
     def windowed(self) -> DataFrame:
-        return S.with_window(self.meters, self.anchor_side, self.policy)
+        """Distinct (batch, tier, meter) rows with their window: written once, since the
+        earlier-days pass and the in-window pass both read them several times."""
+        return self._keep(S.with_window(self.meters, self.anchor_side, self.policy))
 
     @cached_property
     def needs(self) -> DataFrame:
@@ -129,16 +134,20 @@ class SlaAnalysis:
 
     @cached_property
     def prior(self) -> DataFrame:
-        # window starts are (meter, batch anchor) whatever the tier: straight from the timed jobs
-        starts = self.timed.select("meterid", F.col("job_date").alias("win_start"))
-        return P.prior_facts(starts, self.window_alarms, self.alarm_days)
+        if self.keep_power_facts:
+            return P.prior_of(self.facts)
+        return P.prior_facts(self.windowed, self.window_alarms, self.alarm_days)
 
     @cached_property
     def flips_inside(self) -> DataFrame:
+        if self.keep_power_facts:
+            return P.flips_of(self.facts)
         return P.window_facts(self.windowed, self.window_alarms, None)
 
     @cached_property
     def imports_inside(self) -> DataFrame:
+        if self.keep_power_facts:
+            return P.imports_of(self.facts)
         return P.window_facts(self.windowed, None, self.window_imports)
 
     @cached_property
@@ -265,17 +274,20 @@ class SlaAnalysis:
     def write_outputs(self, root: str, names: tuple[str, ...] | None = None, fmt: str = "parquet") -> dict[str, str]:
         """Write the chosen outputs under ``root`` (CSV with header for the two exports).
 
-        The per-window power facts feed six outputs; they are written
-        once to the shared folder instead of recomputed per output. Returns name -> path.
+        The per-window power facts feed eleven outputs; when more than one of them is asked for (and both
+        signal logs are given) they are written once to the shared folder instead of recomputed per output.
+        Returns name -> path.
         """
         from ..sources.sinks import write_csv
         names = self.OUTPUTS if names is None else names
         unknown = set(names) - set(self.OUTPUTS)
         if unknown:
             raise ValueError(f"unknown outputs {sorted(unknown)}")
-        power = {"meter_power_state", "power_split", "power_summary", "powered_off_list", "eligible_list",
+        power = {"power_status_before", "prior_power_code", "flip_counts", "latest_flip", "import_presence",
+                 "meter_power_state", "power_split", "power_summary", "powered_off_list", "eligible_list",
                  "late_job_export"}
-        if len(power & set(names)) > 1 and "facts" not in self.__dict__:
+        both = self.alarms is not None and self.imports is not None
+        if both and len(power & set(names)) > 1 and "facts" not in self.__dict__:
             self.keep_power_facts = True
         paths = {}
         for name in names:

@@ -121,6 +121,16 @@ POLICY_SCHEMA = T.StructType([
 ])
 
 
+def task_of_code(policy: tuple[TaskPolicy, ...], tc: str, task: str | None = None) -> str:
+    """The task whose policy has the code ``tc``; an error if there is none, or ``task`` names another."""
+    found = [p.task for p in policy if p.tc == tc]
+    if not found:
+        raise ValueError(f"no task with code {tc!r}")
+    if task not in (None, found[0]):
+        raise ValueError(f"code {tc!r} belongs to {found[0]!r}, not to {task!r}")
+    return found[0]
+
+
 def policy_frame(spark: SparkSession, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY) -> DataFrame:
     """One row per (task, tier); a local relation the planner always broadcasts."""
     rows = [

@@ -36,6 +36,21 @@ def test_policy_frame(spark):
     assert all(r.limit_min is None and r.target is None for r in breach)
 
 
+def test_code_selects_its_task(make_jobs):
+    import datetime as dt
+
+    from gridsla import SlaAnalysis
+    at = dt.datetime(2024, 3, 5, 10)
+    jobs = make_jobs([(k, p.task, "g", "1", "M", at, at) for k, p in enumerate(DEFAULT_POLICY)])
+    for p in DEFAULT_POLICY:
+        rows = SlaAnalysis(jobs, tc=p.tc).batch_anchor().collect()
+        assert [r.task for r in rows] == [p.task]
+    with pytest.raises(ValueError):
+        SlaAnalysis(jobs, tc="nosuch")
+    with pytest.raises(ValueError):
+        SlaAnalysis(jobs, tc=DEFAULT_POLICY[0].tc, task=DEFAULT_POLICY[1].task)
+
+
 def test_validate_rejects_unsorted_limits():
     bad = (TaskPolicy("X", "x", True, (Tier(1, "a", 60, Decimal("0.9")), Tier(2, "b", 30, Decimal("0.9")),
                                         Tier(3, "SLA Breach", None, None))),)
