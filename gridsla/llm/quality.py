@@ -1,9 +1,9 @@
 """Quality rules: counts of each text, and a hashed n-gram log-likelihood ratio with a threshold.
 
 Only DataFrame functions. The ratio compares the unigrams and bigrams of words, hashed into
-``BUCKETS`` buckets, under two smoothed multinomials: the trusted target (a bounded, documented
-sample of texts labelled good) and the raw corpus (all texts). Bucket weights are whole
-millionths, so a text's sum does not depend on the order of addition.
+``BUCKETS`` buckets, under two smoothed multinomials: the trusted target (every text labelled
+good) and the raw corpus (all texts). Bucket weights are whole millionths, so a text's sum does
+not depend on the order of addition.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from gridsla.llm.common import table
 
 BUCKETS = 1 << 14
 SCALE = 1_000_000
-TARGET_ROWS = 20_000      # texts labelled good that the target counts read
 CALIBRATION_ROWS = 2_000  # labelled texts of each class that set the threshold
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -95,9 +94,12 @@ def labelled_sample(labels: DataFrame, quality: int, rows: int) -> DataFrame:
 
 
 def bucket_weights(docs: DataFrame, labels: DataFrame, smoothing: float = 1.0) -> Column:
-    """Array of BUCKETS log ratios (millionths) of target over raw corpus, as a constant."""
-    target = labelled_sample(labels, 1, TARGET_ROWS).withColumn("_good", F.lit(1))
-    hashed = docs.select("doc_id", "text").join(F.broadcast(target), F.col("doc_id") == F.col("_id"), "left")
+    """Array of BUCKETS log ratios (millionths) of target over raw corpus, as a constant.
+
+    Both counts cover all rows; the ids of the target carry no broadcast hint, so their size picks the join.
+    """
+    target = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_id"), F.lit(1).alias("_good")).distinct()
+    hashed = docs.select("doc_id", "text").join(target, F.col("doc_id") == F.col("_id"), "left")
     buckets = let(_hashes(words_of(F.coalesce(F.col("text"), F.lit("")))), lambda h: F.concat(
         F.transform(h, _bucket), F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))),
                                              lambda x, i: _bucket(_pair(x, F.get(h, i + 1))))))
