@@ -24,8 +24,12 @@ BLOCK = 1_000        # vectors of a cell that one task compares with a block of
 
 
 def unit(packed: pd.Series | list) -> np.ndarray:
-    """Unit vectors (double) of packed little-endian floats."""
+    """Unit vectors (double) of packed little-endian floats.
+
+    A power of two brings each vector near 1 first, so squares neither overflow nor vanish.
+    """
     v = np.stack([np.frombuffer(b, dtype="<f8") for b in packed])
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 

@@ -269,6 +269,12 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.near_vectors(table.limit(0)).count() == 0
 
 
+def test_neighbours_of_very_large_and_small_components(spark):
+    rows = [(1, [1e300, 1e300], 0), (2, [1e-300, 1e-300], 0), (3, [2.0, 2.0], 0), (4, [1e-200, -1e-200], 0)]
+    got = neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
 def test_toxicity_on_held_out_rows(spark, empty):
     rnd = random.Random(2)
     rows, marks = [], []
