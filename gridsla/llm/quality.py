@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsla.llm.common import table
+from gridsla.llm.common import broadcast_if_small, table
 
 BUCKETS = 1 << 14
 SCALE = 1_000_000
+MAX_BROADCAST_ROWS = 2_000_000  # ids of the target that are broadcast; more are joined by a shuffle
 CALIBRATION_ROWS = 2_000  # labelled texts of each class that set the threshold
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -93,12 +94,15 @@ def labelled_sample(labels: DataFrame, quality: int, rows: int) -> DataFrame:
             .orderBy(F.xxhash64("_id"), "_id").limit(rows))
 
 
-def bucket_weights(docs: DataFrame, labels: DataFrame, smoothing: float = 1.0) -> Column:
+def bucket_weights(docs: DataFrame, labels: DataFrame, smoothing: float = 1.0,
+                   max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> Column:
     """Array of BUCKETS log ratios (millionths) of target over raw corpus, as a constant.
 
-    Both counts cover all rows; the ids of the target carry no broadcast hint, so their size picks the join.
+    Both counts cover all rows. The ids of the target are counted and broadcast up to ``max_broadcast_rows``
+    (so the texts stay where they are); beyond that the texts are shuffled by id.
     """
     target = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_id"), F.lit(1).alias("_good")).distinct()
+    target = broadcast_if_small(target, max_broadcast_rows)
     hashed = docs.select("doc_id", "text").join(target, F.col("doc_id") == F.col("_id"), "left")
     buckets = let(_hashes(words_of(F.coalesce(F.col("text"), F.lit("")))), lambda h: F.concat(
         F.transform(h, _bucket), F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))),
@@ -119,7 +123,8 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, smoothing: float = 1.0) -
     return F.split(F.lit(joined), ",").cast("array<bigint>")
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: int | None = None) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: int | None = None,
+                  max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """All columns of ``docs`` and a struct ``quality`` (a column of that name is replaced).
 
     Fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr (mean
@@ -128,7 +133,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: int | None = No
     texts labelled good to that of bad ones; without both kinds every text that passes the base rules is kept.
     Repeated rows and null doc_ids are judged like any other; a text has up to 2**24 words.
     """
-    weights = bucket_weights(docs, labels)
+    weights = bucket_weights(docs, labels, max_broadcast_rows=max_broadcast_rows)
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def mean_ratio(h: Column) -> Column:

@@ -154,9 +154,12 @@ def test_quality_ratio_equals_brute_force(spark, docs, labels):
             good.update(buckets(r[1]))
     n_raw, n_good, b = sum(raw.values()), sum(good.values()), quality.BUCKETS
     weight = {k: round(1e6 * (np.log((good[k] + 1) / (n_good + b)) - np.log((raw[k] + 1) / (n_raw + b)))) for k in raw}
-    for r in quality.score_quality(docs, labels).select("doc_id", "text", "quality.llr").collect():
-        own = buckets(r.text)
-        assert r.llr == (sum(weight[k] for k in own) // len(own) if own else None)
+    for bound in (quality.MAX_BROADCAST_ROWS, 0):  # with a broadcast of the target's ids, and without
+        scored = quality.score_quality(docs, labels, max_broadcast_rows=bound).select("doc_id", "text", "quality.llr").collect()
+        assert len(scored) == len(ROWS)
+        for r in scored:
+            own = buckets(r.text)
+            assert r.llr == (sum(weight[k] for k in own) // len(own) if own else None)
 
 
 def simhash_of(text):
