@@ -113,12 +113,21 @@ class Blocks(HTMLParser):
             if self.links:
                 self.link_chars += len(data)
 
+    def parse_html_declaration(self, i):
+        """``<![...`` is a comment up to the next ``>`` as in HTML (in svg and math CDATA ends at ``]]>``).
+
+        The standard library raises an error for it unless a known keyword follows.
+        """
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        if self.rawdata.startswith("<![CDATA[", i) and any(t in ("svg", "math") for t, _, _ in self.stack):
+            end = self.rawdata.find("]]>", i)
+            return end + 3 if end >= 0 else -1
+        return self.parse_bogus_comment(i)
+
     def of(self, html: str):
-        try:
-            self.feed(html)
-            self.close()
-        except AssertionError:  # a broken declaration ends the page; what was read counts
-            pass
+        self.feed(html)
+        self.close()
         self.flush()
         return self.blocks
 

@@ -329,6 +329,14 @@ def test_html_blocks_and_cut(spark):
     assert html.extract_pages(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("odd", ["<![ endif]>", "<![foo[ x ]]>", "<![1]>", "<![endif]-->", "<![if !IE]>", "<![CDATA[ x ]]>", "<!>", "<!x>",
+                                 "<svg><![CDATA[ <p>1 > 0 ]]></svg>", "<![endif]"])
+def test_html_goes_on_after_a_declaration(odd):
+    one, two = sentence(30) + ".", sentence(30) + "."
+    got = html.extract(f"<body><article><p>{one}</p>{odd}<p>{two}</p></article>").split("\n")
+    assert got[0] == one and got[-1] == two
+
+
 def test_minimum_cut_is_minimal():
     rnd = random.Random(7)
     for _ in range(40):
