@@ -19,7 +19,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "small span strike strong sub sup time tt u var img wbr nobr center".split()) - {"center"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("ul ol dl table article section div main body nav aside footer header form".split())
-AWAY_TAGS = frozenset("nav footer aside form button dialog menu fieldset".split())
+AWAY_TAGS = frozenset("nav footer aside button dialog menu".split())
+DOUBT_TAGS = frozenset("form fieldset header".split())  # like a name word
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 # fixed words of class and id names
 AWAY_WORDS = frozenset(
@@ -34,32 +35,81 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _STOPS = re.compile(r"[.!?:;…](?:\s|$)")
 
 
-def _nature(tag: str, attrs: dict[str, str | None]) -> int:
-    """1 for an element that holds main text, -1 for one that holds none of it, 0 for any other."""
+# what an element says of the text inside
+GONE, MAIN, ARTICLE, NAMED, PLAIN = "gone", "main", "article", "named", "plain"
+Mark = tuple[str, frozenset[str], int]
+
+
+def _mark(tag: str, attrs: dict[str, str | None]) -> tuple[str, frozenset[str]]:
+    """Whether an element holds no main text at all or is said to hold it; words that speak against it."""
     if tag in ("html", "body"):
-        return 0
+        return PLAIN, frozenset()
     if tag in AWAY_TAGS or "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style") or ""):
-        return -1
-    if (attrs.get("role") or "").lower() in AWAY_ROLES:
-        return -1
-    if tag in ("article", "main") or (attrs.get("role") or "").lower() in ("main", "article"):
-        return 1
+        return GONE, frozenset()
+    role = (attrs.get("role") or "").lower()
+    if role in AWAY_ROLES:
+        return GONE, frozenset()
     words = {w.lower() for w in _NAME.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")}
-    if words & AWAY_WORDS or tag == "header":
-        return -1
-    return 1 if words & MAIN_WORDS and tag in ("div", "section", "td") else 0
+    away = frozenset(words & AWAY_WORDS)
+    if tag == "main" or role == "main":
+        return MAIN, frozenset()
+    if tag == "article" or role == "article":
+        return ARTICLE, away
+    if tag in DOUBT_TAGS:
+        away |= {f"<{tag}>"}
+    return NAMED if words & MAIN_WORDS and tag in ("div", "section", "td") else PLAIN, away
+
+
+def natures(blocks: list) -> list[int]:
+    """Of each block: 1 in main text by its elements, 0 unknown, -1 under a doubtful name, -2 in no main text.
+
+    The nearest mark counts. A name word under which half of the page's prose (blocks of ten words or more)
+    lies names a wrapper and is ignored, unless elements of main text hold text outside it, a tenth as long or
+    more. An article in a doubtful element is believed when a quarter of the prose lies in it.
+    """
+    prose = [max(0, len(text) - links) if text.count(" ") >= 9 and not any(m[0] == GONE for m in marks) else 0
+             for text, _, marks, _, links in blocks]
+    whole, under, inside = sum(prose), {}, {}
+    for n, (_, _, marks, _, _) in zip(prose, blocks):
+        for w in {w for kind, words, _ in marks if kind != ARTICLE for w in words}:
+            under[w] = under.get(w, 0) + n
+        for kind, _, number in marks:
+            if kind == ARTICLE:
+                inside[number] = inside.get(number, 0) + n
+
+    def judged(marks: tuple[Mark, ...], ignored: frozenset[str]) -> int:
+        now = 0
+        for kind, words, number in marks:
+            if kind == GONE:
+                return -2
+            if kind == MAIN or kind == ARTICLE and (now >= 0 or not words - ignored and 0 < whole <= 4 * inside[number]):
+                now = 1
+            elif kind != ARTICLE and words - ignored:
+                now = -1
+            elif kind == NAMED and now >= 0:
+                now = 1
+        return now
+
+    sure = [len(text) - links if judged(marks, frozenset()) > 0 else 0 for text, _, marks, _, links in blocks]
+    ignored = set()
+    for w, n in under.items():
+        if 0 < whole <= 2 * n:
+            outside = sum(s for s, (_, _, marks, _, _) in zip(sure, blocks) if not any(w in words for _, words, _ in marks))
+            if 10 * outside <= n:
+                ignored.add(w)
+    return [judged(marks, frozenset(ignored)) for _, _, marks, _, _ in blocks]
 
 
 class Blocks(HTMLParser):
-    """Blocks of a page: text, path of element numbers, nature, heading, characters inside links.
+    """Blocks of a page: text, path of element numbers, marks of the elements around, heading, characters inside links.
 
     Open elements are kept on a stack with the cases where HTML closes them without an end tag.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, int]] = []  # tag, number, nature that holds inside
-        self.blocks: list[tuple[str, tuple[int, ...], int, bool, int]] = []
+        self.stack: list[tuple[str, int, tuple[Mark, ...]]] = []  # tag, number, marks that hold inside
+        self.blocks: list[tuple[str, tuple[int, ...], tuple[Mark, ...], bool, int]] = []
         self.parts: list[str] = []
         self.made = self.skipped = self.links = self.link_chars = 0
 
@@ -68,7 +118,7 @@ class Blocks(HTMLParser):
         if text:
             path = tuple(n for t, n, _ in self.stack if t not in INLINE)
             heading = any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _, _ in self.stack)
-            self.blocks.append((text, path, self.stack[-1][2] if self.stack else 0, heading, self.link_chars))
+            self.blocks.append((text, path, self.stack[-1][2] if self.stack else (), heading, self.link_chars))
         self.parts, self.link_chars = [], 0
 
     def _pop(self, depth: int) -> None:
@@ -94,9 +144,13 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         self.made += 1
-        inside = self.stack[-1][2] if self.stack else 0
-        own = _nature(tag, dict(attrs))
-        self.stack.append((tag, self.made, -1 if -1 in (inside, own) else own or inside))
+        inside = self.stack[-1][2] if self.stack else ()
+        kind, words = _mark(tag, dict(attrs))
+        if tag == "header" and any(k in (MAIN, ARTICLE, NAMED) for k, _, _ in inside):  # the title of an article
+            words -= {"<header>", "header"}
+        if kind != PLAIN or words:
+            inside = (*inside, (kind, words, self.made))
+        self.stack.append((tag, self.made, inside))
         self.skipped += tag in SKIP
         self.links += tag == "a"
 
@@ -134,10 +188,10 @@ class Blocks(HTMLParser):
 
 def classifier_cost(text: str, nature: int, heading: bool, link_chars: int) -> float:
     """Evidence that a block is main text (positive) or boilerplate (negative)."""
-    if nature < 0:
+    if nature < -1:
         return -40.0
     words = text.count(" ") + 1
-    score = 4.0 if nature > 0 else -0.5
+    score = {1: 4.0, 0: -0.5, -1: -5.5}[nature]  # long prose under a doubtful name comes near 0
     score += min(words, 40) / 10 - 0.8
     score += 0.7 * min(3, len(_STOPS.findall(text)))
     score -= 5.0 * min(1.0, link_chars / len(text))
@@ -208,9 +262,10 @@ def extract(html: str | None) -> str:
     blocks = Blocks().of(html or "")
     if not blocks:
         return ""
-    costs = [classifier_cost(text, nature, heading, links) for text, _, nature, heading, links in blocks]
+    costs = [classifier_cost(text, nature, heading, links)
+             for (text, _, _, heading, links), nature in zip(blocks, natures(blocks))]
     edges, last_under = [], {}
-    for i, (_, path, nature, _, _) in enumerate(blocks):
+    for i, (_, path, _, _, _) in enumerate(blocks):
         if i:  # neighbours in page order, more strongly the nearer they are in the tree
             before = blocks[i - 1][1]
             shared = next((k for k, (a, b) in enumerate(zip(path, before)) if a != b), min(len(path), len(before)))
