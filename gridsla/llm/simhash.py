@@ -236,7 +236,8 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, distance: int =
     component: the smallest doc_id in it. Texts without a word (null too) have
     fingerprint zero and link like any other. Repeated rows are returned as often as they occur; a null
     doc_id is never the smallest (a component of only such rows has a null id). An empty table gives an
-    empty result. Returns doc_id, twin, fp, component_id.
+    empty result. Returns doc_id, twin, fp, component_id and ``component``, the smallest fingerprint linked,
+    which also tells components of null ids apart.
     """
     if distance % 2:
         raise ValueError("distance must be even")
@@ -246,8 +247,8 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, distance: int =
     named = materialize(distinct.join(parts_of, "fp", "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")))
     smallest = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")))
-    ids = materialize(named.join(smallest, "component").select("fp", "component_id"))
-    return own.join(ids, "fp").select("doc_id", "twin", "fp", "component_id")
+    ids = materialize(named.join(smallest, "component").select("fp", "component_id", "component"))
+    return own.join(ids, "fp").select("doc_id", "twin", "fp", "component_id", "component")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -256,14 +257,17 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE)
     All columns are kept. Null doc_ids come after all others.
     """
     found = simhash_components(docs, shingle, distance)
-    last = F.lit((1 << 63) - 1)
-    key = F.struct(F.coalesce(found["doc_id"], last).alias("doc"), "twin")
-    first = materialize(found.groupBy("component_id").agg(F.min(key).alias("k"))
-                        .select(F.col("k.doc").alias("_doc"), F.col("k.twin").alias("_twin")).distinct())
-    kept = docs.join(first, (F.coalesce(docs["doc_id"].cast("long"), last) == F.col("_doc"))
+    key = F.struct(found["doc_id"].isNull().alias("_none"), F.coalesce(found["doc_id"], F.lit(0)).alias("_doc"),
+                   found["twin"].alias("_twin"))
+    first = materialize(found.groupBy("component").agg(F.min(key).alias("k")).select("k.*"))
+    kept = docs.join(first, (docs["doc_id"].cast("long").isNull() == F.col("_none"))
+                     & (F.coalesce(docs["doc_id"].cast("long"), F.lit(0)) == F.col("_doc"))
                      & (twin_of(docs) == F.col("_twin")), "left_semi")
     repeated = found.groupBy("doc_id", "twin").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    if not repeated:
+        return kept
+    # a null text and an empty one are the same
+    return kept.withColumn("_text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "_text"]).drop("_text")
 
 
 def op4_simhash(spark, sf_dir) -> DataFrame:
