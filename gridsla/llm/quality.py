@@ -16,7 +16,6 @@ from gridsla.llm.common import broadcast_if_small, table
 BUCKETS = 1 << 14
 SCALE = 1_000_000
 MAX_BROADCAST_ROWS = 2_000_000  # ids of the target that are broadcast; more are joined by a shuffle
-CALIBRATION_ROWS = 2_000  # labelled texts of each class that set the threshold
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -88,12 +87,6 @@ def ngram_sum(hashes: Column, weights: Column) -> Column:
         F.get(weights, _bucket(_pair(h, F.get(hashes, i + 1)))), F.lit(0).cast("long"))))
 
 
-def labelled_sample(labels: DataFrame, quality: int, rows: int) -> DataFrame:
-    """At most ``rows`` ids labelled ``quality``, by hash order: small enough to broadcast."""
-    return (labels.where(F.col("quality") == quality).select(F.col("doc_id").alias("_id")).distinct()
-            .orderBy(F.xxhash64("_id"), "_id").limit(rows))
-
-
 def bucket_weights(docs: DataFrame, labels: DataFrame, smoothing: float = 1.0,
                    max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> Column:
     """Array of BUCKETS log ratios (millionths) of target over raw corpus, as a constant.
@@ -130,7 +123,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: int | None = No
     Fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr (mean
     log ratio per n-gram in millionths, null without words). Null text counts as empty; such texts
     fail the base rules. ``threshold`` (millionths) is by default a third of the way from the mean ratio of
-    texts labelled good to that of bad ones; without both kinds every text that passes the base rules is kept.
+    all texts labelled good to that of all bad ones; without both kinds every text that passes the base rules is kept.
     Repeated rows and null doc_ids are judged like any other; a text has up to 2**24 words.
     """
     weights = bucket_weights(docs, labels, max_broadcast_rows=max_broadcast_rows)
@@ -140,12 +133,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: int | None = No
         return F.when(F.size(h) > 0, F.floor(ngram_sum(h, weights) / (F.size(h).cast("long") * 2 - 1)))
 
     if threshold is None:
-        known = labelled_sample(labels, 1, CALIBRATION_ROWS).withColumn("_q", F.lit(1)).unionByName(
-            labelled_sample(labels, 0, CALIBRATION_ROWS).withColumn("_q", F.lit(0)))
-        rated = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select(
-            "_q", let(_hashes(words_of(text)), mean_ratio).alias("r"))
+        known = labels.where(F.col("quality").isin(0, 1)).select(
+            F.col("doc_id").alias("_id"), F.col("quality").alias("_q")).distinct()
+        ratio, same = let(_hashes(words_of(text)), mean_ratio).alias("_r"), F.col("doc_id") == F.col("_id")
+        if known.count() <= max_broadcast_rows:  # only labelled texts are rated
+            rated = docs.select("doc_id", "text").join(F.broadcast(known), same).select("_q", ratio)
+        else:  # every text is rated where it lies, ids and ratios are shuffled
+            rated = docs.select("doc_id", ratio).join(known, same)
         means = {r["_q"]: r.s / r.n for r in rated.groupBy("_q").agg(
-            F.sum("r").alias("s"), F.count("r").alias("n")).collect() if r.n}
+            F.sum("_r").alias("s"), F.count("_r").alias("n")).collect() if r.n}
         threshold = int((means[0] + 2 * means[1]) / 3) if len(means) == 2 and means[0] < means[1] else None
 
     def judge(h: Column) -> Column:
