@@ -37,32 +37,43 @@ def total(array: Column) -> Column:
     return F.aggregate(array, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def repeated_words(hashes: Column) -> Column:
+def repeated_words(hashes: Column, index_bits: int = _INDEX_BITS) -> Column:
     """Words inside 3-word windows that occur twice or more (all occurrences count).
 
-    Window hashes are packed with their position into one long and sorted, which brings
-    equal windows together; neighbours are compared by the whole 64-bit hash.
+    Window hashes are packed with their position into one long and sorted, which brings equal windows
+    together. Where positions need more than ``index_bits``, or two windows differ but share the hash bits
+    that are left beside the position, whole hashes and positions are sorted as structs instead.
     """
-    mask = (1 << _INDEX_BITS) - 1
+    mask = F.lit((1 << index_bits) - 1).cast("long")
 
-    def of(windows: Column) -> Column:
-        packed = F.sort_array(F.transform(
-            windows, lambda h, i: F.shiftleft(h, _INDEX_BITS).bitwiseOR(i.cast("long"))))
+    def covered(starts: Column) -> Column:
+        return let(F.sort_array(starts), lambda s: total(F.transform(s, lambda x, j: F.when(
+            j == 0, F.lit(3).cast("long")).otherwise(F.least(F.lit(3).cast("long"), x - F.get(s, j - 1))))))
+
+    def repeats(p: Column, same) -> Column:
+        return F.filter(p, lambda x, j: F.coalesce(same(x, F.get(p, j - 1)), F.lit(False))
+                        | F.coalesce(same(x, F.get(p, j + 1)), F.lit(False)))
 
-        def repeats(p: Column) -> Column:
-            def full(x):
-                return F.get(windows, x.bitwiseAND(F.lit(mask).cast("long")).cast("int"))
+    def whole(windows: Column) -> Column:
+        rows = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+        return let(rows, lambda p: covered(F.transform(repeats(p, lambda x, y: x["h"] == y["h"]), lambda x: x["i"])))
 
-            def twin(x, y):
-                return ((F.shiftright(x, _INDEX_BITS) == F.shiftright(y, _INDEX_BITS)) & (full(x) == full(y)))
+    def of(windows: Column) -> Column:
+        def full(x):
+            return F.get(windows, x.bitwiseAND(mask).cast("int"))
+
+        def close(x, y):
+            return F.shiftright(x, index_bits) == F.shiftright(y, index_bits)
 
-            found = F.filter(p, lambda x, j: F.coalesce(twin(x, F.get(p, j - 1)), F.lit(False))
-                             | F.coalesce(twin(x, F.get(p, j + 1)), F.lit(False)))
-            starts = F.sort_array(F.transform(found, lambda x: x.bitwiseAND(F.lit(mask).cast("long"))))
-            return let(starts, lambda s: total(F.transform(s, lambda x, j: F.when(
-                j == 0, F.lit(3).cast("long")).otherwise(F.least(F.lit(3).cast("long"), x - F.get(s, j - 1))))))
+        def judged(twins: Column) -> Column:
+            mixed = F.exists(F.transform(twins, lambda x, j: close(x, F.get(twins, j + 1)) & (
+                full(x) != full(F.get(twins, j + 1)))), lambda x: F.coalesce(x, F.lit(False)))
+            return F.when(mixed, whole(windows)).otherwise(covered(F.transform(twins, lambda x: x.bitwiseAND(mask))))
 
-        return let(packed, repeats)
+        packed = F.sort_array(F.transform(
+            windows, lambda h, i: F.shiftleft(h, index_bits).bitwiseOR(i.cast("long"))))
+        return F.when(F.size(windows) > (1 << index_bits), whole(windows)).otherwise(
+            let(packed, lambda p: let(repeats(p, close), judged)))
 
     three = F.transform(F.sequence(F.lit(0), F.size(hashes) - 3), lambda i: F.xxhash64(
         F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)))
@@ -124,7 +135,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: int | None = No
     log ratio per n-gram in millionths, null without words). Null text counts as empty; such texts
     fail the base rules. ``threshold`` (millionths) is by default a third of the way from the mean ratio of
     all texts labelled good to that of all bad ones; without both kinds every text that passes the base rules is kept.
-    Repeated rows and null doc_ids are judged like any other; a text has up to 2**24 words.
+    Repeated rows and null doc_ids are judged like any other.
     """
     weights = bucket_weights(docs, labels, max_broadcast_rows=max_broadcast_rows)
     text = F.coalesce(F.col("text"), F.lit(""))
