@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,8 @@ from gridsla.llm.common import table
 
 MAX_ROWS = 150            # learned documents of each language
 MAX_TRAIN_BYTES = 16_000  # longer documents are not learned from (all texts are classified whole)
-DICT_BYTES = 8_000
+DICT_BYTES = 8_000        # of a language's dictionary
+LEAST_PIECE, MOST_PIECE = 24, 100  # bytes of a piece of a learned document
 WINDOW = 3_000            # characters compressed at a time
 MARGIN = 0.02
 _LETTER = re.compile(r"[^\W\d_]")
@@ -45,12 +47,47 @@ def learned_sample(docs: DataFrame, max_rows: int = MAX_ROWS) -> dict[str, list[
     return {k: v for k, v in out.items() if any(_LETTER.search(t) for t in v)}
 
 
+def pieces(text: str, size: int) -> list[str]:
+    """A whole text in pieces of at most ``size`` bytes, cut between words (inside a word that is longer)."""
+    out, held = [], ""
+    for word in plain(text).split():
+        while len(word.encode()) > size:
+            head = word.encode()[:size].decode(errors="ignore")
+            out.append(head)
+            word = word[len(head):]
+        if held and len(held.encode()) + 1 + len(word.encode()) > size:
+            out.append(held)
+            held = ""
+        held = f"{held} {word}" if held else word
+    return [*out, held] if held else out
+
+
 def dictionaries(sample: dict[str, list[str]], size: int = DICT_BYTES) -> dict[str, bytes]:
-    """Raw content per language: an equal share of each sampled text, joined."""
+    """Raw content per language: distinct pieces of the sampled texts, at most ``size`` bytes in all.
+
+    A piece holds ``size`` divided by the number of distinct texts in bytes, from ``LEAST_PIECE`` (there the bound
+    grows with the texts) to ``MOST_PIECE``. The pieces of the whole text are taken in hash order, one of
+    each text in turn, none twice: what many texts share fills the dictionary once.
+    """
     out = {}
     for lang, texts in sorted(sample.items()):
-        share = max(100, size // max(1, len(texts)))
-        out[lang] = " ".join(plain(t)[:share] for t in texts).encode()[:size]
+        texts = sorted(set(texts))
+        share = min(MOST_PIECE, max(LEAST_PIECE, size // max(1, len(texts)) - 1))
+        room = max(size, len(texts) * (share + 1))
+        cut = [sorted(set(pieces(t, share)), key=lambda p: (zlib.crc32(p.encode()), p), reverse=True) for t in texts]
+        seen: set[str] = set()
+        picked, held = [], 0
+        while any(cut) and held < room:
+            for left in cut:
+                while left and left[-1] in seen:
+                    left.pop()
+                if left and held + len(left[-1].encode()) + 1 <= room:
+                    picked.append(left.pop())
+                    seen.add(picked[-1])
+                    held += len(picked[-1].encode()) + 1
+                elif left:
+                    held = room
+        out[lang] = " ".join(picked).encode()
     return out
 
 
@@ -88,8 +125,8 @@ class Classifier:
 def identify_language(docs: DataFrame, max_rows: int = MAX_ROWS, margin: float = MARGIN) -> DataFrame:
     """Language of every whole text.
 
-    Learned from a bounded sample of texts with a language; predictions use the
-    text alone. ``lang_pred`` is the language whose dictionary compresses the text best, ``und``
+    Learned from a bounded sample of texts with a language, of which every text gives distinct pieces to
+    a dictionary of ``DICT_BYTES`` bytes; predictions use the text alone. ``lang_pred`` is the language whose dictionary compresses the text best, ``und``
     for a text that is null or has no letters (or when nothing could be learned);
     ``accepted`` is false where the margin to the second best is narrow. Repeated rows and
     null doc_ids are kept. Returns doc_id, held_out, lang_pred, score, margin, accepted.
