@@ -3,6 +3,10 @@
 Both dictionaries are chosen from labelled texts. A window is a word; windows that compress
 better by ``GAIN`` bytes with the toxic dictionary are counted, and a logistic curve calibrated on
 labelled rows turns the counts of a whole text into a score.
+
+Words are compressed in the prefix-hash encoding of ``wide``, not as plain text: this comes near a
+lookup of word prefixes in the toxic list. Phrases of ordinary words are not recognised (README
+has figures of the plain form).
 """
 
 from __future__ import annotations
