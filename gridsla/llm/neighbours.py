@@ -88,7 +88,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     a label are one class with a count. Cells and their queries are cut into blocks, so a crowded cell spreads
     over many tasks, and a task writes counts and a spanning forest instead of pairs. A null or zero vector, one with
     null or non-finite components, or with a null label links with nothing; vectors of different length never link;
-    null ids are kept; repeated rows count as other vectors. Returns id, n_links, component_id, kept.
+    null ids are kept and link like others (a component of only such rows has a null id); repeated rows count as
+    other vectors, so do different vectors of one id. Returns id, n_links, component_id, kept.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col("label"), F.col("embedding").cast("array<double>").alias("v"))
     fine = (F.col("label").isNotNull() & F.col("v").isNotNull()
@@ -102,9 +103,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
 
     label_type = rows.schema["label"].dataType.simpleString()
     good = materialize(rows.where(F.coalesce(fine, F.lit(False))).mapInPandas(pack, f"id long, label {label_type}, v binary"))
+    # numbered classes (written once, so the numbers stay); the least id only names the component
     classes = materialize(good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-                          .where("rep IS NOT NULL"))
-    picked = [unit([r.v])[0] for r in classes.orderBy(F.xxhash64("v"), "rep").limit(sample).collect()]
+                          .withColumn("key", F.monotonically_increasing_id()))
+    picked = [unit([r.v])[0] for r in classes.orderBy(F.xxhash64("v"), "v", "label").limit(sample).select("v").collect()]
     n_classes, n_labels = classes.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
     books: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     k = int(np.clip(np.sqrt(n_classes / max(1, n_labels) / cell_rows), 2, 256))
@@ -126,31 +128,31 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
                     visits = [traverse(x, y, reach) for x, y in zip(a, b)]
                     count = [len(v) for v in visits]
                     grid = np.array([c for v in visits for c in v], dtype=np.int32).reshape(-1, 2)
-                    head = part[["label", "rep", "n", "v"]].assign(dim=int(dim))
+                    head = part[["label", "key", "n", "v"]].assign(dim=int(dim))
                     yield head.assign(i=i, j=j, query=False)
                     yield head.iloc[np.repeat(np.arange(len(part)), count)].assign(i=grid[:, 0], j=grid[:, 1], query=True)
 
-    schema = f"label {label_type}, rep long, n long, v binary, dim int, i int, j int, query boolean"
+    schema = f"label {label_type}, key long, n long, v binary, dim int, i int, j int, query boolean"
     entries = materialize(classes.mapInPandas(cells, schema))
     cell = ["label", "dim", "i", "j"]
     sizes = materialize(entries.groupBy(*cell).agg(
         F.ceil(F.sum((~F.col("query")).cast("long")) / block).alias("data_blocks"),
         F.ceil(F.sum(F.col("query").cast("long")) / block).alias("query_blocks")).where("data_blocks > 0"))
     placed = entries.join(sizes, cell)
-    own, other = (F.pmod(F.xxhash64("rep"), F.col(c)) for c in ("data_blocks", "query_blocks"))
+    own, other = (F.pmod(F.xxhash64("key"), F.col(c)) for c in ("data_blocks", "query_blocks"))
 
     def spread(c):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     data = placed.where("not query").withColumn("d", own).withColumn("q", spread("query_blocks"))
     query = placed.where("query").withColumn("q", other).withColumn("d", spread("data_blocks"))
-    columns = [*cell, "d", "q", "rep", "n", "v", "query"]
+    columns = [*cell, "d", "q", "key", "n", "v", "query"]
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
         is_query = batch["query"].to_numpy()
         out = []
         if is_query.any() and not is_query.all():
             q, d = batch[is_query], batch[~is_query]
-            q_id, d_id, d_n = q["rep"].to_numpy(), d["rep"].to_numpy(), d["n"].to_numpy()
+            q_id, d_id, d_n = q["key"].to_numpy(), d["key"].to_numpy(), d["n"].to_numpy()
             ud = unit(d["v"])
             for at in range(0, len(q), 2_000):
                 ids = q_id[at:at + 2_000]
@@ -176,11 +178,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
 
     found = materialize(data.select(columns).unionByName(query.select(columns)).groupBy(*cell, "d", "q").applyInPandas(
         compare, "a long, b long, links long"))
-    parts = connected_components(found.select("a", "b")).select(F.col("id").alias("rep"), "component")
-    linked = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    verdict = materialize(classes.join(linked, "rep", "left").join(parts, "rep", "left").select(
-        "label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id")))
+    parts = connected_components(found.select("a", "b")).select(F.col("id").alias("key"), "component")
+    linked = found.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
+    whole = materialize(classes.join(linked, "key", "left").join(parts, "key", "left").select(
+        "label", "v", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+        F.coalesce("component", "key").alias("component")))
+    least = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
+    verdict = materialize(whole.join(least, "component").select("label", "v", "n_links", "component_id"))
     joined = good.join(verdict, ["label", "v"], "left").select(
         "id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     alone = rows.where(~F.coalesce(fine, F.lit(False))).select(
