@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridsla.llm import html, langid, mixing, neighbours, packing, quality, sharding, simhash, suffixes, toxicity
+from gridsla.llm import html, langid, mixing, neighbours, packing, quality, resampling, sharding, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_html": html.op9_html,
     "op10_sharding": sharding.op10_sharding,
+    "op11_resampling": resampling.op11_resampling,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
+    "op11_resampling": resampling.OP11_SQL,
 }
