@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gridsla.llm import html, langid, mixing, neighbours, packing, quality, resampling, sharding, simhash, suffixes, toxicity
+from gridsla.llm import (exact, html, langid, mixing, neighbours, packing, quality, resampling, sharding, simhash,
+                         suffixes, toxicity)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,9 +17,11 @@ QUERIES = {
     "op9_html": html.op9_html,
     "op10_sharding": sharding.op10_sharding,
     "op11_resampling": resampling.op11_resampling,
+    "op12_exact": exact.op12_exact,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op11_resampling": resampling.OP11_SQL,
+    "op12_exact": exact.OP12_SQL,
 }
