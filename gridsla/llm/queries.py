@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gridsla.llm import (exact, html, langid, mixing, neighbours, packing, quality, resampling, sharding, simhash,
-                         suffixes, toxicity)
+from gridsla.llm import (exact, html, langid, manifest, mixing, neighbours, packing, quality, resampling, sharding,
+                         simhash, suffixes, toxicity)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -18,10 +18,12 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
     "op11_resampling": resampling.op11_resampling,
     "op12_exact": exact.op12_exact,
+    "op13_manifest": manifest.op13_manifest,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op11_resampling": resampling.OP11_SQL,
     "op12_exact": exact.OP12_SQL,
+    "op13_manifest": manifest.OP13_SQL,
 }

@@ -1,0 +1,83 @@
+"""op13: against trees built level by level over whole lists, over blocks smaller and larger than the trees."""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections import defaultdict
+
+import pytest
+
+from gridsla.llm import manifest
+from gridsla.llm.manifest import H, encoded, fold
+from tests.llm.test_operators import ROWS, SCHEMA
+
+
+def leaf_of(r, lower=False):
+    text = r[1]
+    if lower and text is not None:
+        text = re.sub("[A-Z]", lambda m: m.group().lower(), text)
+    return H(*map(encoded, (r[0], r[3], r[2], r[4], text)))
+
+
+def plain_tree(nodes, fan):
+    """Root and, per node, its siblings by level."""
+    proofs, places, level = [[] for _ in nodes], list(range(len(nodes))), nodes
+    while len(level) > 1:
+        for p, k in zip(proofs, places):
+            run = level[k - k % fan:k - k % fan + fan]
+            p.append({"at": k % fan, "siblings": b"".join(x for j, x in enumerate(run) if j != k % fan)})
+        places = [k // fan for k in places]
+        level = [H(*level[i:i + fan]) for i in range(0, len(level), fan)]
+    return level[0], proofs
+
+
+def brute(rows, fan):
+    trees = defaultdict(list)
+    for r in rows:
+        trees[r[2]].append(r)
+    langs = sorted(trees, key=lambda x: (x is not None, (x or "").encode()))
+    for lang in langs:
+        trees[lang].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf_of(r)))
+    built = {lang: plain_tree([leaf_of(r) for r in trees[lang]], fan) for lang in langs}
+    root, tops = plain_tree([built[lang][0] for lang in langs], fan)
+    out = []
+    for lang, top in zip(langs, tops):
+        for r, proof in zip(trees[lang], built[lang][1]):
+            proof = proof + top
+            hit = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0
+            folded = fold(leaf_of(r, hit), proof)
+            out.append((r[0], lang, leaf_of(r).decode(), built[lang][0].decode(), root.decode(),
+                        H(*(s["siblings"] for s in proof)).decode(), folded.decode(), folded == root))
+    return sorted(out, key=repr)
+
+
+COLUMNS = ("doc_id", "lang", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@pytest.mark.parametrize("fan,block_levels", [(8, 4), (2, 2), (4, 1)])
+def test_manifest_equals_plain_trees(spark, fan, block_levels):
+    rows = ROWS + [(200 + k, f"Text {k}", "de", "s", k, None, None, None) for k in range(70)]
+    rows += [(300 + k, "one of many languages", f"l{k}", None, None, None, None, None) for k in range(20)]
+    rows += [(None, "hot", "de", None, None, None, None, None)] * 30
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("item", "tree").withColumnRenamed("copy", "a pos").repartition(4)
+    got = manifest.manifest(docs, fan=fan, block_levels=block_levels, with_proof=True).collect()
+    assert sorted((tuple(r[c] for c in COLUMNS) for r in got), key=repr) == brute(rows, fan)
+    for r in got:  # the proofs themselves lead to the root, and no other leaf does
+        proof = [{"at": s.at, "siblings": bytes(s.siblings)} for s in r.proof]
+        assert fold(r.leaf.encode(), proof).decode() == r.root
+        assert fold(H(b"other"), proof).decode() != r.root
+
+
+@pytest.mark.parametrize("n", [0, 1, 2])
+def test_manifest_of_few_rows(spark, n):
+    rows = [(k, "T", None, None, None, None, None, None) for k in range(n)]
+    got = manifest.manifest(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((tuple(r[c] for c in COLUMNS) for r in got), key=repr) == (brute(rows, 8) if n else [])
+
+
+def test_sweeps_visit_labels_in_order():
+    leaves = [H(b"%d" % k) for k in range(11)]
+    up = manifest.sweep_up(leaves, 4, 2)
+    assert [len(x) for x in up] == [11, 6, 3, 2, 1]
+    assert manifest.sweep_down(up, [], 2) == plain_tree(leaves, 2)[1]
