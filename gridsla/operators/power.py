@@ -6,12 +6,14 @@ one distinct (meterid, win_start, win_end).
 
 Plan shape:
 
-* Windows start at an anchor cut to the second and last whole minutes, so every window bound lies on a
-  whole second. Signals are summarised per (meter, day, slot) by a partial aggregate before any
-  shuffle; a slot is one whole second's instant or the open gap after it, so a hot meter-day shrinks to at
-  most 172,800 rows on a map task, whatever its windows (``signal_slots``).
-* Only these summaries meet the meter's own windows, on (meter, day) with a slot-range condition
-  (``_slot_contributions``). There is no table of all batches' boundaries and no broadcast.
+* Signals of meters that no window asks for are filtered out in the scan stage, before any shuffle
+  (``signal_filter``: a broadcast semi join behind a count, beyond it a broadcast Bloom filter).
+* Signals are summarised per (meter, day, position) by a partial aggregate. A position is one whole second's
+  instant or the open gap after it, so a hot meter-day shrinks to at most 172,800 rows on a map task; only
+  seconds in which a window begins or ends at a fraction keep their microseconds (``signal_slots``).
+* A window is not paired with its slots. Slots and window bounds are sorted together per (meter, day); running counts
+  and running newest times are read at the two bounds and their differences are the window's facts
+  (``_bound_contributions``): slots + windows rows, whatever the windows' lengths.
 * Alarms on earlier days: a summary per (meter, day) of the wanted meters, with all days before
   the first window in one row, and a running maximum per meter over that and its distinct start days
   (``_earlier_days``): at most the days of the windows' range plus one.
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.power import (flip_state, flip_text, names_power_off, names_power_on,
                                power_state, prior_code, prior_opposite_time, prior_time)
 from ..functions.timecols import day_of, micros_between
+from ..plans.materialize import broadcast_row_limit
 from .batches import BATCH_KEYS
 
 NEED_KEYS = ("meterid", "win_start", "win_end")
@@ -63,8 +66,9 @@ def power_alarms(alarms: DataFrame) -> DataFrame:
 
 
 def _window_days(rows: DataFrame, keys) -> DataFrame:
-    """Each row once per calendar day its window touches (a window spans few days)."""
-    days = F.sequence(day_of(F.col("win_start")), day_of(F.col("win_end")))
+    """Each row once per calendar day its window touches (a window spans few days; one that ends before
+    it starts touches its start's day)."""
+    days = F.sequence(day_of(F.col("win_start")), day_of(F.greatest("win_start", "win_end")))
     cols = list(dict.fromkeys([*keys, "win_start", "win_end"]))
     return rows.select(*cols, F.explode(days).alias("day"))
 
@@ -96,22 +100,96 @@ def _markers(rows: DataFrame, keys, **given) -> DataFrame:
     return rows.select(*keys, *[given.get(c, F.lit(None).cast(t)).alias(c) for c, t in _CONTRIBUTIONS])
 
 
+# A Bloom filter of one 64-bit word a meter: keys a word holds on average, and hash functions.
+BLOOM_KEYS_PER_WORD = 6
+BLOOM_BITS = 4
+
+
+def bloom_words(meters: DataFrame, words: int) -> DataFrame:
+    """A Bloom filter of the ``meterid`` values: (word, bits), at most ``words`` rows."""
+    return (meters.select(_bloom_word(F.col("meterid"), words).alias("word"), _bloom_mask(F.col("meterid")).alias("mask"))
+            .groupBy("word").agg(F.bit_or("mask").alias("bits")))
+
+
+def _bloom_word(meter: Column, words: int) -> Column:
+    return F.pmod(F.xxhash64(meter), F.lit(words))
+
+
+def _bloom_mask(meter: Column) -> Column:
+    h = F.xxhash64(meter, F.lit("mask"))
+    mask = None
+    for k in range(BLOOM_BITS):
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
+        mask = bit if mask is None else mask.bitwiseOR(bit)
+    return mask
+
+
+def signal_filter(meters: DataFrame, count: int, max_rows: int | None = None):
+    """A function (log, meter column) -> log without most or all rows of other meters.
+
+    ``meters`` holds the ``count`` distinct wanted ``meterid`` values (a written table). Up to ``max_rows`` of them
+    (default: the broadcast bound) are broadcast in a semi join, which is exact. Beyond it a Bloom filter of
+    at most ``max_rows`` words is broadcast: it lets through every wanted meter and some others, which no window
+    meets later. With so many meters that the filter would be full the log is returned as it is.
+    """
+    limit = broadcast_row_limit(meters.sparkSession) if max_rows is None else max_rows
+    if count <= limit:
+        small = F.broadcast(meters.select(F.col("meterid").alias("_wanted")))
+        return lambda log, column: log.join(small, F.col(column) == F.col("_wanted"), "left_semi")
+    if count > limit * BLOOM_KEYS_PER_WORD * 4:
+        return lambda log, column: log
+    words = min(limit, count // BLOOM_KEYS_PER_WORD + 1)
+    bloom = F.broadcast(bloom_words(meters, words).select(F.col("word").alias("_word"), F.col("bits").alias("_bits")))
+
+    def passes(log: DataFrame, column: str) -> DataFrame:
+        mask = _bloom_mask(F.col(column))
+        return log.join(bloom, (_bloom_word(F.col(column), words) == F.col("_word"))
+                        & (F.col("_bits").bitwiseAND(mask) == mask), "left_semi")
+    return passes
+
+
+def _micros(t: Column) -> Column:
+    return micros_between(F.lit(EPOCH).cast(_TS), t)
+
+
+MICROS, DAY_MICROS = 1_000_000, 86_400_000_000
+
+
 def slot_of(t: Column) -> Column:
-    """2 x the second of ``t``, plus 1 when it lies after that second's instant: for a whole-second
-    bound b, t < b, t = b and t > b are the same comparisons of slots."""
-    micros = micros_between(F.lit(EPOCH).cast(_TS), t)
-    return F.floor(micros / F.lit(1_000_000)) * 2 + F.when(F.pmod(micros, F.lit(1_000_000)) > 0, 1).otherwise(0)
+    """The position of ``t`` in microseconds, with everything after a second's instant at its first
+    microsecond: for a whole-second bound b, t < b, t = b and t > b are the same comparisons of positions."""
+    micros = _micros(t)
+    return micros - F.pmod(micros, F.lit(MICROS)) + F.when(F.pmod(micros, F.lit(MICROS)) > 0, 1).otherwise(0)
+
+
+def fraction_seconds(spans: DataFrame) -> DataFrame:
+    """The distinct (meterid, second) in which a window begins or ends at a fraction of the second."""
+    bounds = spans.select("meterid", F.explode(F.array(_micros(F.col("win_start")), _micros(F.col("win_end")))).alias("b"))
+    return (bounds.filter(F.pmod("b", F.lit(MICROS)) > 0)
+            .select("meterid", (F.col("b") - F.pmod("b", F.lit(MICROS))).alias("second")).distinct())
 
 
-def signal_slots(alarms: DataFrame | None, imports: DataFrame | None) -> DataFrame:
-    """Signals summarised per (meterid, day, slot) by a partial aggregate (no join, no fan-out)."""
+def signal_slots(alarms: DataFrame | None, imports: DataFrame | None, fractions: DataFrame | None = None) -> DataFrame:
+    """Signals summarised per (meterid, day, position) by a partial aggregate.
+
+    ``fractions`` (``fraction_seconds``; broadcast by the caller where its size allows) names the seconds whose
+    signals keep their microseconds. Signals without a meter are left out.
+    """
     t, alarm = F.col("t"), F.col("is_alarm")
     power = F.col("is_on") | F.col("is_off")
     # newest flip as one long, 2 * micros + (1 - state): its max is the newest
     # time and, on a tie of times, the power-off (state 0); a plain max keeps
     # the aggregate a hash aggregate.
-    key = micros_between(F.lit(EPOCH).cast(_TS), t) * 2 + (1 - flip_state(F.col("is_on")))
-    return (_signals(alarms, imports).withColumn("p", slot_of(t)).groupBy("meterid", "day", "p").agg(
+    key = _micros(t) * 2 + (1 - flip_state(F.col("is_on")))
+    signals = _signals(alarms, imports).filter(F.col("meterid").isNotNull())
+    if fractions is None:
+        signals = signals.withColumn("p", slot_of(t))
+    else:
+        exact = fractions.select("meterid", "second", F.lit(True).alias("exact"))
+        signals = (signals.withColumn("second", _micros(t) - F.pmod(_micros(t), F.lit(MICROS)))
+                   .join(exact, ["meterid", "second"], "left")
+                   .withColumn("p", F.when(F.col("exact"), _micros(t)).otherwise(slot_of(t))))
+    return signals.groupBy("meterid", "day", "p").agg(
         F.max(F.when(F.col("is_on"), t)).alias("on_t"),
         F.max(F.when(F.col("is_off"), t)).alias("off_t"),
         F.count_if(alarm).alias("n_alarms"),
@@ -119,27 +197,55 @@ def signal_slots(alarms: DataFrame | None, imports: DataFrame | None) -> DataFra
         F.max(F.when(power, key)).alias("newest_key"),
         F.max(F.when(power, t)).alias("flip_t"),
         F.count_if(~alarm).alias("n_imports"),
-        F.min(F.when(~alarm, t)).alias("import_t")))
+        F.min(F.when(~alarm, t)).alias("import_t"))
+
 
+_SLOT_COLUMNS = ("on_t", "off_t", "n_alarms", "n_flips", "newest_key", "flip_t", "n_imports", "import_t")
 
-def _slot_contributions(rows: DataFrame, keys, slots: DataFrame) -> DataFrame:
-    """Contributions of the slot summaries to each row's window: slots before the start on the
-    start's day, and slots inside [win_start, win_end]. Window bounds are whole seconds."""
-    spans = _window_days(rows, keys).select(*keys, "day", slot_of(F.col("win_start")).alias("p_s"),
-                                            slot_of(F.col("win_end")).alias("p_e"))
-    p = F.col("p")
-    inside, before = (p >= F.col("p_s")) & (p <= F.col("p_e")), p < F.col("p_s")
+
+def _bound_contributions(rows: DataFrame, keys, slots: DataFrame) -> DataFrame:
+    """Contributions of the slot summaries to each row's window, read at its bounds.
+
+    Per day that a window touches there are two bounds: where it begins (before the slots of that position) and
+    where it ends (after them). Slots and bounds of a (meter, day) are sorted together; counts up to the end minus counts
+    up to the beginning are those of the window, the newest flip up to the end is the window's if it has
+    any, and so is the next import after the beginning. What comes before the beginning on the start's day is
+    the running value there.
+    """
+    begin, end = _micros(F.col("win_start")), _micros(F.col("win_end"))
+    midnight = _micros(F.col("day").cast(_TS))
+    side = F.explode(F.array(
+        F.struct(F.greatest(begin, midnight).alias("p"), F.lit(-1).alias("side")),
+        F.struct(F.least(end, midnight + F.lit(DAY_MICROS - 1)).alias("p"), F.lit(1).alias("side")))).alias("bound")
+    days = _window_days(rows, keys)
+    span = [*dict.fromkeys([*keys, "win_start", "win_end"])]
+    bounds = days.select(*span, "day", side).select(
+        *span, "day", "bound.p", "bound.side",
+        *[F.lit(None).cast(slots.schema[c].dataType).alias(c) for c in _SLOT_COLUMNS])
+    facts = slots.select(*[F.col("meterid") if c == "meterid" else F.lit(None).cast(days.schema[c].dataType).alias(c)
+                           for c in span], "day", "p", F.lit(0).alias("side"), *_SLOT_COLUMNS)
+    order = Window.partitionBy("meterid", "day").orderBy("p", "side")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = facts.unionByName(bounds).select(
+        *span, "day", "side",
+        *[F.max(c).over(upto).alias(c) for c in ("on_t", "off_t", "newest_key", "flip_t")],
+        *[F.coalesce(F.sum(c).over(upto), F.lit(0)).cast("long").alias(c) for c in ("n_alarms", "n_flips", "n_imports")],
+        F.expr("lead(import_t) IGNORE NULLS OVER (PARTITION BY meterid, day ORDER BY p, side)").alias("next_import"))
+    starts, ends = F.col("side") < 0, F.col("side") > 0
+    before = starts & (F.col("day") == day_of(F.col("win_start")))
+    proper = F.col("win_end") >= F.col("win_start")
     zero = F.lit(0).cast("long")
-    return (slots.join(spans, ["meterid", "day"]).filter(inside | before)
-            .select(*keys,
-                    F.when(before, F.col("on_t")).alias("on_before"),
-                    F.when(before, F.col("off_t")).alias("off_before"),
-                    F.when(before, F.col("n_alarms")).otherwise(zero).alias("alarms_before"),
-                    F.when(inside, F.col("n_flips")).otherwise(zero).alias("flips"),
-                    F.when(inside, F.col("newest_key")).alias("newest_key"),
-                    F.when(inside, F.col("flip_t")).alias("flip_t"),
-                    F.when(inside, F.col("n_imports")).otherwise(zero).alias("imports"),
-                    F.when(inside, F.col("import_t")).alias("import_t")))
+    sign = F.when(proper, F.col("side")).otherwise(0).cast("long")
+    return running.filter(F.col("side") != 0).select(
+        *keys,
+        F.when(before, F.col("on_t")).alias("on_before"),
+        F.when(before, F.col("off_t")).alias("off_before"),
+        F.when(before, F.col("n_alarms")).otherwise(zero).alias("alarms_before"),
+        (F.col("n_flips") * sign).alias("flips"),
+        F.when(ends, F.col("newest_key")).alias("newest_key"),
+        F.when(ends, F.col("flip_t")).alias("flip_t"),
+        (F.col("n_imports") * sign).alias("imports"),
+        F.when(starts, F.col("next_import")).alias("import_t"))
 
 
 def alarm_daily_summary(alarms: DataFrame) -> DataFrame:
@@ -199,6 +305,8 @@ def _earlier_days(rows: DataFrame, keys, alarm_days: DataFrame) -> DataFrame:
 
 
 def _aggregate(contributions: DataFrame, keys) -> DataFrame:
+    """Facts per row. Newest flip and first import are the window's only where it has any (``_bound_contributions``)."""
+    flipped, imported = F.col("flip_count") > 0, F.col("import_count") > 0
     return (contributions.groupBy(*keys).agg(
         F.max("on_before").alias("last_on_before"),
         F.max("off_before").alias("last_off_before"),
@@ -209,22 +317,23 @@ def _aggregate(contributions: DataFrame, keys) -> DataFrame:
         F.coalesce(F.sum("imports"), F.lit(0)).cast("long").alias("import_count"),
         F.min("import_t").alias("first_import_time"),
     ).select(*keys, "last_on_before", "last_off_before", "has_alarm_before", "flip_count",
-             (1 - F.pmod(F.col("_newest"), F.lit(2))).cast("int").alias("latest_state"), "latest_event_time",
-             "import_count", "first_import_time"))
+             F.when(flipped, 1 - F.pmod(F.col("_newest"), F.lit(2))).cast("int").alias("latest_state"),
+             F.when(flipped, F.col("latest_event_time")).alias("latest_event_time"),
+             "import_count", F.when(imported, F.col("first_import_time")).alias("first_import_time")))
 
 
 def power_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame,
-                alarm_days: DataFrame | None = None) -> DataFrame:
-    """Everything the state rule reads, one row per windowed (batch, tier, meter) row.
+                alarm_days: DataFrame | None = None, keys=WINDOW_KEYS, fractions: DataFrame | None = None) -> DataFrame:
+    """Everything the state rule reads, one row per windowed (batch, tier, meter) row, or per other ``keys``.
 
-    The earlier-days rows (exactly one per windowed row) and the slot contributions are unioned and
+    The earlier-days rows (exactly one per windowed row) and the bound contributions are unioned and
     aggregated once, so every windowed row is present. ``alarm_days``
     (``alarm_daily_summary``) defaults to summarising ``alarms``.
     """
     days = alarm_daily_summary(alarms) if alarm_days is None else alarm_days
-    rows = _earlier_days(windowed, WINDOW_KEYS, days).unionByName(
-        _slot_contributions(windowed, WINDOW_KEYS, signal_slots(alarms, imports)))
-    return _aggregate(rows, WINDOW_KEYS)
+    rows = _earlier_days(windowed, keys, days).unionByName(
+        _bound_contributions(windowed, keys, signal_slots(alarms, imports, fractions)))
+    return _aggregate(rows, keys)
 
 
 def prior_facts(windowed: DataFrame, alarms: DataFrame, alarm_days: DataFrame | None = None) -> DataFrame:
@@ -233,7 +342,7 @@ def prior_facts(windowed: DataFrame, alarms: DataFrame, alarm_days: DataFrame |
     days = alarm_daily_summary(alarms) if alarm_days is None else alarm_days
     starts = windowed.select(*START_KEYS).distinct().withColumn("win_end", F.col("win_start"))
     rows = _earlier_days(starts, START_KEYS, days).unionByName(
-        _slot_contributions(starts, START_KEYS, signal_slots(alarms, None)))
+        _bound_contributions(starts, START_KEYS, signal_slots(alarms, None)))
     return _aggregate(rows, START_KEYS)
 
 
@@ -242,8 +351,7 @@ def window_facts(windowed: DataFrame, alarms: DataFrame | None, imports: DataFra
     power alarms, imports from the import log; a log that is not given adds nothing."""
     needs = needs_of(windowed)
     slots = signal_slots(None if alarms is None else power_alarms(alarms), imports)
-    rows = _markers(needs, NEED_KEYS).unionByName(_slot_contributions(needs, NEED_KEYS, slots))
-    return _aggregate(rows, NEED_KEYS)
+    return _aggregate(_bound_contributions(needs, NEED_KEYS, slots), NEED_KEYS)
 
 
 def prior_of(facts: DataFrame) -> DataFrame:
@@ -296,10 +404,10 @@ def import_presence(inside: DataFrame) -> DataFrame:
                          "first_import_time")
 
 
-def state_of(facts: DataFrame) -> DataFrame:
+def state_of(facts: DataFrame, keys=WINDOW_KEYS) -> DataFrame:
     """The state text per windowed row."""
     code = F.when(F.col("has_alarm_before"), prior_code(F.col("last_on_before"), F.col("last_off_before")))
-    return facts.select(*WINDOW_KEYS, power_state(F.col("flip_count") > 0, F.col("import_count") > 0, code)
+    return facts.select(*keys, power_state(F.col("flip_count") > 0, F.col("import_count") > 0, code)
                         .alias("meter_power_state"))
 
 

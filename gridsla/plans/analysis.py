@@ -104,16 +104,22 @@ class SlaAnalysis:
         return (dt.datetime.combine(st.first.date(), dt.time()),
                 dt.datetime.combine(last.date(), dt.time()), last)
 
+    @cached_property
+    def wanted(self):
+        """The filter of signals by meter, from the counted distinct meters of the window rows."""
+        meters = self._keep(self.windowed.select("meterid").distinct())
+        return P.signal_filter(meters, meters.count())
+
     @cached_property
     def window_alarms(self) -> DataFrame:
         b = self.bounds
-        alarms = self._given(self.alarms, "alarm")
+        alarms = self.wanted(self._given(self.alarms, "alarm"), "meterid")
         return alarms if b is None else P.restrict_alarms(alarms, b[0], b[2])
 
     @cached_property
     def window_imports(self) -> DataFrame:
         b = self.bounds
-        imports = self._given(self.imports, "import")
+        imports = self.wanted(self._given(self.imports, "import"), "meter_id")
         return imports if b is None else P.restrict_imports(imports, b[0], b[2])
 
     @cached_property
@@ -123,7 +129,7 @@ class SlaAnalysis:
             daily = self.alarm_days_given
         else:
             # the earlier-days pass reads only days before a window's start day
-            alarms = self._given(self.alarms, "alarm")
+            alarms = self.wanted(self._given(self.alarms, "alarm"), "meterid")
             daily = P.alarm_daily_summary(alarms if b is None else P.alarm_history(alarms, b[1]))
         return daily if b is None else P.fold_days(daily, b[0])
 

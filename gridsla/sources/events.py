@@ -68,6 +68,16 @@ def imports_from_events(events: DataFrame) -> DataFrame:
             .select(_meter(F.col("user_id")).alias("meter_id"), F.col("ts").alias("das_rtc")))
 
 
+SPAN_TASK = "serviceSetLoadLimit"
+
+
+def job_spans(jobs: DataFrame) -> DataFrame:
+    """One (meterid, win_start, win_end) per finished job of a task: from its creation to its completion, at
+    milliseconds; a list of meters and times to check."""
+    return jobs.filter((F.col("task") == SPAN_TASK) & F.col("completiondatetime").isNotNull()).select(
+        "meterid", F.col("createddate").alias("win_start"), F.col("completiondatetime").alias("win_end"))
+
+
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
 

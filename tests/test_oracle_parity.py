@@ -21,7 +21,7 @@ def duck():
 
 def test_every_query_has_an_oracle():
     assert set(E.QUERY_NAMES) <= set(E.queries()) & set(E.oracle_sql())
-    assert len(E.QUERY_NAMES) == 25
+    assert len(E.QUERY_NAMES) == len(set(E.QUERY_NAMES)) >= 26
 
 
 @pytest.mark.parametrize("name", list(E.QUERY_NAMES))
