@@ -13,7 +13,7 @@ from ..functions.tiers import tier_label, tier_limit
 from ..functions.timecols import minutes_between, plus_minutes
 from ..sources.policy import DEFAULT_POLICY, TaskPolicy
 from .batches import BATCH_KEYS
-from .sla import _with_policy, tier_counts
+from .sla import _with_policy
 
 DEFAULT_SAMPLE = 20
 
@@ -56,10 +56,10 @@ def late_job_sample(late: DataFrame, n: int = DEFAULT_SAMPLE, seed: int = 0) ->
             .filter(F.col("sample_rank") <= F.lit(n)))
 
 
-def late_summary(timed: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY) -> DataFrame:
-    """Per batch, (metric, value) rows: late jobs and gap per timed tier, and
+def late_summary(counts: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY) -> DataFrame:
+    """A8 (``counts`` as in ``sla.sla_report``): per batch, (metric, value) rows: late jobs and gap per timed tier, and
     the distinct late jobs over all tiers (= late for the first tier, as sets nest)."""
-    rows = _with_policy(tier_counts(timed, policy), policy).filter(F.col("limit_min").isNotNull())
+    rows = _with_policy(counts, policy).filter(F.col("limit_min").isNotNull())
     finished = F.col("total_jobs") - F.col("unfinished_count")
     late_n = (finished - F.col("completed_count")).cast("long")
     gap_n = gap(target_count(F.col("total_jobs"), F.col("target")), F.col("completed_count"))

@@ -53,9 +53,9 @@ def _with_policy(counts: DataFrame, policy) -> DataFrame:
             .withColumn("cum_last", cum_last))
 
 
-def sla_report(timed: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY,
+def sla_report(counts: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY,
                unknown: DataFrame | None = None) -> DataFrame:
-    """A4: per batch and tier the completed count, percentage and jobs pending to target.
+    """A4 (``counts``: ``tier_counts`` or ``histogram.histogram_counts``): per batch and tier the completed count, percentage and jobs pending to target.
 
     Tier rows count finished jobs within anchor + limit (cumulative); the breach
     row counts finished jobs beyond the last limit and its pending figure is the
@@ -63,7 +63,7 @@ def sla_report(timed: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY
     count in the total only (``unfinished_count`` reports them). ``unknown``
     (``unknown_task_report`` rows) is appended.
     """
-    rows = _with_policy(tier_counts(timed, policy), policy)
+    rows = _with_policy(counts, policy)
     is_breach = F.col("limit_min").isNull()
     pending_tier = gap(target_count(F.col("total_jobs"), F.col("target")), F.col("completed_count"))
     pending_last = gap(target_count(F.col("total_jobs"), F.col("last_target")), F.col("cum_last"))
@@ -80,9 +80,9 @@ def sla_report(timed: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY
     return out.orderBy(*BATCH_KEYS, "sla_order")  # small: batches x tiers
 
 
-def sla_gap(timed: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY) -> DataFrame:
-    """A5: per batch and timed tier, max(ceil(total * target) - within limit, 0)."""
-    rows = _with_policy(tier_counts(timed, policy), policy).filter(F.col("limit_min").isNotNull())
+def sla_gap(counts: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY) -> DataFrame:
+    """A5 (``counts`` as in ``sla_report``): per batch and timed tier, max(ceil(total * target) - within limit, 0)."""
+    rows = _with_policy(counts, policy).filter(F.col("limit_min").isNotNull())
     needed = target_count(F.col("total_jobs"), F.col("target"))
     return rows.select(*BATCH_KEYS, F.col("metric").alias("sla_tier"), F.col("tier_order").alias("sla_order"),
                        "total_jobs", F.col("completed_count").alias("within_limit"),

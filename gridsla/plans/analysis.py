@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import batches as B
+from ..operators import histogram as H
 from ..operators import late as L
 from ..operators import power as P
 from ..operators import sla as S
@@ -26,10 +27,14 @@ from .materialize import broadcast_if_rows, discard, materialize
 
 
 class SlaAnalysis:
-    def __init__(self, jobs: DataFrame, alarms: DataFrame | None = None, imports: DataFrame | None = None,
+    """``histogram`` (``operators.histogram.ReportState.histogram``) stands in for the job log in the report outputs
+    (``batch_anchor``, ``sla_report``, ``sla_gap``, ``late_summary``, ``tier_window``, ``unknown_task_report``); ``jobs`` may
+    then be None, if no other output is asked for."""
+
+    def __init__(self, jobs: DataFrame | None, alarms: DataFrame | None = None, imports: DataFrame | None = None,
                  policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY, *,
                  task: str | None = None, day=None, guid: str | None = None, tc: str | None = None,
-                 alarm_days: DataFrame | None = None):
+                 alarm_days: DataFrame | None = None, histogram: DataFrame | None = None):
         self.jobs = jobs
         self.alarms = alarms
         self.imports = imports
@@ -40,6 +45,8 @@ class SlaAnalysis:
         self.narrow = {"task": task, "day": day, "guid": guid}
         self.keep_power_facts = False
         self._kept: list[DataFrame] = []
+        if histogram is not None:
+            self.histogram = H.narrow_histogram(histogram, self.policy, **self.narrow)
 
     # shared intermediates
     @cached_property
@@ -49,10 +56,23 @@ class SlaAnalysis:
     @cached_property
     def all_anchors(self) -> DataFrame:
         """Anchors of every batch, tasks without policy included (one per task and
-        day): checkpointed once, so the N/A rows cost no second job-log scan."""
+        day): written once, so the N/A rows cost no second job-log scan. From the histogram if there is one."""
+        if "histogram" in self.__dict__:
+            return self._keep(H.anchors_of(self.histogram))
         every = B.assign_batches(self.jobs, self.policy, include_unknown=True, **self.narrow)
         return self._keep(B.batch_anchor(every))
 
+    @cached_property
+    def histogram(self) -> DataFrame:
+        """Jobs per batch and completion second, written once: the report's only scan of the job log."""
+        return self._keep(H.batch_histogram(self.jobs, self.policy, **self.narrow))
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """Per batch the jobs by tier, read off the histogram."""
+        histogram = self.histogram  # before the anchors, which then come from it
+        return H.histogram_counts(histogram, self.anchor_side, self.policy)
+
     @cached_property
     def anchors(self) -> DataFrame:
         return self.all_anchors.filter(known_task("task", self.policy))
@@ -197,10 +217,10 @@ class SlaAnalysis:
         return B.job_durations(self.jobs, self.policy, **self.narrow)
 
     def sla_report(self, with_unknown: bool = True):
-        return S.sla_report(self.timed, self.policy, self.unknown_task_report() if with_unknown else None)
+        return S.sla_report(self.counts, self.policy, self.unknown_task_report() if with_unknown else None)
 
     def sla_gap(self):
-        return S.sla_gap(self.timed, self.policy)
+        return S.sla_gap(self.counts, self.policy)
 
     def late_jobs(self):
         return self.late
@@ -209,7 +229,7 @@ class SlaAnalysis:
         return L.late_job_sample(self.late, n, seed)
 
     def late_summary(self):
-        return L.late_summary(self.timed, self.policy)
+        return L.late_summary(self.counts, self.policy)
 
     def tier_of_job(self):
         return S.tier_of_job(self.timed, self.policy)
@@ -264,7 +284,7 @@ class SlaAnalysis:
         unknown = self.all_anchors.filter(~known_task("task", self.policy)).select("task", "job_day")
         task, day = self.narrow["task"], self.narrow["day"]
         if task is not None and task not in {p.task for p in self.policy}:
-            asked = self.jobs.sparkSession.createDataFrame([(task, None if day is None else str(day))], "task string, d string")
+            asked = unknown.sparkSession.createDataFrame([(task, None if day is None else str(day))], "task string, d string")
             asked = asked.select("task", F.to_date("d").cast("timestamp_ntz").alias("job_day"))
             unknown = unknown.unionByName(asked.join(unknown, "task", "left_anti"))
         return S.na_rows(unknown, with_time)
@@ -295,6 +315,8 @@ class SlaAnalysis:
         both = self.alarms is not None and self.imports is not None
         if both and len(power & set(names)) > 1 and "facts" not in self.__dict__:
             self.keep_power_facts = True
+        if {"sla_report", "sla_gap", "late_summary"} & set(names):
+            self.histogram  # before the anchors, which then need no scan of their own
         paths = {}
         for name in names:
             path = f"{root.rstrip('/')}/{name}"
