@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from ..operators import batches as B
 from ..operators import histogram as H
 from ..operators import late as L
+from ..operators import listing
+from ..operators import meter_sets as M
 from ..operators import power as P
+from ..operators import rejects
 from ..operators import sla as S
 from ..operators import split as X
 from ..functions.tiers import known_task
@@ -237,6 +240,20 @@ class SlaAnalysis:
     def meters_by_tier(self):
         return self.meters
 
+    @cached_property
+    def dictionary(self) -> DataFrame:
+        kept = M.meter_dictionary(self.batched)
+        self._kept.append(kept)
+        return kept
+
+    @cached_property
+    def tier_sets(self) -> DataFrame:
+        """The meters of each batch and tier as blocks of bits over ``dictionary``."""
+        return M.tier_sets(self.timed, self.dictionary)
+
+    def tier_overlaps(self):
+        return M.tier_overlaps(self.tier_sets, self.policy)
+
     def tier_window(self):
         return S.tier_window(self.anchors, self.policy)
 
@@ -255,6 +272,17 @@ class SlaAnalysis:
     def flip_listing(self):
         return P.flip_listing(self.needs, self.window_alarms)
 
+    def flip_listing_chunks(self, size: int = listing.DEFAULT_CHUNK):
+        return listing.flip_listing_chunks(self.needs, self.window_alarms, size)
+
+    def reject_counts(self):
+        logs = {"jobs": self.jobs, "alarms": self.alarms, "imports": self.imports}
+        return rejects.reject_counts({k: v for k, v in logs.items() if v is not None}, self.policy)
+
+    def rejected(self, log: str):
+        """The rows of "jobs", "alarms" or "imports" that no output holds, with the reason."""
+        return rejects.rejected(self._given(getattr(self, log), log), log, self.policy)
+
     def latest_flip(self):
         return P.latest_flip(self.flips_inside)
 
@@ -296,6 +324,10 @@ class SlaAnalysis:
                "latest_flip", "import_presence", "meter_power_state", "power_split", "power_summary",
                "powered_off_list", "eligible_list", "late_job_export", "unknown_task_report")
     CSV_OUTPUTS = ("powered_off_list", "late_job_export")
+    # large outputs that a user reads in order: their files are sorted one after the other
+    SORTED_OUTPUTS = {"meters_by_tier": (*B.BATCH_KEYS, "sla_order", "meterid"),
+                      "meter_power_state": (*B.BATCH_KEYS, "sla_order", "meterid"),
+                      "flip_listing": ("meterid", "win_start", "win_end", "alarm_date", "state")}
 
     def write_outputs(self, root: str, names: tuple[str, ...] | None = None, fmt: str = "parquet") -> dict[str, str]:
         """Write the chosen outputs under ``root`` (CSV with header for the two exports).
@@ -304,7 +336,7 @@ class SlaAnalysis:
         signal logs are given) they are written once to the shared folder instead of recomputed per output.
         Returns name -> path.
         """
-        from ..sources.sinks import write_csv
+        from ..sources.sinks import write_csv, write_sorted
         names = self.OUTPUTS if names is None else names
         unknown = set(names) - set(self.OUTPUTS)
         if unknown:
@@ -323,6 +355,8 @@ class SlaAnalysis:
             df = getattr(self, name)()
             if name in self.CSV_OUTPUTS:
                 write_csv(df, path)
+            elif name in self.SORTED_OUTPUTS:
+                write_sorted(df, path, self.SORTED_OUTPUTS[name], fmt)
             else:
                 df.write.mode("overwrite").format(fmt).save(path)
             paths[name] = path

@@ -1,0 +1,94 @@
+"""Chunked listings, sets of meters, rejected rows and outputs in a global order."""
+
+from __future__ import annotations
+
+import datetime as dt
+import glob
+import random
+
+from pyspark.sql import functions as F
+
+from gridsla.operators import listing, meter_sets
+from gridsla.operators.batches import BATCH_KEYS
+from gridsla.operators.rejects import observed
+from gridsla.plans.analysis import SlaAnalysis
+from gridsla.sources.events import load_inputs
+from tests.conftest import ALARM_SCHEMA, IMPORT_SCHEMA, JOB_SCHEMA
+
+DAY = dt.datetime(2024, 6, 1)
+
+
+def test_chunks_join_to_the_ordered_strings(spark, make_alarms):
+    rng = random.Random(5)
+    names = ["METER_FIRST_BREATH", "METER_LAST_GASP", "COVER_OPEN", "METER_LAST_GASP,METER_FIRST_BREATH"]
+    alarms = [(f"L{rng.randint(0, 3)}", DAY + dt.timedelta(seconds=rng.randint(0, 200_000), microseconds=rng.choice([0, 0, 1, 7])),
+               rng.choice(names)) for _ in range(600)]
+    alarms += [("L0", DAY + dt.timedelta(hours=3), names[1])] * 25 + [(None, DAY, names[0]), ("L1", None, names[0])]
+    spans = [(f"L{k % 5}", DAY + dt.timedelta(seconds=rng.randint(0, 150_000)), rng.randint(0, 90_000)) for k in range(40)]
+    spans.append(("L0", DAY + dt.timedelta(hours=3), 0))
+    needs = [(m, s, s + dt.timedelta(seconds=n)) for m, s, n in spans]
+    got = listing.flip_listing_chunks(spark.createDataFrame(needs, "meterid string, win_start timestamp_ntz, win_end timestamp_ntz"),
+                                      make_alarms(alarms), size=7).collect()
+    found: dict = {}
+    for r in got:
+        found.setdefault((r.meterid, r.win_start, r.win_end, r.state), []).append(r)
+    want = {}
+    for m, s, e in set(needs):
+        for state, name in ((1, names[0]), (0, names[1])):
+            times = sorted((t for i, t, n in alarms if i == m and t is not None and s <= t <= e
+                            and ((state == 1 and names[0] in n) or (state == 0 and names[1] in n and names[0] not in n))), reverse=True)
+            if times:
+                want[(m, s, e, state)] = [f"{name} @ {t:%d-%m-%Y %H:%M:%S}" for t in times]
+    assert set(found) == set(want)
+    for key, entries in want.items():
+        chunks = sorted(found[key], key=lambda r: r.chunk)
+        assert [c.chunk for c in chunks] == list(range(-(-len(entries) // 7)))  # gapless
+        assert [c.entries for c in chunks] == [len(entries[i:i + 7]) for i in range(0, len(entries), 7)]
+        assert ", ".join(c.flip_times for c in chunks) == ", ".join(entries)
+
+
+def test_sets_expand_to_the_meters_of_each_tier(spark):
+    a = SlaAnalysis(*load_inputs(spark, "/root/testdata/sf0.01"))
+    numbers = sorted(r.meter_no for r in a.dictionary.collect())
+    assert numbers == list(range(len(numbers)))
+    got = meter_sets.set_members(a.tier_sets, a.dictionary)
+    want = a.meters_by_tier().select(*BATCH_KEYS, "sla_order", "meterid")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert a.tier_overlaps().filter("common_meters > 0").count() > 0
+    a.close()
+
+
+def test_kept_and_rejected_rows_add_up(spark):
+    at = DAY
+    jobs = spark.createDataFrame([(1, "Alert / Tamper", "g", "1", "A", at, at), (2, "Alert / Tamper", None, "1", "A", at, at),
+                                  (3, "serviceFirmwareUpdate", None, "1", "A", at, None), (4, None, None, None, None, None, None),
+                                  (5, "other", None, "1", "A", at, at)], JOB_SCHEMA)
+    alarms = spark.createDataFrame([("A", at, "x"), ("A", None, "x"), (None, at, None), (None, None, None)], ALARM_SCHEMA)
+    imports = spark.createDataFrame([], IMPORT_SCHEMA)
+    a = SlaAnalysis(jobs, alarms, imports)
+    got = {(r.log, r.outcome): r.n_rows for r in a.reject_counts().collect()}
+    assert got == {("jobs", "kept"): 3, ("jobs", "no guid"): 1, ("jobs", "no creation time"): 1,
+                   ("alarms", "kept"): 1, ("alarms", "no time"): 2, ("alarms", "no meter"): 1,
+                   ("imports", "kept"): 0, ("imports", "no time"): 0, ("imports", "no meter"): 0}
+    assert [(r.job_id, r.reject_reason) for r in a.rejected("jobs").orderBy("job_id").collect()] == [
+        (2, "no guid"), (4, "no creation time")]
+    assert a.rejected("alarms").count() == 3
+    watched, counter = observed(jobs, "jobs")
+    SlaAnalysis(watched).batch_anchor().collect()  # the anchors are written, which reads the log to its end
+    assert counter.get == {"kept": 3, "no guid": 1, "no creation time": 1}
+
+
+def test_large_outputs_are_written_in_order(spark, tmp_path):
+    a = SlaAnalysis(*load_inputs(spark, "/root/testdata/sf0.01"))
+    names = ("meters_by_tier", "meter_power_state", "sla_report")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        paths = a.write_outputs(str(tmp_path), names)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for name in names[:2]:
+        files = sorted(glob.glob(f"{paths[name]}/part-*"))
+        order = a.SORTED_OUTPUTS[name]
+        rows = [tuple(r[c] for c in order) for f in files for r in spark.read.parquet(f).collect()]
+        assert len(files) > 1 and rows == sorted(rows) and len(rows) == getattr(a, name)().count()
+    a.close()
