@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +38,30 @@ _STOPS = re.compile(r"[.!?:;…](?:\s|$)")
 
 # what an element says of the text inside
 GONE, MAIN, ARTICLE, NAMED, PLAIN = "gone", "main", "article", "named", "plain"
-Mark = tuple[str, frozenset[str], int]
+HEAD_TAGS = frozenset("head title meta link style script base noscript template".split())  # any other tag ends the head
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+class Mark(NamedTuple):
+    """An element that says something of its text, with what the marked elements around it say."""
+    kind: str
+    words: frozenset[str]
+    around: int  # the next marked element outwards; 0 is the page
+    gone: bool  # this element or one around it holds no main text
+    named: frozenset[str]  # words of this element and those around it, articles left out
+    every: frozenset[str]  # and with them
+    main: bool  # this element or one around it is said to hold main text
+
+
+class Block(NamedTuple):
+    text: str
+    element: int  # the block-level element around
+    mark: int
+    heading: bool
+    link_chars: int
+
+
+PAGE = Mark(PLAIN, frozenset(), 0, False, frozenset(), frozenset(), False)
 
 
 def _mark(tag: str, attrs: dict[str, str | None]) -> tuple[str, frozenset[str]]:
@@ -60,113 +84,147 @@ def _mark(tag: str, attrs: dict[str, str | None]) -> tuple[str, frozenset[str]]:
     return NAMED if words & MAIN_WORDS and tag in ("div", "section", "td") else PLAIN, away
 
 
-def natures(blocks: list) -> list[int]:
+def natures(blocks: list[Block], marks: list[Mark]) -> list[int]:
     """Of each block: 1 in main text by its elements, 0 unknown, -1 under a doubtful name, -2 in no main text.
 
     The nearest mark counts. A name word under which half of the page's prose (blocks of ten words or more)
     lies names a wrapper and is ignored, unless elements of main text hold text outside it, a tenth as long or
     more. An article in a doubtful element is believed when a quarter of the prose lies in it.
     """
-    prose = [max(0, len(text) - links) if text.count(" ") >= 9 and not any(m[0] == GONE for m in marks) else 0
-             for text, _, marks, _, links in blocks]
-    whole, under, inside = sum(prose), {}, {}
-    for n, (_, _, marks, _, _) in zip(prose, blocks):
-        for w in {w for kind, words, _ in marks if kind != ARTICLE for w in words}:
+    prose = [max(0, len(b.text) - b.link_chars) if b.text.count(" ") >= 9 and not marks[b.mark].gone else 0 for b in blocks]
+    whole, under, inside = sum(prose), {}, [0] * len(marks)
+    for n, b in zip(prose, blocks):
+        for w in marks[b.mark].named:
             under[w] = under.get(w, 0) + n
-        for kind, _, number in marks:
-            if kind == ARTICLE:
-                inside[number] = inside.get(number, 0) + n
-
-    def judged(marks: tuple[Mark, ...], ignored: frozenset[str]) -> int:
-        now = 0
-        for kind, words, number in marks:
-            if kind == GONE:
-                return -2
-            if kind == MAIN or kind == ARTICLE and (now >= 0 or not words - ignored and 0 < whole <= 4 * inside[number]):
+        inside[b.mark] += n
+    for k in range(len(marks) - 1, 0, -1):  # marks are numbered from the outside in
+        inside[marks[k].around] += inside[k]
+
+    def judged(ignored: frozenset[str]) -> list[int]:
+        out = [0] * len(marks)
+        for k, m in enumerate(marks[1:], 1):
+            now = out[m.around]
+            if m.gone:
+                now = -2
+            elif m.kind == MAIN or m.kind == ARTICLE and (now >= 0 or not m.words - ignored and 0 < whole <= 4 * inside[k]):
                 now = 1
-            elif kind != ARTICLE and words - ignored:
+            elif m.kind != ARTICLE and m.words - ignored:
                 now = -1
-            elif kind == NAMED and now >= 0:
+            elif m.kind == NAMED and now >= 0:
                 now = 1
-        return now
+            out[k] = now
+        return out
 
-    sure = [len(text) - links if judged(marks, frozenset()) > 0 else 0 for text, _, marks, _, links in blocks]
+    first = judged(frozenset())
+    sure = [len(b.text) - b.link_chars if first[b.mark] > 0 else 0 for b in blocks]
     ignored = set()
     for w, n in under.items():
         if 0 < whole <= 2 * n:
-            outside = sum(s for s, (_, _, marks, _, _) in zip(sure, blocks) if not any(w in words for _, words, _ in marks))
+            outside = sum(s for s, b in zip(sure, blocks) if w not in marks[b.mark].every)
             if 10 * outside <= n:
                 ignored.add(w)
-    return [judged(marks, frozenset(ignored)) for _, _, marks, _, _ in blocks]
+    final = judged(frozenset(ignored))
+    return [final[b.mark] for b in blocks]
 
 
 class Blocks(HTMLParser):
-    """Blocks of a page: text, path of element numbers, marks of the elements around, heading, characters inside links.
+    """Blocks of a page, with the elements and marks around them; linear in the page, however deep it is.
 
     Open elements are kept on a stack with the cases where HTML closes them without an end tag.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, tuple[Mark, ...]]] = []  # tag, number, marks that hold inside
-        self.blocks: list[tuple[str, tuple[int, ...], tuple[Mark, ...], bool, int]] = []
+        self.stack: list[tuple[str, int, int]] = []  # tag, block-level element and mark that hold inside
+        self.open: Counter[str] = Counter()
+        self.parent, self.depth = [0], [0]  # of block-level elements; 0 is the page
+        self.marks = [PAGE]
+        self.blocks: list[Block] = []
         self.parts: list[str] = []
-        self.made = self.skipped = self.links = self.link_chars = 0
+        self.skipped = self.links = self.headings = self.link_chars = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            path = tuple(n for t, n, _ in self.stack if t not in INLINE)
-            heading = any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _, _ in self.stack)
-            self.blocks.append((text, path, self.stack[-1][2] if self.stack else (), heading, self.link_chars))
+            _, element, mark = self.stack[-1] if self.stack else ("", 0, 0)
+            self.blocks.append(Block(text, element, mark, self.headings > 0, self.link_chars))
         self.parts, self.link_chars = [], 0
 
     def _pop(self, depth: int) -> None:
         for tag, _, _ in self.stack[depth:]:
+            self.open[tag] -= 1
             self.skipped -= tag in SKIP
             self.links -= tag == "a"
+            self.headings -= tag in HEADINGS
         del self.stack[depth:]
 
+    def _end_head(self) -> None:
+        if self.stack and self.stack[-1][0] == "head":
+            self._pop(len(self.stack) - 1)
+
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD_TAGS:
+            self._end_head()
         if tag == "br":
             self.parts.append(" ")
             return
         if tag not in INLINE:
             self.flush()
-            closes = CLOSED_BY.get(tag, frozenset({"p"}))
-            for at in range(len(self.stack) - 1, -1, -1):
-                if self.stack[at][0] in closes or self.stack[at][0] == "p":
-                    self._pop(at)
-                elif self.stack[at][0] in SCOPE:
-                    break
-            if tag == "body":
-                self._pop(next((i for i, s in enumerate(self.stack) if s[0] == "head"), len(self.stack)))
+            closes = CLOSED_BY.get(tag, frozenset({"p"})) | {"p"}
+            if any(self.open[t] for t in closes):
+                for at in range(len(self.stack) - 1, -1, -1):
+                    if self.stack[at][0] in closes:
+                        self._pop(at)
+                    elif self.stack[at][0] in SCOPE:
+                        break
+            if tag == "body" and self.open["head"]:
+                self._pop(next(i for i, s in enumerate(self.stack) if s[0] == "head"))
         if tag in VOID:
             return
-        self.made += 1
-        inside = self.stack[-1][2] if self.stack else ()
+        _, element, mark = self.stack[-1] if self.stack else ("", 0, 0)
         kind, words = _mark(tag, dict(attrs))
-        if tag == "header" and any(k in (MAIN, ARTICLE, NAMED) for k, _, _ in inside):  # the title of an article
+        around = self.marks[mark]
+        if tag == "header" and around.main:  # the title of an article
             words -= {"<header>", "header"}
         if kind != PLAIN or words:
-            inside = (*inside, (kind, words, self.made))
-        self.stack.append((tag, self.made, inside))
+            named = around.named if kind == ARTICLE else around.named | words
+            self.marks.append(Mark(kind, words, mark, around.gone or kind == GONE, named, around.every | words,
+                                   around.main or kind in (MAIN, ARTICLE, NAMED)))
+            mark = len(self.marks) - 1
+        if tag not in INLINE:
+            self.parent.append(element)
+            self.depth.append(self.depth[element] + 1)
+            element = len(self.parent) - 1
+        self.stack.append((tag, element, mark))
+        self.open[tag] += 1
         self.skipped += tag in SKIP
         self.links += tag == "a"
+        self.headings += tag in HEADINGS
 
     def handle_endtag(self, tag):
-        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
         if tag not in INLINE:
             self.flush()
-        if at is not None:
-            self._pop(at)
+        if self.open[tag]:
+            self._pop(next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag))
 
     def handle_data(self, data):
+        if self.skipped and not data.isspace():
+            self._end_head()
         if not self.skipped:
             self.parts.append(data)
             if self.links:
                 self.link_chars += len(data)
 
+    def apart(self, a: int, b: int) -> int:
+        """Steps between two block-level elements in the tree."""
+        steps = 0
+        while a != b:
+            if self.depth[a] < self.depth[b]:
+                a, b = b, a
+            a = self.parent[a]
+            steps += 1
+        return steps
+
     def parse_html_declaration(self, i):
         """``<![...`` is a comment up to the next ``>`` as in HTML (in svg and math CDATA ends at ``]]>``).
 
@@ -179,7 +237,7 @@ class Blocks(HTMLParser):
             return end + 3 if end >= 0 else -1
         return self.parse_bogus_comment(i)
 
-    def of(self, html: str):
+    def of(self, html: str) -> list[Block]:
         self.feed(html)
         self.close()
         self.flush()
@@ -259,32 +317,33 @@ def max_flow_labels(costs: list[float], edges: list[tuple[int, int, float]]) ->
 
 
 def extract(html: str | None) -> str:
-    blocks = Blocks().of(html or "")
+    page = Blocks()
+    blocks = page.of(html or "")
     if not blocks:
         return ""
-    costs = [classifier_cost(text, nature, heading, links)
-             for (text, _, _, heading, links), nature in zip(blocks, natures(blocks))]
+    kinds = natures(blocks, page.marks)
+    costs = [classifier_cost(b.text, nature, b.heading, b.link_chars) for b, nature in zip(blocks, kinds)]
     edges, last_under = [], {}
-    for i, (_, path, _, _, _) in enumerate(blocks):
+    for i, b in enumerate(blocks):
         if i:  # neighbours in page order, more strongly the nearer they are in the tree
-            before = blocks[i - 1][1]
-            shared = next((k for k, (a, b) in enumerate(zip(path, before)) if a != b), min(len(path), len(before)))
-            apart = len(path) + len(before) - 2 * shared
-            edges.append((i - 1, i, 3.0 / (1 + apart)))
-        parent = path[:-1]
+            edges.append((i - 1, i, 3.0 / (1 + page.apart(blocks[i - 1].element, b.element))))
+        parent = page.parent[b.element]
         if parent in last_under and last_under[parent] != i - 1:  # next block under the same parent
             edges.append((last_under[parent], i, 1.0))
         last_under[parent] = i
     keep = max_flow_labels(costs, edges)
-    return "\n".join(b[0] for b, k in zip(blocks, keep) if k)
+    if not any(keep) and all(k >= 0 and 2 * b.link_chars < len(b.text) for b, k in zip(blocks, kinds)):
+        keep = [True] * len(blocks)  # nothing on the page speaks against its text but that it is short
+    return "\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars.
 
     Blocks are cut at block-level elements, their character references decoded, white space made one
-    space. Null or empty html, and pages without main text, give an empty text. Repeated rows and null ids are kept;
-    other columns are ignored.
+    space. Null or empty html, and pages without main text, give an empty text; a page of nothing but short texts, with no
+    sign of boilerplate, keeps them. Repeated rows and null ids are kept; an empty table gives an empty result; other columns
+    are ignored. A page of any length or depth is parsed whole, in time and memory in proportion to its length.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
