@@ -36,7 +36,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, bundles_per_shard: int =
     """Shard and gapless slot of every document.
 
     Groups are documents of equal text. A group stays whole unless it is larger than
-    ``1 / whole_group_share`` of a shard; then it is cut by a hash of doc_id. Small
+    ``1 / whole_group_share`` of a shard; then its rows are dealt out in turn, whatever their doc_ids. Small
     groups go by a hash of their text into ``shards * bundles_per_shard`` bundles; groups
     above an average bundle are items of their own, at most two per bundle in number
     (one by bytes, one by rows). The placement thus handles a number of items bounded by
@@ -54,7 +54,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, bundles_per_shard: int =
         F.regexp_count("t", F.lit(WORD)).cast("long").alias("tokens"),
         F.crc32(F.encode("t", "utf-8")).alias("text_crc32"),
         F.unhex(F.md5("t")).alias("grp")).withColumn(
-        "bundle", F.pmod(F.xxhash64("grp"), F.lit(n_bundles)).cast("int")))
+        "bundle", F.pmod(F.xxhash64("grp"), F.lit(n_bundles)).cast("int"))
+        .withColumn("row", F.monotonically_increasing_id()))  # written, so the same in every later read
     sums = [F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("r")]
 
     per_bundle = rows.groupBy("bundle").agg(*sums).collect()  # at most n_bundles rows
@@ -72,7 +73,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, bundles_per_shard: int =
         first.append((x.grp, at, int(x.parts)))
         at += int(x.parts)
     large_table = spark.createDataFrame(first, "grp binary, first long, parts long")
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    part = F.pmod("row", F.col("parts"))
     items = rows.join(F.broadcast(large_table), "grp", "left").withColumn(
         "item", F.coalesce(F.col("first") + part, F.col("bundle").cast("long")))
 
@@ -83,15 +84,15 @@ def shard_documents(docs: DataFrame, shards: int = 24, bundles_per_shard: int =
 
     buckets = int(min(4_096, max(1, n_rows // (shards * rows_per_slot_bucket) + 1)))
     placed = items.join(F.broadcast(map_table), "item").select(
-        "doc_id", "size", "tokens", "text_crc32", "shard",
-        F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int").alias("bucket"))
+        "doc_id", "size", "tokens", "text_crc32", "shard", "row",
+        F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int").alias("bucket"))
     counts = sorted(placed.groupBy("shard", "bucket").count().collect())  # at most shards * 4,096 rows
     starts, seen = [], {}
     for shard, bucket, n in counts:
         starts.append((shard, bucket, seen.get(shard, 0)))
         seen[shard] = seen.get(shard, 0) + n
     start_table = spark.createDataFrame(starts, "shard int, bucket int, start long")
-    order = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
+    order = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "row")
     return placed.withColumn("rn", F.row_number().over(order)).join(
         F.broadcast(start_table), ["shard", "bucket"]).select(
         "doc_id", "size", "tokens", "text_crc32", "shard", (F.col("start") + F.col("rn") - 1).alias("slot"))
