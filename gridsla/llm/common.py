@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
             or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def quoted(name: str) -> str:
+    """A column name for ``F.col`` that may hold any character."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back (lineage is cut)."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsla.llm.common import connected_components, materialize, table
+from gridsla.llm.common import connected_components, discard, materialize, quoted, table
 
 BITS = 64
 SHINGLE = 3
@@ -174,7 +174,7 @@ def allocate(fp: np.ndarray, groups: list[list[int]], balls: list[np.ndarray], d
     return spent - 1
 
 
-def near_links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS) -> DataFrame:
+def near_links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS, written: list | None = None) -> DataFrame:
     """Links (a, b) between fingerprints at ``distance`` or fewer differing bits (even distance).
 
     ``distinct`` is a materialised table of different fingerprints (column fp). Links keep every
@@ -225,6 +225,8 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS
     around = materialize(around)
     least = around.groupBy("mid").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1")
     star = around.join(least, "mid").where("a <> fp").select("a", F.col("fp").alias("b"))
+    if written is not None:
+        written += [entries, buckets, around]  # the tables that the links are read from
     return pairs.unionByName(star).distinct()
 
 
@@ -243,11 +245,14 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, distance: int =
         raise ValueError("distance must be even")
     own = materialize(fingerprints(docs, shingle))
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    parts_of = connected_components(near_links(distinct, distance, parts)).select(F.col("id").alias("fp"), "component")
+    written: list[DataFrame] = []
+    parts_of = connected_components(near_links(distinct, distance, parts, written)).select(F.col("id").alias("fp"), "component")
     named = materialize(distinct.join(parts_of, "fp", "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")))
     smallest = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")))
     ids = materialize(named.join(smallest, "component").select("fp", "component_id", "component"))
+    for done in (*written, distinct, named, smallest):
+        discard(done)
     return own.join(ids, "fp").select("doc_id", "twin", "fp", "component_id", "component")
 
 
@@ -256,18 +261,20 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE)
 
     All columns are kept. Null doc_ids come after all others.
     """
-    found = simhash_components(docs, shingle, distance)
-    key = F.struct(found["doc_id"].isNull().alias("_none"), F.coalesce(found["doc_id"], F.lit(0)).alias("_doc"),
-                   found["twin"].alias("_twin"))
+    found = materialize(simhash_components(docs, shingle, distance))
+    names = ["none", "doc", "twin"]
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "twin")
     first = materialize(found.groupBy("component").agg(F.min(key).alias("k")).select("k.*"))
-    kept = docs.join(first, (docs["doc_id"].cast("long").isNull() == F.col("_none"))
-                     & (F.coalesce(docs["doc_id"].cast("long"), F.lit(0)) == F.col("_doc"))
-                     & (twin_of(docs) == F.col("_twin")), "left_semi")
     repeated = found.groupBy("doc_id", "twin").count().where("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    # a null text and an empty one are the same
-    return kept.withColumn("_text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    discard(found)
+    doc_id = docs["doc_id"].cast("long")
+    # the caller's columns stay in a struct, so that they may have any names
+    rows = docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("rest"), doc_id.isNull().alias("none"),
+                       F.coalesce(doc_id, F.lit(0)).alias("doc"), twin_of(docs).alias("twin"))
+    kept = rows.join(first, names, "left_semi")
+    if repeated:  # a null text and an empty one are the same
+        kept = kept.withColumn("whole", F.coalesce(F.col("rest.text"), F.lit(""))).dropDuplicates([*names, "whole"])
+    return kept.select(*[F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_simhash(spark, sf_dir) -> DataFrame:
