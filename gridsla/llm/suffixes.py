@@ -11,8 +11,12 @@ repeated windows. The digits are chosen so that few suffixes have to be moved:
 3. single windows, only for the first run of each context in a group with several contexts (the
    ends of repeated passages).
 
-Digits are 64-bit polynomial hashes of the bytes. Order is by doc_id, then (rows of one doc_id) by a hash
-of the text, then by start.
+Digits are 64-bit polynomial hashes of the bytes; the bytes themselves are not compared again. Two different contexts or
+windows are taken for one only where they share an anchor and their hashes are equal as well: for an anchor with n
+different contexts the chance is about n * n / 2**65 (a thousand million contexts of one gram: 3 %; the largest group
+of a usual corpus, a million: 3 in 10**8). Order is by doc_id, then (rows of one doc_id) by a hash of the text, then by start.
+
+Texts are hashed in stretches of ``STRETCH`` window starts, so the memory for a text is its bytes and one stretch's arrays.
 """
 
 from __future__ import annotations
@@ -23,11 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridsla.llm.common import discard, materialize, table
+from gridsla.llm.common import broadcast_if_small, discard, materialize, quoted, table
 
 LENGTH = 100
 GRAM = 48
+STRETCH = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -77,7 +83,16 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: bytes, length: int, gram: int):
-    """Runs of window starts with one anchor: (first start, last start, anchor digit, context digit)."""
+    """Runs of window starts with one anchor, a stretch at a time: (first start, last start, anchor digit, context digit).
+
+    A run over the end of a stretch is cut in two: each window is in one run, which is all that the digits need.
+    """
+    for at in range(0, len(data) - length + 1, STRETCH):
+        first, last, anchor, context = _stretch_runs(data[at:at + STRETCH + length - 1], length, gram)
+        yield first + at, last + at, anchor, context
+
+
+def _stretch_runs(data: bytes, length: int, gram: int):
     n = len(data)
     text, starts = Bytes(data), np.arange(n - gram + 1)
     digit = _mix(text.hashes(starts, starts + gram))
@@ -100,12 +115,12 @@ def _suffix_runs(length: int, gram: int):
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 if len(data) < length:
                     continue
-                first, last, anchor, context = runs(data, length, gram)
-                parts.append((np.full(len(first), doc), np.full(len(first), twin), first, last, anchor, context))
-                held += len(first)
-                if held > 200_000:
-                    yield _batch(parts)
-                    parts, held = [], 0
+                for first, last, anchor, context in runs(data, length, gram):
+                    parts.append((np.full(len(first), doc), np.full(len(first), twin), first, last, anchor, context))
+                    held += len(first)
+                    if held > 200_000:
+                        yield _batch(parts)
+                        parts, held = [], 0
             if parts:
                 yield _batch(parts)
 
@@ -120,16 +135,21 @@ def _single_windows(length: int):
         for b in batches:
             parts, held = [], 0
             for doc, twin, text, wanted in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2), b.column(3)):
-                data = Bytes(text.as_py().encode("utf-8", "surrogatepass"))
-                anchor, first, last = (wanted.values.field(k).to_numpy() for k in range(3))
-                count = last - first + 1
-                start = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-                window = _mix(data.hashes(start, start + length)).view(np.int64)
-                parts.append((np.full(len(start), doc), np.full(len(start), twin), start, np.repeat(anchor, count), window))
-                held += len(start)
-                if held > 200_000:
-                    yield _batch(parts)
-                    parts, held = [], 0
+                data = text.as_py().encode("utf-8", "surrogatepass")
+                anchors, firsts, lasts = (wanted.values.field(k).to_numpy() for k in range(3))
+                stretch = firsts // STRETCH
+                for k in np.unique(stretch):
+                    anchor, first, last = (x[stretch == k] for x in (anchors, firsts, lasts))
+                    at = int(k) * STRETCH
+                    hashed = Bytes(data[at:int(last.max()) + length])
+                    count = last - first + 1
+                    start = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    window = _mix(hashed.hashes(start - at, start - at + length)).view(np.int64)
+                    parts.append((np.full(len(start), doc), np.full(len(start), twin), start, np.repeat(anchor, count), window))
+                    held += len(start)
+                    if held > 200_000:
+                        yield _batch(parts)
+                        parts, held = [], 0
             if parts:
                 yield _batch(parts)
 
@@ -172,12 +192,25 @@ def _cut(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.Record
             names=["rest", "n_bytes", "kept", "spans"])
 
 
+def _once(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per (doc, twin), and the written table of the keys that had several.
+
+    Only rows of those keys are moved (one per task and key); usual tables have few or none of them.
+    """
+    keys = materialize(texts.groupBy("doc", "twin").count().where("count > 1").select("doc", "twin"))
+    if not keys.limit(1).count():
+        return texts, keys
+    small = broadcast_if_small(keys)
+    single = texts.join(small, ["doc", "twin"], "left_anti")
+    return single.unionByName(texts.join(small, ["doc", "twin"], "left_semi").dropDuplicates(["doc", "twin"])), keys
+
+
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts earlier.
 
     Judged on the input's UTF-8 bytes; matches never cross documents. Null and short texts lose
-    nothing; rows of one doc_id and one text get one result; a null doc_id comes after all others;
-    an empty table gives an empty result. All columns of ``docs`` but the text are returned
+    nothing; rows of one doc_id and one text are one document, which is searched once and gives all of them
+    one result; a null doc_id comes after all others; an empty table gives an empty result. All columns of ``docs`` but the text are returned
     inside the struct ``rest``; with n_bytes, ``kept`` (the remaining bytes, joined) and ``spans``
     (array of start, end: the maximal removed runs). With ``as_text``, ``kept`` is a string without the
     bytes of characters that a removal cut in two.
@@ -185,7 +218,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text
     text = F.col("text").cast("string")
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     named = docs.select(ident.alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("twin"), text.alias("text"))
-    long_texts = named.where(F.octet_length("text") >= length)
+    long_texts, repeated_rows = _once(named.where(F.octet_length("text") >= length))
     suffixes = long_texts.mapInArrow(
         _suffix_runs(length, gram), "doc long, twin long, first long, last long, anchor long, context long")
     where = F.struct("doc", "twin", "first")
@@ -217,13 +250,14 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text
 
     marks = materialize(whole.unionByName(single).groupBy("doc", "twin").agg(
         F.collect_list(F.struct("start", "end")).alias("marks")))
-    for done in (whole, windows, least):  # before the texts are moved
+    for done in (whole, windows, least, repeated_rows):  # before the texts are moved
         discard(done)
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+    rest = F.struct(*[F.col(quoted(c)) for c in docs.columns if c != "text"]).alias("rest")
     rows = docs.select(ident.alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("twin"), rest, text.alias("text"))
-    kind = rows.schema["rest"].dataType.simpleString()
-    out = (f"rest {kind}, n_bytes long, kept {'string' if as_text else 'binary'}, "
-           "spans array<struct<start:bigint,end:bigint>>")
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    out = T.StructType([rows.schema["rest"], T.StructField("n_bytes", T.LongType()),
+                        T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
+                        T.StructField("spans", T.ArrayType(span))])
     return rows.join(marks, ["doc", "twin"], "left").select("doc", "rest", "text", "marks").mapInArrow(
         lambda batches: _cut(batches, as_text), out)
 
