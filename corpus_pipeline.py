@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsla.llm import mixing, packing, quality, simhash, suffixes
-from gridsla.llm.common import materialize, table
+from gridsla.llm.common import discard, materialize, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     cut = suffixes.cut_repeats(docs, as_text=True)
     values = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
     return cut.where((F.col("n_bytes") == 0) | (F.col("kept") != "")).select(
-        *[values.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+        *[(values[c] if c in values else F.col("rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +56,7 @@ ORACLE_SQL = None  # SimHash and the tokenizer are beyond SQL; tests/llm compare
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        kept = materialize(stage(spark, docs, sf_dir))
+        discard(docs)  # the table of the stage before; the documents themselves stay
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
