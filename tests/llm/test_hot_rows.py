@@ -1,0 +1,85 @@
+"""op1, op2, op7 and op8 where many rows share a doc_id or have none; column names; large rates."""
+
+from __future__ import annotations
+
+import time
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridsla.llm import langid, mixing, packing, toxicity
+
+NAMES = ["_source", "_cdf", "_u", "rest", "ident", "u", "low", "a b", "c`d"]
+SCHEMA = "doc_id long, text string, source string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in NAMES)
+
+
+@pytest.fixture
+def all_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("hot_id", [None, 3])
+def test_mixing_rows_of_one_id_have_counts_and_places_of_their_own(spark, hot_id, all_partitions):
+    rows = [(hot_id, "x" * 99, "hot", *NAMES)] * 5_000 + [(10 + k, "y" * 99, f"s{k % 2}", *NAMES) for k in range(1_000)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    out = mixing.mix_sources(docs, weights={"hot": 1.0, "s0": 1.0, "s1": 1.0})
+    got = out.withColumn("part", F.spark_partition_id()).collect()
+    assert out.columns == [*docs.columns, "repeats", "copy", "shuffle_key"]
+    hot = [r for r in got if r.source == "hot"]
+    assert abs(len(hot) - 2_000) < 250  # a third of 6,000 at a rate of 0.4, not all or none
+    assert len({r.shuffle_key for r in got}) == len(got)
+    share = Counter(r.part for r in hot)
+    assert len(share) == 8 and max(share.values()) < 2 * min(share.values())
+    assert {tuple(r[c] for c in NAMES) for r in got} == {tuple(NAMES)}
+    assert Counter(map(tuple, got)) == Counter(map(tuple, out.withColumn("part", F.spark_partition_id()).collect()))
+
+
+def test_mixing_at_a_large_rate(spark):
+    rows = [(1, "z", "tiny", *NAMES)] + [(10 + k, "y" * 9_999, "big", *NAMES) for k in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    start = time.time()
+    r = {x.source: x for x in mixing.repetition_rates(docs, weights={"tiny": 1.0, "big": 1.0}).collect()}["tiny"]
+    assert abs(r.rate - 500_000) < 100 and len(r.cdf) < 20_000
+    assert r.cdf[0] < 2**-52 and abs(r.cdf[-1] - 1) < 1e-9 and abs(np.interp(0.5, r.cdf, np.arange(len(r.cdf))) + r.low - r.rate) < 2
+    n = mixing.mix_sources(docs, weights={"tiny": 1.0, "big": 1.0}).where("source = 'tiny'").count()
+    assert abs(n - r.rate) < 6 * r.rate ** 0.5
+    assert time.time() - start < 60  # a tenth of the rate took 23 s
+
+
+def test_packing_spreads_repeated_rows_and_repeats_itself(spark, all_partitions):
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(None, "the same short text")] * 4_000 + [(k, f"text {k} " * (k % 9)) for k in range(500)],
+                                 "doc_id long, text string").repartition(4)
+    packed = packing.pack_documents(docs, path, window=64, buffer_tokens=2_000)
+    got = packed.withColumn("part", F.spark_partition_id()).collect()
+    share = Counter(r.part for r in got if r.doc_id is None)
+    assert sum(share.values()) == 4_000 and len(share) == 8 and max(share.values()) < 2 * min(share.values())
+    assert Counter(map(tuple, got)) == Counter(map(tuple, packed.withColumn("part", F.spark_partition_id()).collect()))
+
+
+def test_samples_are_bounded_where_many_rows_share_an_id(spark):
+    hot = next(k for k in range(8, 99) if zlib.crc32(b"%d" % k) % 3 != 1 and zlib.crc32(b"%d" % k) % 4 != 2)  # learned from
+    rows = [(hot, f"stone river {k}", "en") for k in range(3_000)] + [(k, f"pierre rivière {k}", "fr") for k in range(100, 400)]
+    rows += [(None, "no id", "en"), (6, None, "en"), (7, "no language", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    sample = langid.learned_sample(docs, max_rows=50)
+    assert len(sample["en"]) == 1 and len(sample["fr"]) == 50 and set(sample) == {"en", "fr"}
+    assert langid.learned_sample(docs.repartition(7), max_rows=50) == sample
+    labels = spark.createDataFrame([(hot, 1)] * 20 + [(k, 0) for k in range(100, 400)], "doc_id long, toxic int")
+    learned = toxicity.labelled_sample(docs, labels, max_rows=40)
+    assert Counter(y for _, y in learned) == {1: 1, 0: 40}
+
+
+def test_all_languages_are_learned_in_one_pass(spark, tmp_path):
+    rows = [(k, f"word{k % 60} text {k}", f"l{k % 60}") for k in range(1_200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    start = time.time()
+    assert len(langid.learned_sample(docs)) == 60
+    assert time.time() - start < 30
