@@ -167,13 +167,16 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW,
     into full windows; the rests go by best-fit decreasing into sequences of at most ``window``
     ids. Pieces are dealt evenly over the tasks and packed in buffers of
     ``buffer_tokens`` ids, so memory is bounded and the padding is a fraction of one window per buffer.
-    Repeated rows are packed as often as they occur; null doc_ids are kept; an empty table gives
+    The packing depends on the pieces and on how the table is cut into partitions, on nothing else. A text is encoded whole, by
+    one task. Repeated rows are packed as often as they occur; null doc_ids are kept; an empty table gives
     an empty result. Returns doc_id, start, length, doc_tokens, ids (little-endian unsigned
     32-bit), sequence_id, offset.
     """
     cut = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _pieces(tokenizer_path, window), PIECE)
-    dealt = cut.repartition(F.xxhash64("doc_id", "start", "length", F.crc32("ids")))
+    # by its place among the pieces, so that repeated rows are spread; in that order, so that a task that runs again after
+    # a lost executor cuts the same buffers from shuffle blocks that arrive in another order
+    dealt = cut.withColumn("at", F.monotonically_increasing_id()).repartition("at").sortWithinPartitions("at").drop("at")
     return dealt.mapInArrow(_pack(window, buffer_tokens), PIECE + ", sequence_id long, offset long")
 
 
