@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsla.llm.common import table
+from gridsla.llm.common import broadcast_if_small, discard, materialize, table
 
 MAX_ROWS = 150            # learned documents of each language
 MAX_TRAIN_BYTES = 16_000  # longer documents are not learned from (all texts are classified whole)
@@ -32,18 +32,23 @@ def plain(text: str) -> str:
 def learned_sample(docs: DataFrame, max_rows: int = MAX_ROWS) -> dict[str, list[str]]:
     """Texts per language from documents whose crc32(doc_id) mod 3 is not 1.
 
-    A language's documents are taken below a cut-off of a hash of doc_id that
-    lets ``max_rows`` of them through on average, at most twice that number are used.
+    Of each language the ``max_rows`` doc_ids with the least hashes are learned from, one text of each (that of the least
+    hash). All languages are drawn in one pass over the ids and one over the texts; ``max_rows`` texts of at most
+    ``MAX_TRAIN_BYTES`` bytes per language come to the driver.
     """
     ident = F.col("doc_id").cast("string")
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= MAX_TRAIN_BYTES)
-                       & (F.crc32(ident.cast("binary")) % 3 != 1))
+                       & (F.crc32(ident.cast("binary")) % 3 != 1)).select(
+        "lang", "doc_id", "text", F.xxhash64("text").alias("hash"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    drawn = materialize(known.groupBy("lang", "doc_id").agg(F.min("hash").alias("hash"))
+                        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_rows).drop("rank"))
+    rows = (known.join(broadcast_if_small(drawn), ["lang", "doc_id", "hash"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+            .collect())
+    discard(drawn)
     out: dict[str, list[str]] = {}
-    for lang, n in sorted(known.groupBy("lang").count().collect()):  # one row per language
-        share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        rows = (known.where((F.col("lang") == lang) & (share < min(1.0, max_rows / n))).select("doc_id", "text")
-                .orderBy("doc_id", "text").limit(2 * max_rows).collect())
-        out[lang] = [r.text for r in rows]
+    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id)):
+        out.setdefault(r.lang, []).append(r.text)
     return {k: v for k, v in out.items() if any(_LETTER.search(t) for t in v)}
 
 
