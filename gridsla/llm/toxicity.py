@@ -147,15 +147,16 @@ def fit(texts: list[list[str]], toxic: list[int]) -> tuple[tuple[bytes, bytes],
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[str, int]]:
-    """At most ``max_rows`` texts of each class whose crc32(doc_id) mod 4 is not 2, by hash order."""
+    """At most ``max_rows`` texts of each class whose crc32(doc_id) mod 4 is not 2, by hash order; of rows that share a
+    doc_id one text."""
     ident = F.col("doc_id").cast("string")
     known = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(ident.cast("binary")) % 4 != 2)).select("doc_id", "toxic")
     picked = []
     for c in (0, 1):
         picked += known.where(F.col("toxic") == c).distinct().orderBy(F.md5(ident), "doc_id").limit(max_rows).collect()
     ids = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in picked], "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= MAX_TRAIN_BYTES).join(
-        F.broadcast(ids), "doc_id").collect()  # 2 * max_rows texts but for repeated doc_ids
+    rows = (docs.select("doc_id", "text").where(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(ids), "doc_id")
+            .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect())  # at most 2 * max_rows texts
     return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.toxic, r.text))]
 
 
