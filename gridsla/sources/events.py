@@ -21,6 +21,9 @@ IMPORT_EVENTS = ("view", "purchase")
 UNFINISHED_EVERY = 97  # event_id % 97 == 0 -> job never completed
 UNLISTED_EVERY, UNLISTED_TASK = 101, "meterDiagnostics"  # event_id % 101 == 0 -> a task without policy
 NO_GUID_EVERY = 89     # event_id % 89 == 0 -> no guid
+# alarm names of two more kinds of alarm rows: both events in one text, and a name that only the LIKE wildcard finds
+BOTH_EVERY, BOTH_NAMES = 53, "METER_LAST_GASP,METER_FIRST_BREATH"
+WILDCARD_EVERY, WILDCARD_NAMES = 59, "COVER_OPEN,METER-LAST GASP"
 
 
 def _pick(index: Column, values) -> Column:
@@ -53,10 +56,10 @@ def jobs_from_events(events: DataFrame) -> DataFrame:
 
 
 def alarms_from_events(events: DataFrame) -> DataFrame:
-    name = None
+    name = (F.when(F.col("event_id") % BOTH_EVERY == 0, F.lit(BOTH_NAMES))
+            .when(F.col("event_id") % WILDCARD_EVERY == 0, F.lit(WILDCARD_NAMES)))
     for ev, alarm in ALARM_BY_EVENT.items():
-        cond = F.col("event_type") == ev
-        name = F.when(cond, F.lit(alarm)) if name is None else name.when(cond, F.lit(alarm))
+        name = name.when(F.col("event_type") == ev, F.lit(alarm))
     return (events.filter(F.col("event_type").isin(list(ALARM_BY_EVENT)))
             .select(_meter(F.col("user_id")).alias("meterid"),
                     F.col("ts").alias("alarm_date"),
