@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tiers import known_task, tier_of, uses_guid
 from ..functions.timecols import day_start, minutes_between, trunc_second
-from ..plans.materialize import checked_broadcast
+from ..plans.materialize import broadcast_if_small, materialize
 from ..sources.policy import DEFAULT_POLICY, NO_GUID, TaskPolicy
 
 BATCH_KEYS = ("task", "job_day", "batch_guid")
@@ -96,20 +96,20 @@ def job_durations(jobs: DataFrame, policy: tuple[TaskPolicy, ...] = DEFAULT_POLI
                     .alias("duration_minutes")))
 
 
-def oldest_open_guid(jobs: DataFrame, task: str | None = None, day=None) -> DataFrame:
+def oldest_open_guid(jobs: DataFrame, task: str | None = None, day=None, keep=materialize) -> DataFrame:
     """A1: per task and day, the guid of the earliest created job with status '1'.
 
     Two hash-friendly steps instead of a min over (time, guid) structs, which
     would sort the whole open-job log: the first open instant per task and day
     (partial hash aggregate), then the smallest guid among the jobs at exactly
     that instant (the one-row-per-task-and-day table is broadcast behind a row
-    check). Ties on the instant go to the smaller guid, NULL first.
+    check). ``keep`` writes that table. Ties on the instant go to the smaller guid, NULL first.
     """
     open_jobs = (select_jobs(jobs, task, day).filter(F.col("status") == "1")
                  .select("task", day_start(F.col("createddate")).alias("job_day"), "createddate", "guid"))
     first = (open_jobs.groupBy("task", "job_day")
              .agg(F.min("createddate").alias("first_open_createddate")))
-    at_first = open_jobs.join(checked_broadcast(first), ["task", "job_day"]).filter(
+    at_first = open_jobs.join(broadcast_if_small(keep(first)), ["task", "job_day"]).filter(
         F.col("createddate") == F.col("first_open_createddate"))
     return (at_first.groupBy("task", "job_day", "first_open_createddate")
             .agg(F.bool_or(F.col("guid").isNull()).alias("_has_null"), F.min("guid").alias("_min_guid"))

@@ -211,7 +211,7 @@ class SlaAnalysis:
 
     # A1-A25
     def oldest_open_guid(self):
-        return B.oldest_open_guid(self.jobs, self.narrow["task"], self.narrow["day"])
+        return B.oldest_open_guid(self.jobs, self.narrow["task"], self.narrow["day"], keep=self._keep)
 
     def batch_anchor(self):
         return self.anchors

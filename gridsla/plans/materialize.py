@@ -2,8 +2,8 @@
 
 A per-batch table (one row per task, day and guid) is tiny next to the job log,
 but its size is not known when the plan is built. It is written once as Parquet to the
-folder that ``spark.checkpoint.dir`` names (where it is unset, to the session's warehouse folder);
-both are shared by driver and executors, so a lost executor loses no row and the lineage is cut.
+folder that ``spark.checkpoint.dir`` names (where it is unset, to the session's warehouse folder, on a
+cluster only if that is no local path). Driver and executors share it, so a lost executor loses no row and the lineage is cut.
 A broadcast is hinted only below a row bound; above it the join stays a shuffle join, where AQE can
 still convert it or split skewed keys at run time.
 """
@@ -11,6 +11,7 @@ still convert it or split skewed keys at run time.
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,18 @@ BROADCAST_ROWS_CONF = "gridsla.broadcast.maxRows"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """The folder that ``spark.checkpoint.dir`` names, or the session's warehouse folder.
+
+    On a cluster the warehouse counts as shared only with a file system of its own (not a local path, which is
+    each machine's): otherwise a ValueError asks for the setting.
+    """
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    folder = given or spark.conf.get("spark.sql.warehouse.dir")
+    master = spark.sparkContext.master
+    one_machine = master.startswith("local") and not master.startswith("local-cluster")
+    if not given and not one_machine and urlparse(folder).scheme in ("", "file"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share ({folder} is a local path)")
+    return folder.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
