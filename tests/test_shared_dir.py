@@ -1,9 +1,12 @@
 """The folder for written tables: shared on a cluster, or an error that names the setting."""
 
+import datetime as dt
+import os
 from types import SimpleNamespace
 
 import pytest
 
+from gridsla import SlaAnalysis
 from gridsla.plans.materialize import shared_dir
 
 
@@ -29,19 +32,11 @@ def test_given_folder_and_shared_warehouse():
     assert shared_dir(session("yarn", **{WAREHOUSE: local, CHECKPOINT: "/mnt/shared/"})) == "/mnt/shared"
 
 
-def test_close_deletes_the_table_of_the_oldest_guid(spark, make_jobs, tmp_path):
-    import datetime as dt
-    import os
-
-    from gridsla import SlaAnalysis
-    at = dt.datetime(2024, 2, 2, 10)
-    before = spark.conf.get(CHECKPOINT)
-    spark.conf.set(CHECKPOINT, str(tmp_path))
-    try:
-        a = SlaAnalysis(make_jobs([(1, "serviceSetLoadLimit", "G1", "1", "M1", at, None)]))
-        assert [r.guid for r in a.oldest_open_guid().collect()] == ["G1"]
-        assert os.listdir(tmp_path)
-        a.close()
-        assert not os.listdir(tmp_path)
-    finally:
-        spark.conf.set(CHECKPOINT, before)
+def test_close_deletes_the_table_of_the_oldest_guid(spark, make_jobs):
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder))
+    a = SlaAnalysis(make_jobs([(1, "serviceSetLoadLimit", "G1", "1", "M1", dt.datetime(2024, 2, 2, 10), None)]))
+    assert [r.guid for r in a.oldest_open_guid().collect()] == ["G1"]
+    assert set(os.listdir(folder)) > before
+    a.close()
+    assert set(os.listdir(folder)) == before
