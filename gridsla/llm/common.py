@@ -1,8 +1,9 @@
 """Helpers shared by the training-data operators.
 
 Intermediate tables go to the folder that ``spark.checkpoint.dir`` names; where
-it is unset, to the session's warehouse folder. Both are shared by
-driver and executors, so a lost executor loses no intermediate row.
+it is unset, to the session's warehouse folder (on a cluster only if that is no
+local path). Driver and executors share it, so a lost executor loses no
+intermediate row.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridsla.plans.materialize import shared_dir
+
 MAX_BROADCAST_ROWS = 100_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -20,11 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None)
-            or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-
 def quoted(name: str) -> str:
     """A column name for ``F.col`` that may hold any character."""
     return "`" + name.replace("`", "``") + "`"
@@ -67,6 +65,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     label among the neighbours and then follows the label of that label, so the
     number of rounds grows with the logarithm of the longest chain. All joins
     are between freshly read tables, which lets AQE split a node with many links.
+    The result is a written table, which ``discard`` deletes.
     """
     links = materialize(
         edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -84,4 +83,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         discard(labels)
         labels = new
     discard(links)
-    return labels.select("id", "component")
+    found = labels.select("id", "component")
+    found._gridsla_path = labels._gridsla_path
+    return found

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsla.llm.common import connected_components, materialize, table
+from gridsla.llm.common import connected_components, discard, materialize, table
 
 COSINE = 0.98
 SAMPLE = 10_000      # vectors that the codebooks are fitted on
@@ -178,13 +178,19 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
 
     found = materialize(data.select(columns).unionByName(query.select(columns)).groupBy(*cell, "d", "q").applyInPandas(
         compare, "a long, b long, links long"))
-    parts = connected_components(found.select("a", "b")).select(F.col("id").alias("key"), "component")
+    for done in (entries, sizes):
+        discard(done)
+    components = connected_components(found.select("a", "b"))
+    parts = components.select(F.col("id").alias("key"), "component")
     linked = found.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     whole = materialize(classes.join(linked, "key", "left").join(parts, "key", "left").select(
         "label", "v", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
         F.coalesce("component", "key").alias("component")))
+    for done in (classes, found, components):
+        discard(done)
     least = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
     verdict = materialize(whole.join(least, "component").select("label", "v", "n_links", "component_id"))
+    discard(whole)
     joined = good.join(verdict, ["label", "v"], "left").select(
         "id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     alone = rows.where(~F.coalesce(fine, F.lit(False))).select(
