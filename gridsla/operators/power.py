@@ -203,14 +203,16 @@ def signal_slots(alarms: DataFrame | None, imports: DataFrame | None, fractions:
 _SLOT_COLUMNS = ("on_t", "off_t", "n_alarms", "n_flips", "newest_key", "flip_t", "n_imports", "import_t")
 
 
-def _bound_contributions(rows: DataFrame, keys, slots: DataFrame) -> DataFrame:
+def _bound_contributions(rows: DataFrame, keys, slots: DataFrame, deal=None) -> DataFrame:
     """Contributions of the slot summaries to each row's window, read at its bounds.
 
     Per day that a window touches there are two bounds: where it begins (before the slots of that position) and
     where it ends (after them). Slots and bounds of a (meter, day) are sorted together; counts up to the end minus counts
     up to the beginning are those of the window, the newest flip up to the end is the window's if it has
     any, and so is the next import after the beginning. What comes before the beginning on the start's day is
-    the running value there.
+    the running value there. ``deal`` (``signal_state.SignalState.dealt``) sends the bounds to slots that
+    already lie by (meter, day); the bounds come first in the union, as Spark keeps its children's partitioning by the
+    first child's attributes and does not match those of a table scan.
     """
     begin, end = _micros(F.col("win_start")), _micros(F.col("win_end"))
     midnight = _micros(F.col("day").cast(_TS))
@@ -222,11 +224,12 @@ def _bound_contributions(rows: DataFrame, keys, slots: DataFrame) -> DataFrame:
     bounds = days.select(*span, "day", side).select(
         *span, "day", "bound.p", "bound.side",
         *[F.lit(None).cast(slots.schema[c].dataType).alias(c) for c in _SLOT_COLUMNS])
+    bounds = bounds if deal is None else deal(bounds)
     facts = slots.select(*[F.col("meterid") if c == "meterid" else F.lit(None).cast(days.schema[c].dataType).alias(c)
                            for c in span], "day", "p", F.lit(0).alias("side"), *_SLOT_COLUMNS)
     order = Window.partitionBy("meterid", "day").orderBy("p", "side")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = facts.unionByName(bounds).select(
+    running = bounds.unionByName(facts).select(
         *span, "day", "side",
         *[F.max(c).over(upto).alias(c) for c in ("on_t", "off_t", "newest_key", "flip_t")],
         *[F.coalesce(F.sum(c).over(upto), F.lit(0)).cast("long").alias(c) for c in ("n_alarms", "n_flips", "n_imports")],
@@ -324,15 +327,18 @@ def _aggregate(contributions: DataFrame, keys) -> DataFrame:
 
 def power_facts(windowed: DataFrame, alarms: DataFrame, imports: DataFrame,
                 alarm_days: DataFrame | None = None, keys=WINDOW_KEYS, fractions: DataFrame | None = None) -> DataFrame:
+    """``facts_of_slots`` of the slots of two logs. ``alarm_days`` defaults to summarising ``alarms``."""
+    days = alarm_daily_summary(alarms) if alarm_days is None else alarm_days
+    return facts_of_slots(windowed, signal_slots(alarms, imports, fractions), days, keys)
+
+
+def facts_of_slots(windowed: DataFrame, slots: DataFrame, alarm_days: DataFrame, keys=WINDOW_KEYS, deal=None) -> DataFrame:
     """Everything the state rule reads, one row per windowed (batch, tier, meter) row, or per other ``keys``.
 
     The earlier-days rows (exactly one per windowed row) and the bound contributions are unioned and
-    aggregated once, so every windowed row is present. ``alarm_days``
-    (``alarm_daily_summary``) defaults to summarising ``alarms``.
+    aggregated once, so every windowed row is present. ``alarm_days`` is an ``alarm_daily_summary``.
     """
-    days = alarm_daily_summary(alarms) if alarm_days is None else alarm_days
-    rows = _earlier_days(windowed, keys, days).unionByName(
-        _bound_contributions(windowed, keys, signal_slots(alarms, imports, fractions)))
+    rows = _earlier_days(windowed, keys, alarm_days).unionByName(_bound_contributions(windowed, keys, slots, deal))
     return _aggregate(rows, keys)
 
 

@@ -32,16 +32,20 @@ from .materialize import broadcast_if_rows, discard, materialize
 class SlaAnalysis:
     """``histogram`` (``operators.histogram.ReportState.histogram``) stands in for the job log in the report outputs
     (``batch_anchor``, ``sla_report``, ``sla_gap``, ``late_summary``, ``tier_window``, ``unknown_task_report``); ``jobs`` may
-    then be None, if no other output is asked for."""
+    then be None, if no other output is asked for.
+
+    ``signals`` (``operators.signal_state.SignalState``) stands in for both signal logs in every power output but the
+    listings of single flips (``power_flips``, ``flip_listing``, ``flip_listing_chunks``), which need the alarm log."""
 
     def __init__(self, jobs: DataFrame | None, alarms: DataFrame | None = None, imports: DataFrame | None = None,
                  policy: tuple[TaskPolicy, ...] = DEFAULT_POLICY, *,
                  task: str | None = None, day=None, guid: str | None = None, tc: str | None = None,
-                 alarm_days: DataFrame | None = None, histogram: DataFrame | None = None):
+                 alarm_days: DataFrame | None = None, histogram: DataFrame | None = None, signals=None):
         self.jobs = jobs
         self.alarms = alarms
         self.imports = imports
         self.alarm_days_given = alarm_days
+        self.signals = signals
         self.policy = validate(policy)
         if tc is not None:
             task = task_of_code(self.policy, tc, task)
@@ -150,32 +154,44 @@ class SlaAnalysis:
         b = self.bounds
         if self.alarm_days_given is not None:
             daily = self.alarm_days_given
+        elif self.signals is not None:
+            daily = self.wanted(self.signals.alarm_days(None if b is None else b[1].date()), "meterid")
         else:
             # the earlier-days pass reads only days before a window's start day
             alarms = self.wanted(self._given(self.alarms, "alarm"), "meterid")
             daily = P.alarm_daily_summary(alarms if b is None else P.alarm_history(alarms, b[1]))
         return daily if b is None else P.fold_days(daily, b[0])
 
+    @cached_property
+    def kept_slots(self) -> DataFrame:
+        """The kept slots of the wanted meters on the days that windows touch."""
+        b = self.bounds
+        first, last = (None, None) if b is None else (b[0].date(), b[2].date())
+        return self.wanted(self.signals.slots(first, last), "meterid")
+
     @cached_property
     def facts(self) -> DataFrame:
-        facts = P.power_facts(self.windowed, self.window_alarms, self.window_imports, self.alarm_days)
+        if self.signals is not None:
+            facts = P.facts_of_slots(self.windowed, self.kept_slots, self.alarm_days, deal=self.signals.dealt)
+        else:
+            facts = P.power_facts(self.windowed, self.window_alarms, self.window_imports, self.alarm_days)
         return self._keep(facts) if self.keep_power_facts else facts
 
     @cached_property
     def prior(self) -> DataFrame:
-        if self.keep_power_facts:
+        if self.keep_power_facts or self.signals is not None:
             return P.prior_of(self.facts)
         return P.prior_facts(self.windowed, self.window_alarms, self.alarm_days)
 
     @cached_property
     def flips_inside(self) -> DataFrame:
-        if self.keep_power_facts:
+        if self.keep_power_facts or self.signals is not None:
             return P.flips_of(self.facts)
         return P.window_facts(self.windowed, self.window_alarms, None)
 
     @cached_property
     def imports_inside(self) -> DataFrame:
-        if self.keep_power_facts:
+        if self.keep_power_facts or self.signals is not None:
             return P.imports_of(self.facts)
         return P.window_facts(self.windowed, None, self.window_imports)
 
@@ -344,7 +360,7 @@ class SlaAnalysis:
         power = {"power_status_before", "prior_power_code", "flip_counts", "latest_flip", "import_presence",
                  "meter_power_state", "power_split", "power_summary", "powered_off_list", "eligible_list",
                  "late_job_export"}
-        both = self.alarms is not None and self.imports is not None
+        both = self.signals is not None or (self.alarms is not None and self.imports is not None)
         if both and len(power & set(names)) > 1 and "facts" not in self.__dict__:
             self.keep_power_facts = True
         if {"sla_report", "sla_gap", "late_summary"} & set(names):
